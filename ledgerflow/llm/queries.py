@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality, simhash, slots, token_blocks
+from . import packing, quality, recompression, simhash, slots, token_blocks
 
 WORD_RE = r"[^\x20\x09-\x0D]+"
 
@@ -88,6 +88,10 @@ def op8_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placement
 
 
+def op9_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompression.repeated_substrings(_table(spark, sf_dir, "documents"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -98,6 +102,7 @@ def queries() -> dict:
         "op3_quality_rules": op3_quality_rules,
         "op6_virtual_slots": op6_virtual_slots,
         "op8_best_two_fit": op8_best_two_fit,
+        "op9_recompression": op9_recompression,
         "op10_simhash": op10_simhash,
     }
 
