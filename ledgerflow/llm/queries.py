@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality, recompression, simhash, slots, token_blocks
+from . import decontam, licenses, line_chunks, packing, quality, recompression, simhash, slots, token_blocks, url_filters
 
 WORD_RE = r"[^\x20\x09-\x0D]+"
 
@@ -20,6 +20,51 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Captures and list entries that Spark derives from all pages: a fetch day for each, and an entry made from each.
+_CAPTURES = "page_id, url, date_add(DATE '2024-01-01', cast(page_id * 37 % 360 AS int)) AS day"
+
+
+def _list_entries(pages: DataFrame) -> DataFrame:
+    host, key = url_filters.host_of(F.col("url")), url_filters.key_of(F.col("url"))
+    n = F.col("page_id")
+    parent = F.when(F.size(F.split("h", r"\.")) > 2, F.regexp_replace("h", r"^[^.]*\.", "")).otherwise(F.col("h"))
+    rows = pages.select("page_id", host.alias("h"), key.alias("k"))
+    return rows.select(
+        F.when(n % 3 == 0, "url").when(n % 3 == 1, "host").otherwise("domain").alias("kind"),
+        F.when(n % 3 == 0, F.col("k")).when(n % 3 == 1, F.col("h")).otherwise(parent).alias("key"),
+        F.date_add(F.lit("2023-12-01").cast("date"), (n * 101 % 400).cast("int")).alias("day"),
+        F.when(n % 5 < 3, "block").when(n % 5 == 3, "allow").otherwise("remove").alias("action"),
+    )
+
+
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    found = url_filters.judge(pages.selectExpr(*_CAPTURES.split(", ", 2)), _list_entries(pages))
+    return found.select("page_id", "host", F.col("day").cast("string").alias("day"), "verdict", "action_kind", "action_key", F.col("active_since").cast("string").alias("active_since"), "n_active")
+
+
+def _op1_sql() -> str:
+    host = f"nullif(rtrim(regexp_extract(lower(trim(url)), '{url_filters.HOST}', 1), '.'), '')"
+    rest = f"regexp_extract(trim(url), '(?i){url_filters.REST}', 1)"
+    return rf"""
+WITH p AS (SELECT page_id, {host} AS h, {host} || CASE WHEN {rest} = '' THEN '/' ELSE {rest} END AS k,
+             DATE '2024-01-01' + (page_id * 37 % 360)::INT AS day FROM pages),
+raw AS (SELECT CASE page_id % 3 WHEN 0 THEN 'url' WHEN 1 THEN 'host' ELSE 'domain' END AS kind,
+          CASE page_id % 3 WHEN 0 THEN k WHEN 1 THEN h ELSE CASE WHEN len(string_split(h, '.')) > 2 THEN regexp_replace(h, '^[^.]*\.', '') ELSE h END END AS key,
+          DATE '2023-12-01' + (page_id * 101 % 400)::INT AS day,
+          CASE WHEN page_id % 5 < 3 THEN 1 WHEN page_id % 5 = 3 THEN 2 ELSE 3 END AS r FROM p),
+daily AS (SELECT kind, key, day, max(r) AS r FROM raw WHERE key IS NOT NULL GROUP BY ALL),
+changed AS (SELECT * FROM (SELECT *, lag(r) OVER (PARTITION BY kind, key ORDER BY day) AS b FROM daily) WHERE b IS NULL OR b <> r),
+iv AS (SELECT * FROM (SELECT kind, key, r, day AS f, lead(day) OVER (PARTITION BY kind, key ORDER BY day) AS t FROM changed) WHERE r < 3),
+hit AS (SELECT page_id, iv.*, CASE kind WHEN 'url' THEN 0 WHEN 'host' THEN 1 ELSE 1000 - len(string_split(key, '.')) END AS o
+        FROM p JOIN iv ON p.day >= iv.f AND (iv.t IS NULL OR p.day < iv.t)
+          AND (kind = 'url' AND key = k OR kind = 'host' AND key = h OR kind = 'domain' AND (key = h OR ends_with(h, '.' || key)))),
+best AS (SELECT page_id, count(*) AS n, arg_min({{'kind': kind, 'key': key, 'r': r, 'f': f}}, o) AS m FROM hit GROUP BY page_id)
+SELECT p.page_id, h AS host, day::VARCHAR AS day, CASE m.r WHEN 1 THEN 'block' ELSE 'allow' END AS verdict,
+       m.kind AS action_kind, m.key AS action_key, m.f::VARCHAR AS active_since, coalesce(n, 0) AS n_active
+FROM p LEFT JOIN best USING (page_id)"""
+
+
 def op2_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_blocks.token_files(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), end_id=1)
 
@@ -69,6 +114,33 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM f"""
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(_table(spark, sf_dir, "documents")).select("doc_id", "license", "dice", "line", "n_matches")
+
+
+def _tokens_sql(text: str) -> str:
+    return rf"list_filter(string_split(trim(regexp_replace(lower(coalesce({text}, '')), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' '), lambda x: x <> '')"
+
+
+def _op4_sql() -> str:
+    values = ", ".join("('{}', '{}')".format(k, t.replace("'", "''")) for k, t in licenses.TEMPLATES.items())
+    bi = "list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
+    return f"""
+WITH t AS (SELECT k AS license, {bi} AS tb FROM (SELECT k, {_tokens_sql("x")} AS w FROM (VALUES {values}) v(k, x))),
+u AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line, unnest(string_split(text, chr(10))) AS x FROM documents
+      UNION ALL SELECT doc_id, -1, text FROM documents WHERE contains(text, chr(10))),
+ub AS (SELECT doc_id, line, {bi} AS b FROM (SELECT doc_id, line, {_tokens_sql("x")} AS w FROM u) WHERE len(w) > 1),
+s AS (SELECT doc_id, line, license, 2.0::DOUBLE * len(list_intersect(b, tb)) / (len(b) + len(tb)) AS dice FROM ub, t
+      WHERE len(b) BETWEEN 0.6 * len(tb) AND 1.6 * len(tb)),
+m AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, line, license) AS r, count(*) OVER (PARTITION BY doc_id) AS n FROM s WHERE dice >= {licenses.MIN_DICE})
+SELECT d.doc_id, license, round(dice, 4) AS dice, line::INT AS line, coalesce(n, 0) AS n_matches FROM documents d LEFT JOIN m ON d.doc_id = m.doc_id AND r = 1"""
+
+
+def op5_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_chunks.remove_repeated_chunks(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_removed_lines", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op6_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, _ = slots.shard_documents(_table(spark, sf_dir, "documents"))
     return spark.read.parquet(folder).select(
@@ -83,6 +155,25 @@ def op6_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "contaminated", "n_items", "first_item", "words")
+
+
+def _op7_sql() -> str:
+    keys = ", ".join(f"'{m} ' || " + " || ' ' || ".join(f"w[i + {k}]" for k, c in enumerate(mask) if c == "1") for m, mask in enumerate(decontam.MASKS))
+    seeds = lambda t, k: f"SELECT {k}, i, unnest([{keys}]) AS s FROM (SELECT {k}, w, unnest(range(1, len(w) - {decontam.SPAN} + 2)) AS i FROM {t})"
+    return f"""
+WITH b AS (SELECT item_id, {_tokens_sql("text")} AS w FROM benchmark), d AS (SELECT doc_id, {_tokens_sql("text")} AS w FROM documents),
+hits AS (SELECT DISTINCT x.doc_id, y.item_id, x.i - y.i AS sh FROM ({seeds("d", "doc_id")}) x JOIN ({seeds("b", "item_id")}) y USING (s)),
+al AS (SELECT doc_id, item_id, least({decontam.STRETCH}, len(b.w)) AS v,
+         list_transform(range(1, len(b.w) + 1), lambda j: CASE WHEN sh + j >= 1 AND d.w[sh + j] = b.w[j] THEN 1 ELSE 0 END) AS e
+       FROM hits JOIN d USING (doc_id) JOIN b USING (item_id)),
+best AS (SELECT doc_id, item_id, max(list_max(list_transform(range(1, len(e) - v + 2), lambda s: list_sum(e[s : s + v - 1])))) AS n, any_value(v) AS v FROM al GROUP BY ALL),
+ok AS (SELECT doc_id, count(*) AS n_items, min(item_id) AS first_item, max(n) AS n FROM best WHERE n >= ceil({decontam.MIN_AGREE} * v) GROUP BY doc_id)
+SELECT doc_id, n_items IS NOT NULL AS contaminated, coalesce(n_items, 0) AS n_items, first_item, coalesce(n, 0)::BIGINT AS words FROM documents LEFT JOIN ok USING (doc_id)"""
+
+
 def op8_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     placement, _ = packing.pack_documents(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), end_id=2)
     return placement
@@ -98,9 +189,13 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_url_filters": op1_url_filters,
         "op2_token_blocks": op2_token_blocks,
         "op3_quality_rules": op3_quality_rules,
+        "op4_license_scan": op4_license_scan,
+        "op5_line_chunks": op5_line_chunks,
         "op6_virtual_slots": op6_virtual_slots,
+        "op7_spaced_seeds": op7_spaced_seeds,
         "op8_best_two_fit": op8_best_two_fit,
         "op9_recompression": op9_recompression,
         "op10_simhash": op10_simhash,
@@ -108,4 +203,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": _op3_sql()}
+    return {"op1_url_filters": _op1_sql(), "op3_quality_rules": _op3_sql(), "op4_license_scan": _op4_sql(), "op7_spaced_seeds": _op7_sql()}
