@@ -139,3 +139,12 @@ def quality_rules(
     far = (F.coalesce(F.col("js_classes"), F.lit(0.0)) > max_class_distance) | (F.coalesce(F.col("js_common"), F.lit(0.0)) > max_word_distance)
     df = df.withColumn("kept", ~F.col("base_failed") & ~far)
     return df.select(*own, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "js_classes", "js_common", "kept")
+
+
+def passing(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs that quality_rules keeps, unchanged."""
+    judged = quality_rules(docs, **options)
+    own = [c for c in judged.columns if c in docs.columns and c != "kept"]
+    # The filter is on what explode makes: one on kept itself would be moved below the word arrays, which lambdas would make anew.
+    judged = judged.select(*own, F.explode_outer(F.when(F.col("kept"), F.array(F.lit(True)))).alias(_WORK + "stay"))
+    return judged.where(F.col(_WORK + "stay").isNotNull()).drop(_WORK + "stay")
