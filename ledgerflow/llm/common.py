@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -27,10 +28,27 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends there, and lost executors lose nothing."""
-    path = shared_dir(df.sparkSession)
+    """Write df to the shared folder and read it back: lineage ends there, and lost executors lose nothing.
+
+    Spark keeps a job's shuffle files until the driver's garbage collector finds that nothing refers to them. What was shuffled
+    for df is not needed any more, so it is collected here and the disks hold one step's shuffles at a time.
+    """
+    spark, schema, path = df.sparkSession, df.schema, shared_dir(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    back = spark.read.schema(schema).parquet(path)
+    back._stored_at = path
+    return back
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete stored tables that no later step reads."""
+    for df in tables:
+        sc = df.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -5,9 +5,11 @@ Names are 128-bit hashes of what they stand for, so all tasks give a pair the sa
 join depends on them alone, so two equal word runs are parsed alike except for a few symbols at their ends.
 
 Two kinds of symbols go to Spark:
-* large ones, of WINDOW words or more: where one also stands in a document with a smaller id, all its words are repeats;
+* large ones, of LARGE words or more, and whole texts: where one also stands in a document with a smaller id, all its words are
+  repeats;
 * anchors, the smallest-named symbol of the third round inside each window of WINDOW words: windows that are equal have equal
-  anchors. Windows with an anchor that a smaller document has, and not wholly within a large repeat, are compared by name.
+  anchors. Windows with an anchor that a smaller document has, and not wholly within a large repeat, are compared by name: first
+  all neighbouring windows of an anchor together, and one by one only where those differ.
 """
 
 from __future__ import annotations
@@ -19,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import forget, stored
 from .tokens import slices
 
-WINDOW, ANCHOR_ROUND, MAX_ROUNDS = 50, 3, 64
+WINDOW, LARGE, ANCHOR_ROUND, MAX_ROUNDS = 50, 200, 3, 64
 SLICE_CHARS = 1_500_000
 NO_ID = 2**63 - 1
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -80,14 +82,14 @@ class Words:
                 lanes[0][i], lanes[1][i] = np.frombuffer(digest, np.uint64)
         return lanes[0], lanes[1]
 
-    def window_names(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Names of the WINDOW words from each of these words on."""
+    def span_names(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Names of the words from a to before b, of both lanes: differences of running sums, each word's name times a power."""
         out = []
-        for lane, c in zip(self.h, (_C[0], _C[2]), strict=True):
-            total = _mix(lane[at] + c)
-            for k in range(1, WINDOW):
-                total = total * _C[1] + lane[at + k]
-            out.append(_mix(total))
+        for lane, c in zip(self.h, (_C[1], _C[3]), strict=True):
+            power = np.cumprod(np.full(len(lane) + 1, c))
+            back = np.cumprod(np.full(len(lane) + 1, np.uint64(pow(int(c), -1, 2**64))))
+            total = np.concatenate([[np.uint64(0)], np.cumsum(lane * power[:-1])])
+            out.append(_mix((total[b] - total[a]) * back[a] + (b - a).astype(np.uint64) * _C[4]))
         return out[0], out[1]
 
     def kept(self, text: int, gone: np.ndarray | None) -> str:
@@ -120,6 +122,11 @@ def parse(w: Words) -> tuple[tuple, tuple]:
     first = np.flatnonzero(start + WINDOW <= whole)  # windows, by their first word
     a, b = first.copy(), first + WINDOW - 1  # symbols certain to be parsed alike in each window
     large: list[tuple] = []
+
+    def keep(at: np.ndarray, size: np.ndarray, part: np.ndarray) -> np.ndarray:
+        """LARGE words or more and a part below that (so no kept symbol covers it yet), or a whole text."""
+        return (size >= LARGE) & (part < LARGE) | (size >= WINDOW) & opens[at] & opens[np.minimum(at + size, total)]
+
     anchors = (np.empty(0, np.uint64), first, first)
     for turn in range(MAX_ROUNDS):
         n = len(h1)
@@ -136,7 +143,7 @@ def parse(w: Words) -> tuple[tuple, tuple]:
                 new2 = np.where(k > 1, _join(h2[head], k.astype(np.uint64), 4), h2[head])
                 h1, h2, start = new1, new2, start[head]
                 size = np.diff(start, append=total)
-                made = (k > 1) & (size >= WINDOW) & (unit < WINDOW)
+                made = (k > 1) & keep(start, size, unit)
                 large.append((h1[made], h2[made], start[made], size[made]))
                 n = len(h1)
                 if n < 2:
@@ -150,9 +157,9 @@ def parse(w: Words) -> tuple[tuple, tuple]:
         one = np.flatnonzero(pair)
         new1, new2 = h1[head], h2[head]
         new1[p], new2[p] = _join(h1[one], h1[one + 1], 0), _join(h2[one], h2[one + 1], 2)
-        if turn >= ANCHOR_ROUND or WINDOW <= 2 ** (turn + 1):
+        if turn >= ANCHOR_ROUND:
             joined = size[one] + size[one + 1]
-            made = (joined >= WINDOW) & (np.minimum(size[one], size[one + 1]) < WINDOW)
+            made = keep(start[one], joined, np.minimum(size[one], size[one + 1]))
             large.append((new1[p][made], new2[p][made], start[one][made], joined[made]))
         if turn < ANCHOR_ROUND:
             # At its ends a window's symbols may join what stands outside: those are not certain any more.
@@ -167,9 +174,10 @@ def parse(w: Words) -> tuple[tuple, tuple]:
 
 
 def _anchors(name: np.ndarray, start: np.ndarray, total: int, first: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple:
-    """The smallest name from a to b of each window, symbols of three words or more first; windows in a row that share it are one entry."""
-    key = _mix(name + _C[4]) >> np.uint64(1)
-    key |= (np.diff(start, append=total) < 3).astype(np.uint64) << np.uint64(63)
+    """The smallest name from a to b of each window, long symbols first; windows in a row that share it are one entry."""
+    size = np.diff(start, append=total)
+    key = _mix(name + _C[4]) >> np.uint64(2)
+    key |= ((size < 5).astype(np.uint64) + (size < 3).astype(np.uint64)) << np.uint64(62)
     tables, step = [key], 1
     longest = int((b - a).max()) + 1
     while 2 * step <= longest:
@@ -190,7 +198,8 @@ def _owner(w: Words, at: np.ndarray) -> np.ndarray:
 
 
 def _found(docs: DataFrame) -> DataFrame:
-    """Large symbols (kind 0) and anchors (kind 1): name, name2, doc, th, and place: (first, words) or (first window, last window)."""
+    """Large symbols (kind 0): name, name2, doc, th and place (first, words). Anchors (kind 1): name, the name of all words of their
+    windows (name2, name3), doc, th and place (first window, last window)."""
 
     def run(batches):
         for batch in batches:
@@ -199,14 +208,15 @@ def _found(docs: DataFrame) -> DataFrame:
             for lo, hi in slices(texts, SLICE_CHARS):
                 w = Words(texts[lo:hi])
                 (n1, n2, at, size), (key, s, e) = parse(w)
-                for kind, one, two, begin, end in ((0, n1, n2, at, size), (1, key, np.zeros(len(key), np.uint64), s, e)):
+                r1, r2 = w.span_names(s, e + WINDOW)
+                for kind, one, two, three, begin, end in ((0, n1, n2, n2, at, size), (1, key, r1, r2, s, e)):
                     own = _owner(w, begin)
                     base = w.first[own]
                     stop = end if kind == 0 else end - base
-                    columns = [np.full(len(one), kind, np.int32), one.view(np.int64), two.view(np.int64), doc[lo + own], th[lo + own], (begin - base) << 32 | stop]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["kind", "name", "name2", "doc", "th", "place"])
+                    columns = [np.full(len(one), kind, np.int32), one.view(np.int64), two.view(np.int64), three.view(np.int64), doc[lo + own], th[lo + own], (begin - base) << 32 | stop]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["kind", "name", "name2", "name3", "doc", "th", "place"])
 
-    return docs.mapInArrow(run, "kind int, name long, name2 long, doc long, th int, place long")
+    return docs.mapInArrow(run, "kind int, name long, name2 long, name3 long, doc long, th int, place long")
 
 
 def _unpack(place):
@@ -276,7 +286,7 @@ def _checked(docs: DataFrame) -> DataFrame:
                     yield rows(kind=[1] * len(again[0]), **dict(zip(("doc_id", "doc", "th", "n_words", "text", "spans"), again, strict=True)))
                 if wins:
                     doc, th, at, where = (np.concatenate(x) for x in zip(*wins, strict=True))
-                    n1, n2 = w.window_names(where)
+                    n1, n2 = w.span_names(where, where + WINDOW)
                     yield rows(kind=np.full(len(doc), 2), doc=doc, th=th, at=at, name=n1.view(np.int64), name2=n2.view(np.int64))
 
     schema = "kind int, doc_id long, doc long, th int, n_words long, n_removed long, kept_sha256 string, text string, spans array<long>, name long, name2 long, at long"
@@ -314,25 +324,35 @@ def repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text: str = "te
         F.col(text).alias("text"),
     )
     found = stored(_found(base.select("doc", "th", "text")))
-    large, anchors = found.where("kind = 0").drop("kind"), found.where("kind = 1").drop("kind", "name2")
+    large, anchors = found.where("kind = 0").drop("kind", "name3"), found.where("kind = 1").drop("kind")
     key = ["doc", "th"]
 
     shared = large.groupBy("name", "name2").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").drop("high")
     spans = stored(large.join(shared, ["name", "name2"]).where("doc > low").groupBy(*key).agg(F.collect_set("place").alias("spans")))
 
+    # Windows outside those, where another document has their anchor.
     shared = anchors.groupBy("name").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").drop("high")
-    near = anchors.join(shared, "name").groupBy(*key).agg(F.collect_set(F.struct("place", "name", (F.col("doc") > F.col("low")).alias("later"))).alias("near"))
-    near = near.join(spans, key, "left")
-    first, last = _unpack(F.col("n.place"))
+    near = anchors.join(shared, "name").select(*key, "place", "name", "name2", "name3", (F.col("doc") > F.col("low")).alias("later"))
+    first, last = _unpack(F.col("place"))
     at, words = (lambda s: F.shiftright(s, 32)), (lambda s: s.bitwiseAND(F.lit(0xFFFFFFFF)))
-    near = near.select(*key, "spans", F.explode("near").alias("n"))
     inside = F.exists("spans", lambda s: (at(s) <= first) & (at(s) + words(s) >= last + WINDOW))
-    open_ = stored(near.where(~F.coalesce(inside, F.lit(False))).select(*key, "n.place", "n.name", "n.later"))
-    asked = open_.where("later").select("name").distinct()
-    ranges = open_.join(asked, "name", "left_semi").groupBy(*key).agg(F.collect_set("place").alias("ranges"))
-
-    known = spans.join(ranges, key, "full")
-    seen = stored(_checked(base.join(known, key, "left").select("doc_id", "doc", "th", "text", "spans", "ranges")))
+    near = stored(near.join(spans, key, "left").where(~F.coalesce(inside, F.lit(False))).drop("spans"))
+    forget(found)
+    # All windows of an anchor at once: a smaller document has the same words around the same anchor.
+    runs = near.groupBy("name2", "name3").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").drop("high")
+    tested = near.join(runs, ["name2", "name3"], "left").withColumn("again", F.coalesce(F.col("doc") > F.col("low"), F.lit(False)))
+    whole, near = near, stored(tested.select(*key, "place", "name", "later", "again"))
+    forget(whole)
+    more = near.where("again").groupBy(*key).agg(F.collect_set(F.shiftleft(first, 32) + last + WINDOW - first).alias("more"))
+    # The rest one by one, where a document with a larger id asks for their anchor.
+    asked = near.where("later and not again").select("name").distinct()
+    ranges = near.where("not again").join(asked, "name", "left_semi").groupBy(*key).agg(F.collect_set("place").alias("ranges"))
+
+    known = spans.join(more, key, "full").join(ranges, key, "full")
+    none = F.array().cast("array<bigint>")
+    known = known.select(*key, F.concat(F.coalesce("spans", none), F.coalesce("more", none)).alias("spans"), "ranges")
+    seen = stored(_checked(base.join(known.hint("merge"), key, "left").select("doc_id", "doc", "th", "text", "spans", "ranges")))
+    forget(spans, near)
     windows = seen.where("kind = 2").select("name", "name2", *key, "at")
     low = windows.groupBy("name", "name2").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").drop("high")
     again = windows.join(low, ["name", "name2"]).where("doc > low").groupBy(*key).agg(F.collect_set("at").alias("windows"))
