@@ -91,12 +91,13 @@ def remove_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text: str =
     again = chunks.groupBy("h1", "h2").agg(F.min(where).alias("first"), F.max(where).alias("last")).where("first <> last").drop("last")
     again = stored(again)
     asked = again.groupBy(F.col("first.doc").alias("_doc"), F.col("first.th").alias("_th")).agg(F.collect_set(F.struct("first.place", "h1", "h2")).alias("asked"))
-    firsts = keyed.select("_doc", "_th", F.col(text)).join(asked, ["_doc", "_th"]).select(text, "asked")
+    # Documents meet their chunks by a merge join at every size; a broadcast of what is found would depend on the corpus.
+    firsts = keyed.select("_doc", "_th", F.col(text)).join(asked.hint("merge"), ["_doc", "_th"]).select(text, "asked")
     firsts = stored(_bytes(firsts).dropDuplicates(["h1", "h2"]))
     held = again.join(firsts, ["h1", "h2"])
     drop = chunks.join(held, ["h1", "h2"]).where(where != F.col("first"))
     drop = drop.groupBy(F.col("doc").alias("_doc"), F.col("th").alias("_th")).agg(F.collect_set(F.struct("place", "first_bytes")).alias("_drop"))
-    joined = keyed.join(drop, ["_doc", "_th"], "left").select(*own, "_drop")
+    joined = keyed.join(drop.hint("merge"), ["_doc", "_th"], "left").select(*own, "_drop")
     schema = joined.drop("_drop").schema.add("n_lines", "long").add("n_removed_lines", "long")
     at = own.index(text)
 
