@@ -586,10 +586,10 @@ def job_lifecycle(spark, sf):
     return streaming.job_lifecycle(ledger.job_events(spark, sf)).select("job_id", "status", "n_events")
 
 
-@query("SELECT job_id, event, data, round(epoch_us(ts) / 1e6 - epoch_us(min(ts) OVER (PARTITION BY job_id)) / 1e6, 1) AS elapsed_s FROM jobev")
+@query("SELECT job_id, event, data, ((epoch_us(ts) - epoch_us(min(ts) OVER (PARTITION BY job_id)) + 5000) // 10000) / 100.0::DOUBLE AS elapsed_s FROM jobev")
 def event_elapsed(spark, sf):
     d = streaming.event_elapsed(ledger.job_events(spark, sf))
-    return d.select("job_id", "event", "data", F.round(F.col("elapsed_s"), 1).alias("elapsed_s"))
+    return d.select("job_id", "event", "data", "elapsed_s")
 
 
 def queries() -> dict:

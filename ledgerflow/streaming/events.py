@@ -77,10 +77,10 @@ def job_lifecycle_stream(df: DataFrame, ttl_ms: int = 3_600_000) -> DataFrame:
 def event_elapsed(df: DataFrame) -> DataFrame:
     """elapsed_s since the job's first event, and a one-line summary of the known keys in the data."""
     w = Window.partitionBy("job_id")
-    seconds = F.col("ts").cast("double") - F.min("ts").over(w).cast("double")
+    micros = F.unix_micros("ts") - F.min(F.unix_micros("ts")).over(w)
     parts = [F.when(F.get_json_object("data", f"$.{k}").isNotNull(), F.concat(F.lit(k + "="), F.get_json_object("data", f"$.{k}"))) for k in SUMMARY_KEYS]
     line = F.concat_ws(" ", *parts)
-    return df.withColumns({"elapsed_s": F.round(seconds, 2), "summary": F.when(line != "", line).otherwise(F.col("data"))})
+    return df.withColumns({"elapsed_s": F.floor((micros + 5000) / 10_000) / 100, "summary": F.when(line != "", line).otherwise(F.col("data"))})
 
 
 def job_ttl_evict(jobs: DataFrame, now, ttl_seconds: int = 3600, max_jobs: int = 1024) -> DataFrame:
