@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import MONEY, account_hint, amount, collapse, flag_checks, flag_markers, infer_iso_date, money, side, vendor_key
+from ..functions.columns import MONEY, account_hint, amount, categorise, collapse, flag_checks, flag_markers, infer_iso_date, money, side, vendor_key
 
 BEGIN = r"(?i)Beginning Balance as of\s+(\d{2}/\d{2}/\d{4})"
 END = r"(?i)Ending Balance as of\s+(\d{2}/\d{2}/\d{4})"
@@ -25,7 +25,9 @@ def _or_null(c):
 
 
 def segment_statements(docs: DataFrame, lookback: int = 800) -> DataFrame:
-    """doc_id, segment_no, text, period_start_raw, period_end_raw, account_hint: each opening balance with lookback characters before it.
+    """doc_id, segment_no, text, lookback_chars, period_start_raw, period_end_raw, account_hint of each opening balance.
+
+    The text begins lookback characters before the opening balance (lookback_chars of them are there) and ends at the next one.
 
     The end date is the first in the segment, the look-back included. A text without an opening balance gives no segment.
     """
@@ -33,8 +35,8 @@ def segment_statements(docs: DataFrame, lookback: int = 800) -> DataFrame:
     w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     # The characters before a piece are the tail of the pieces before it; one piece may be shorter than the look-back.
     tail = F.right(F.array_join(F.collect_list(F.right("piece", F.lit(lookback))).over(w.rowsBetween(-lookback // 40, -1)), ""), F.lit(lookback))
-    d = d.withColumn("text", F.concat(tail, "piece")).where("pos > 0")
-    d = d.select("doc_id", (F.col("pos") - 1).alias("segment_no"), "text", F.regexp_extract("piece", BEGIN, 1).alias("period_start_raw"), _or_null(F.regexp_extract("text", END, 1)).alias("period_end_raw"))
+    d = d.withColumn("tail", tail).where("pos > 0").withColumn("text", F.concat("tail", "piece"))
+    d = d.select("doc_id", (F.col("pos") - 1).alias("segment_no"), "text", F.length("tail").alias("lookback_chars"), F.regexp_extract("piece", BEGIN, 1).alias("period_start_raw"), _or_null(F.regexp_extract("text", END, 1)).alias("period_end_raw"))
     return d.withColumn("account_hint", account_hint("text"))
 
 
@@ -192,3 +194,24 @@ def find_injections(df: DataFrame, text: str = "text", key: str = "doc_id") -> D
 
 def with_vendor_key(t: DataFrame) -> DataFrame:
     return t.withColumn("vendor_key", vendor_key("description", "vendor"))
+
+
+def bulk_extract(docs: DataFrame, lookback: int = 800, min_rows: int = 5, strict_period: bool = True) -> dict[str, DataFrame]:
+    """statements, transactions and skipped_rows of all documents (doc_id, text); statement_id is doc_id#segment_no.
+
+    strict_period reads rows and figures from the opening balance on only; otherwise the look-back may repeat rows of the statement
+    before. Rows whose side nothing tells are skipped rows.
+    """
+    seg = looks_like_statement(dedupe_segments(segment_statements(docs, lookback)), min_rows)
+    if strict_period:
+        seg = seg.withColumn("text", F.substr("text", F.col("lookback_chars") + 1))
+    key = F.concat_ws("#", F.col("doc_id").cast("string"), F.col("segment_no").cast("string"))
+    seg = seg.withColumns({"statement_id": key, "period_start": F.try_to_date("period_start_raw", "MM/dd/yyyy")})
+    s = extract_summary(seg, ("statement_id", "doc_id", "segment_no", "account_hint"))
+    s = s.withColumn("account_last4", F.coalesce("account_last4", "account_hint")).drop("account_hint")
+    c = infer_sides(rows_to_candidates(filter_transactions(parse_rows(seg))))
+    told = F.col("side").isNotNull()
+    a = money(F.abs("amount"))
+    t = c.where(told).select("statement_id", "tx_index", "tx_date", "description", F.when(F.col("side") == "D", a).alias("deposit"), F.when(F.col("side") == "W", a).alias("withdrawal"))
+    skipped = c.where(~told).select("statement_id", "tx_index", F.col("description").alias("raw"), F.lit("side unknown").alias("reason"))
+    return {"statements": s, "transactions": t.withColumn("category", categorise("description")), "skipped_rows": skipped}

@@ -504,6 +504,18 @@ def segment_statements(spark, sf):
     return found.select("doc_id", "segment_no", "period_start_raw", F.col("doc_id").alias("account_hint"))
 
 
+@query("SELECT account_last4, period_start::VARCHAR AS period_start, beginning_balance::DOUBLE AS beginning_balance, n - 1 AS kept, 1::BIGINT AS skipped FROM stmt JOIN (SELECT statement_id, count(*) AS n FROM tx GROUP BY 1) USING (statement_id)")
+def bulk_extract(spark, sf):
+    _, _, texts = _rendered(spark, sf)
+    rows = F.array_sort(F.collect_list(F.struct("period_start", "text")))
+    docs = texts.groupBy(F.col("account_last4").alias("doc_id")).agg(F.array_join(F.transform(rows, lambda x: x["text"]), "\n").alias("text"))
+    found = parsing.bulk_extract(docs, min_rows=1)
+    n = lambda df, c: df.groupBy("statement_id").agg(F.count("*").alias(c))
+    d = found["statements"].join(n(found["transactions"], "kept"), "statement_id", "left").join(n(found["skipped_rows"], "skipped"), "statement_id", "left")
+    zero = F.lit(0).cast("long")
+    return _plain(d.select("account_last4", "period_start", "beginning_balance", F.coalesce("kept", zero).alias("kept"), F.coalesce("skipped", zero).alias("skipped")))
+
+
 @query("SELECT statement_id, account_last4, period_start::VARCHAR AS period_start, period_end::VARCHAR AS period_end, beginning_balance::DOUBLE AS beginning_balance, ending_balance::DOUBLE AS ending_balance, 'USD' AS currency FROM stmt")
 def extract_summary(spark, sf):
     _, _, texts = _rendered(spark, sf)
