@@ -17,13 +17,13 @@ SPACES = " \t\n\x0b\x0c\r"
 
 def shared_dir(spark: SparkSession) -> str:
     """A new folder name below the one that the driver and all executors share (spark.checkpoint.dir)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="llm-shared-")
-        spark.conf.set("spark.checkpoint.dir", base)
+    sc = spark.sparkContext
+    if not (base := spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()):
+        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="llm-shared-"))  # only where nobody has named one, as in tests
+        base = sc.getCheckpointDir()
     path = f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    hadoop = sc._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
     return path
 
 
