@@ -9,7 +9,8 @@ Two kinds of symbols go to Spark:
   repeats;
 * anchors, the smallest-named symbol of the third round inside each window of WINDOW words: windows that are equal have equal
   anchors. Windows with an anchor that a smaller document has, and not wholly within a large repeat, are compared by name: first
-  all neighbouring windows of an anchor together, and one by one only where those differ.
+  all neighbouring windows of an anchor together; where those differ, the words before and behind the anchor tell which of the
+  windows can be equal at all, and those are compared one by one.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from .common import forget, stored
 from .tokens import slices
 
 WINDOW, LARGE, ANCHOR_ROUND, MAX_ROUNDS = 50, 200, 3, 64
+#: A third-round symbol has at most 8 words, so a window around one also holds this many words before it, or behind it.
+AROUND = (WINDOW - 2**ANCHOR_ROUND) // 2
 SLICE_CHARS = 1_500_000
 NO_ID = 2**63 - 1
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -111,7 +114,7 @@ def _class(name: np.ndarray, turn: int) -> np.ndarray:
 
 
 def parse(w: Words) -> tuple[tuple, tuple]:
-    """(large symbols, anchors): (name, name, start, length) and (name, first window, last window), in word indices."""
+    """(large symbols, anchors): (name, name, start, length) and (name, start, length, first window, last window), in word indices."""
     total = len(w.starts)
     opens = np.zeros(total + 1, bool)  # a text's first word: nothing joins across it
     opens[w.first] = True
@@ -127,7 +130,7 @@ def parse(w: Words) -> tuple[tuple, tuple]:
         """LARGE words or more and a part below that (so no kept symbol covers it yet), or a whole text."""
         return (size >= LARGE) & (part < LARGE) | (size >= WINDOW) & opens[at] & opens[np.minimum(at + size, total)]
 
-    anchors = (np.empty(0, np.uint64), first, first)
+    anchors = (np.empty(0, np.uint64), *[np.empty(0, np.int64)] * 4)
     for turn in range(MAX_ROUNDS):
         n = len(h1)
         if n < 2 or turn > ANCHOR_ROUND and n <= np.count_nonzero(lengths):
@@ -178,7 +181,10 @@ def _anchors(name: np.ndarray, start: np.ndarray, total: int, first: np.ndarray,
     size = np.diff(start, append=total)
     key = _mix(name + _C[4]) >> np.uint64(2)
     key |= ((size < 5).astype(np.uint64) + (size < 3).astype(np.uint64)) << np.uint64(62)
-    tables, step = [key], 1
+    order = np.argsort(key, kind="stable")
+    rank = np.empty(len(key), np.int32)
+    rank[order] = np.arange(len(key), dtype=np.int32)
+    tables, step = [rank], 1
     longest = int((b - a).max()) + 1
     while 2 * step <= longest:
         t = tables[-1].copy()
@@ -187,10 +193,11 @@ def _anchors(name: np.ndarray, start: np.ndarray, total: int, first: np.ndarray,
         step *= 2
     level = np.floor(np.log2(b - a + 1)).astype(np.int64)
     table = np.stack(tables)
-    low = np.minimum(table[level, a], table[level, b - (1 << level) + 1])
+    low = order[np.minimum(table[level, a], table[level, b - (1 << level) + 1])]
     cut = np.flatnonzero((low[1:] != low[:-1]) | (first[1:] != first[:-1] + 1)) + 1
     at, to = np.concatenate([[0], cut]), np.concatenate([cut, [len(first)]]) - 1
-    return low[at], first[at], first[to]
+    own = low[at]
+    return key[own], start[own], size[own], first[at], first[to]
 
 
 def _owner(w: Words, at: np.ndarray) -> np.ndarray:
@@ -198,29 +205,35 @@ def _owner(w: Words, at: np.ndarray) -> np.ndarray:
 
 
 def _found(docs: DataFrame) -> DataFrame:
-    """Large symbols (kind 0): name, name2, doc, th and place (first, words). Anchors (kind 1): name, the name of all words of their
-    windows (name2, name3), doc, th and place (first window, last window)."""
+    """Large symbols (kind 0): name, name2, doc, th and place (first, words).
+
+    Anchors (kind 1): name, the name of all words of their windows (name2, name3), the names of the anchor with AROUND words before
+    it (left) and behind it (right), doc, th and place: first window, further windows, and how many of them at the front hold all
+    of left, at the back all of right.
+    """
 
     def run(batches):
+        names = ["kind", "name", "name2", "name3", "left", "right", "doc", "th", "place"]
         for batch in batches:
             doc, th = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             texts = batch.column(2).to_pylist()
             for lo, hi in slices(texts, SLICE_CHARS):
                 w = Words(texts[lo:hi])
-                (n1, n2, at, size), (key, s, e) = parse(w)
+                (n1, n2, at, size), (key, p, m, s, e) = parse(w)
+                own = _owner(w, at)
+                none = pa.nulls(len(at), pa.int64())
+                columns = [pa.array(np.zeros(len(at), np.int32)), pa.array(n1.view(np.int64)), pa.array(n2.view(np.int64)), none, none, none, pa.array(doc[lo + own]), pa.array(th[lo + own]), pa.array((at - w.first[own]) << 32 | size)]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+                own = _owner(w, s)
                 r1, r2 = w.span_names(s, e + WINDOW)
-                for kind, one, two, three, begin, end in ((0, n1, n2, n2, at, size), (1, key, r1, r2, s, e)):
-                    own = _owner(w, begin)
-                    base = w.first[own]
-                    stop = end if kind == 0 else end - base
-                    columns = [np.full(len(one), kind, np.int32), one.view(np.int64), two.view(np.int64), three.view(np.int64), doc[lo + own], th[lo + own], (begin - base) << 32 | stop]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["kind", "name", "name2", "name3", "doc", "th", "place"])
-
-    return docs.mapInArrow(run, "kind int, name long, name2 long, name3 long, doc long, th int, place long")
-
+                left, _ = w.span_names(np.maximum(p - AROUND, w.first[own]), p + m)
+                _, right = w.span_names(p, np.minimum(p + m + AROUND, w.first[own + 1]))
+                front, back = np.maximum(p - AROUND + 1 - s, 0), np.maximum(e - (p + m + AROUND - 1 - WINDOW), 0)
+                place = (s - w.first[own]) << 32 | (e - s) << 16 | np.minimum(front, 255) << 8 | np.minimum(back, 255)
+                columns = [np.ones(len(s), np.int32), *[x.view(np.int64) for x in (key, r1, r2, left, right)], doc[lo + own], th[lo + own], place]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
-def _unpack(place):
-    return F.shiftright(place, 32), place.bitwiseAND(F.lit(0xFFFFFFFF))
+    return docs.mapInArrow(run, "kind int, name long, name2 long, name3 long, left long, right long, doc long, th int, place long")
 
 
 def _gone(n: int, spans: list | None, windows: list | None) -> np.ndarray | None:
@@ -324,7 +337,7 @@ def repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text: str = "te
         F.col(text).alias("text"),
     )
     found = stored(_found(base.select("doc", "th", "text")))
-    large, anchors = found.where("kind = 0").drop("kind", "name3"), found.where("kind = 1").drop("kind")
+    large, anchors = found.where("kind = 0").drop("kind", "name3", "left", "right"), found.where("kind = 1").drop("kind")
     key = ["doc", "th"]
 
     shared = large.groupBy("name", "name2").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").drop("high")
@@ -332,27 +345,37 @@ def repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text: str = "te
 
     # Windows outside those, where another document has their anchor.
     shared = anchors.groupBy("name").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").drop("high")
-    near = anchors.join(shared, "name").select(*key, "place", "name", "name2", "name3", (F.col("doc") > F.col("low")).alias("later"))
-    first, last = _unpack(F.col("place"))
+    near = anchors.join(shared, "name").select(*key, "place", "name", "name2", "name3", "left", "right", (F.col("doc") > F.col("low")).alias("later"))
+    bits = lambda shift: F.shiftright("place", shift).bitwiseAND(F.lit(0xFF))
+    first, front, back = F.shiftright("place", 32), bits(8), bits(0)
+    last = first + bits(16)
     at, words = (lambda s: F.shiftright(s, 32)), (lambda s: s.bitwiseAND(F.lit(0xFFFFFFFF)))
     inside = F.exists("spans", lambda s: (at(s) <= first) & (at(s) + words(s) >= last + WINDOW))
     near = stored(near.join(spans, key, "left").where(~F.coalesce(inside, F.lit(False))).drop("spans"))
     forget(found)
     # All windows of an anchor at once: a smaller document has the same words around the same anchor.
-    runs = near.groupBy("name2", "name3").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").drop("high")
-    tested = near.join(runs, ["name2", "name3"], "left").withColumn("again", F.coalesce(F.col("doc") > F.col("low"), F.lit(False)))
-    whole, near = near, stored(tested.select(*key, "place", "name", "later", "again"))
+    several = lambda df, *k: df.groupBy(*k).agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").drop("high")
+    tested = near.join(several(near, "name2", "name3"), ["name2", "name3"], "left").withColumn("again", F.coalesce(F.col("doc") > F.col("low"), F.lit(False)))
+    whole, near = near, stored(tested.select(*key, "place", "name", "left", "right", "later", "again"))
     forget(whole)
     more = near.where("again").groupBy(*key).agg(F.collect_set(F.shiftleft(first, 32) + last + WINDOW - first).alias("more"))
-    # The rest one by one, where a document with a larger id asks for their anchor.
-    asked = near.where("later and not again").select("name").distinct()
-    ranges = near.where("not again").join(asked, "name", "left_semi").groupBy(*key).agg(F.collect_set("place").alias("ranges"))
+    # Windows that hold the words before (behind) an anchor go where no other document has those.
+    rest = near.where("not again")
+    around = several(rest.select("doc", F.explode(F.array("left", "right")).alias("side")), "side").drop("low")
+    rest = rest.join(around.select(F.col("side").alias("left"), F.lit(0).alias("skip")), "left", "left")
+    rest = rest.join(around.select(F.col("side").alias("right"), F.lit(0).alias("stop")), "right", "left")
+    begin, end = first + F.coalesce("skip", front), last - F.coalesce("stop", back)
+    rest = rest.select(*key, "name", "later", begin.alias("begin"), end.alias("end")).where("begin <= end")
+    rest = stored(rest.select(*key, "name", "later", (F.shiftleft("begin", 32) + F.col("end")).alias("place")))
+    # The others one by one, where a document with a larger id asks for their anchor.
+    asked = rest.where("later").select("name").distinct()
+    ranges = rest.join(asked, "name", "left_semi").groupBy(*key).agg(F.collect_set("place").alias("ranges"))
 
     known = spans.join(more, key, "full").join(ranges, key, "full")
     none = F.array().cast("array<bigint>")
     known = known.select(*key, F.concat(F.coalesce("spans", none), F.coalesce("more", none)).alias("spans"), "ranges")
     seen = stored(_checked(base.join(known.hint("merge"), key, "left").select("doc_id", "doc", "th", "text", "spans", "ranges")))
-    forget(spans, near)
+    forget(spans, near, rest)
     windows = seen.where("kind = 2").select("name", "name2", *key, "at")
     low = windows.groupBy("name", "name2").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").drop("high")
     again = windows.join(low, ["name", "name2"]).where("doc > low").groupBy(*key).agg(F.collect_set("at").alias("windows"))
