@@ -16,7 +16,7 @@ def test_sniff(spark, tmp_path):
     for name, data in {"a.pdf": b"%PDF-1.7", "b.png": b"\x89PNG\r\n\x1a\n0", "c.xlsx": b"PK\x03\x04..", "d.htm": b"x", "e.bin": b"<!DOCTYPE html>", "f.txt": b"\xff\xfe\xfa", "g.dat": b"\xff\xfe\xfa", "h.dat": b"plain", "i.dat": b""}.items():
         (tmp_path / name).write_bytes(data)
     got = {r["path"].rsplit("/", 1)[1]: r["kind"] for r in files.sniff_files(spark, str(tmp_path)).collect()}
-    assert got == {"a.pdf": "pdf", "b.png": "image", "c.xlsx": "xlsx", "d.htm": "html", "e.bin": "html", "f.txt": "text", "g.dat": "unknown", "h.dat": "text", "i.dat": "empty"}
+    assert got == {"a.pdf": "pdf", "b.png": "image", "c.xlsx": "xlsx", "d.htm": "html", "e.bin": "html", "f.txt": "text", "g.dat": "unknown", "h.dat": "text"}
 
 
 def test_text_and_json(spark, tmp_path):
