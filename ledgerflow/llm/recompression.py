@@ -344,7 +344,8 @@ def repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text: str = "te
     spans = stored(large.join(shared, ["name", "name2"]).where("doc > low").groupBy(*key).agg(F.collect_set("place").alias("spans")))
 
     # Windows outside those, where another document has their anchor.
-    shared = anchors.groupBy("name").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").drop("high")
+    # Stored, so that the join has exchanges of its own, whose large partitions Spark splits where one anchor is in very many rows.
+    shared = stored(anchors.groupBy("name").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").drop("high"))
     near = anchors.join(shared, "name").select(*key, "place", "name", "name2", "name3", "left", "right", (F.col("doc") > F.col("low")).alias("later"))
     bits = lambda shift: F.shiftright("place", shift).bitwiseAND(F.lit(0xFF))
     first, front, back = F.shiftright("place", 32), bits(8), bits(0)
@@ -354,7 +355,7 @@ def repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text: str = "te
     near = stored(near.join(spans, key, "left").where(~F.coalesce(inside, F.lit(False))).drop("spans"))
     forget(found)
     # All windows of an anchor at once: a smaller document has the same words around the same anchor.
-    several = lambda df, *k: df.groupBy(*k).agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").drop("high")
+    several = lambda df, *k: stored(df.groupBy(*k).agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").drop("high"))
     tested = near.join(several(near, "name2", "name3"), ["name2", "name3"], "left").withColumn("again", F.coalesce(F.col("doc") > F.col("low"), F.lit(False)))
     whole, near = near, stored(tested.select(*key, "place", "name", "left", "right", "later", "again"))
     forget(whole)
@@ -368,7 +369,7 @@ def repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text: str = "te
     rest = rest.select(*key, "name", "later", begin.alias("begin"), end.alias("end")).where("begin <= end")
     rest = stored(rest.select(*key, "name", "later", (F.shiftleft("begin", 32) + F.col("end")).alias("place")))
     # The others one by one, where a document with a larger id asks for their anchor.
-    asked = rest.where("later").select("name").distinct()
+    asked = stored(rest.where("later").select("name").distinct())
     ranges = rest.join(asked, "name", "left_semi").groupBy(*key).agg(F.collect_set("place").alias("ranges"))
 
     known = spans.join(more, key, "full").join(ranges, key, "full")
