@@ -1,0 +1,48 @@
+"""The pipeline's near-dedup stage against brute force over five-word shingles."""
+
+from __future__ import annotations
+
+import random
+
+import corpus_pipeline
+from ledgerflow.llm import near_copies
+
+
+def brute(texts):
+    """The smallest index of each text's component at a Jaccard similarity of 0.8 over five-word shingles."""
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))})
+    root, links = list(range(len(sets))), 0
+    for i in range(len(sets)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                links += sets[i] != sets[j]
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    return root, links
+
+
+def test_near_dedup_stage_finds_all_links(spark):
+    rnd = random.Random(2)
+    text = lambda n: [f"w{rnd.randint(0, 3000)}" for _ in range(n)]
+    texts = [None, "", " \n", "one", "One", "one two", "a b c d e"]
+    for _ in range(60):
+        base = text(rnd.randint(20, 300))
+        texts.append(" ".join(base))
+        for _ in range(4):  # edits of a number that leaves the similarity around 0.8
+            other = list(base)
+            for k in rnd.sample(range(len(base)), max(1, len(base) * rnd.randint(1, 4) // 100)):
+                other[k] = "changed"
+            texts.append(" ".join(other))
+        texts.append(" ".join(base[: len(base) // 2] + text(len(base) // 2)))
+    order = list(range(len(texts)))
+    rnd.shuffle(order)
+    texts = [texts[k] for k in order]
+    root, links = brute(texts)
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)] + [(0, texts[0], "en", "s", 0), (None, texts[1], "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.near_dedup_stage(spark, docs, "")
+    assert sorted(-1 if r["doc_id"] is None else r["doc_id"] for r in kept.collect()) == [-1, *sorted(set(root))] and links > 100
+    assert near_copies.one_of_each(docs.limit(0)).count() == 0
