@@ -273,7 +273,7 @@ def _checked(docs: DataFrame) -> DataFrame:
                 for i in range(lo, hi):
                     base, n = int(w.first[i - lo]), int(w.first[i - lo + 1] - w.first[i - lo])
                     gone = _gone(n, spans[i], None)
-                    at = np.empty(0, np.int64)
+                    at = need = np.empty(0, np.int64)
                     if ranges[i]:
                         p = np.array(ranges[i], np.int64)
                         a, b = p >> 32, p & 0xFFFFFFFF
@@ -281,14 +281,15 @@ def _checked(docs: DataFrame) -> DataFrame:
                         np.add.at(turn, a, 1)
                         np.add.at(turn, b + 1, -1)
                         want = np.cumsum(turn[: n - WINDOW + 1]) > 0
-                        if gone is not None:  # windows that are wholly removed need no look
+                        at = need = np.flatnonzero(want)
+                        if gone is not None:  # windows that are wholly removed need no look, but later documents may have them from here
                             still = np.concatenate([[0], np.cumsum(~gone)])
-                            want &= still[WINDOW:] > still[:-WINDOW]
-                        at = np.flatnonzero(want)
+                            need = at[still[at + WINDOW] > still[at]]
                     if len(at):
+                        wins.append((np.full(len(at), docs_[i]), np.full(len(at), ths[i]), at, at + base))
+                    if len(need):
                         for column, v in zip(again, (ids[i], docs_[i], ths[i], n, texts[i], spans[i]), strict=True):
                             column.append(v)
-                        wins.append((np.full(len(at), docs_[i]), np.full(len(at), ths[i]), at, at + base))
                     else:
                         out = (ids[i], docs_[i], ths[i], n, 0 if gone is None else int(gone.sum()), w.kept(i - lo, gone))
                         for column, v in zip(done, out, strict=True):
