@@ -30,11 +30,11 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first), *[(a, capacity) for a in range(first, n, capacity)]]
 
 
-def encode_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, salts: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def encode_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, salts: int, id_col: str = "doc_id", text: str = "text", special: bool = False) -> DataFrame:
     """One row per piece with its ids (little-endian, 2 bytes each if all ids of the vocabulary fit, else 4)."""
 
     def run(batches):
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, special)
         narrow = enc.tokenizer.get_vocab_size() <= 65536 and end_id < 65536
         end = int(end_id).to_bytes(4, "little")
         turn = 0
@@ -115,17 +115,17 @@ def _places(plan: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.ndarr
 
 
 def pack_documents(
-    docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 1024, id_col: str = "doc_id", text: str = "text"
+    docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 1024, id_col: str = "doc_id", text: str = "text", special: bool = False
 ) -> tuple[DataFrame, DataFrame]:
     """(placement, pieces). placement: doc_id, piece, start, length, ids_crc32, sequence_id, offset; pieces: the same rows with ids.
 
-    A null or empty text is one piece that holds the end id. Repeated rows are packed one by one; equal lengths are dealt in any
+    With special, the strings of added tokens get their own ids. A null or empty text is one piece that holds the end id. Repeated rows are packed one by one; equal lengths are dealt in any
     order. Other columns of docs are not read, so their names cannot clash. An empty table gives two empty results.
     Only the number of pieces per (length, salt) goes to the driver: capacity * salts numbers at most.
     """
     spark = docs.sparkSession
     salts = max(8, min(partitions(spark), 256))
-    pieces = stored(encode_pieces(docs, tokenizer, end_id, capacity, salts, id_col, text))
+    pieces = stored(encode_pieces(docs, tokenizer, end_id, capacity, salts, id_col, text, special))
     stats = pieces.groupBy("length", "salt").count().collect()
     counts: Counter = Counter()
     before = {}

@@ -66,7 +66,7 @@ FROM p LEFT JOIN best USING (page_id)"""
 
 
 def op2_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_blocks.token_files(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), end_id=1)
+    return token_blocks.token_files(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), end_id=1, special=True)
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -175,7 +175,7 @@ SELECT doc_id, n_items IS NOT NULL AS contaminated, coalesce(n_items, 0) AS n_it
 
 
 def op8_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placement, _ = packing.pack_documents(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), end_id=2)
+    placement, _ = packing.pack_documents(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), end_id=2, special=True)
     return placement
 
 

@@ -115,7 +115,7 @@ def _files(uri: str):
     return fs.FileSystem.from_uri(uri if urlparse(uri).scheme else "file://" + uri)
 
 
-def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, id_col: str = "doc_id", text: str = "text", special: bool = False) -> DataFrame:
     """Encode each text, append end_id, write files in ascending id order; returns the files: path, part, segment, docs, ids, first_id.
 
     A file ends after SEGMENT_IDS ids, so memory holds one file's ids. Names come from the partition, and a file appears under its
@@ -123,7 +123,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
     """
 
     def run(batches):
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, special)
         files, root = _files(folder)
         part, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
         end = int(end_id).to_bytes(4, "little")
@@ -189,11 +189,11 @@ def read_token_files(files: DataFrame, folder: str) -> DataFrame:
     return jobs.repartition(partitions(files.sparkSession)).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def token_files(docs: DataFrame, tokenizer: str, end_id: int = 1, folder: str | None = None, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def token_files(docs: DataFrame, tokenizer: str, end_id: int = 1, folder: str | None = None, id_col: str = "doc_id", text: str = "text", special: bool = False) -> DataFrame:
     """Write the files below folder (default: a new shared one) and read them back: one row per document.
 
-    A null text is empty and has the end id alone. Null ids come first. Repeated rows are written as often as they are given.
+    With special, the strings of added tokens get their own ids. A null text is empty and has the end id alone. Null ids come first. Repeated rows are written as often as they are given.
     Other columns are not read. An empty table writes no file and gives an empty result.
     """
     folder = folder or shared_dir(docs.sparkSession)
-    return read_token_files(stored(write_token_files(docs, folder, tokenizer, end_id, id_col, text)), folder)
+    return read_token_files(stored(write_token_files(docs, folder, tokenizer, end_id, id_col, text, special)), folder)

@@ -20,14 +20,19 @@ _JOIN = 200
 
 
 class Encoder:
-    """encode(texts) gives each text's ids as little-endian unsigned 32-bit bytes. One lives in each Python worker."""
+    """encode(texts) gives each text's ids as little-endian unsigned 32-bit bytes. One lives in each Python worker.
 
-    def __init__(self, path: str, cache_entries: int = 1_400_000):
+    With special, added tokens' strings in a text get their own ids, as the library does by default; else they are ordinary text.
+    """
+
+    def __init__(self, path: str, cache_entries: int = 1_400_000, special: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = not special
+        #: Texts with one of these go to the library whole.
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if special else []
         self.spaced = self._ids("a b") != self._ids("ab") and len(self._ids("\n")) > 0  # white space has tokens of its own
         self.split = _SPACED.findall if self.spaced else _WORD.findall
         self.glue = "\n" if self.spaced else " \x01 "
@@ -68,7 +73,7 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.new) > self.cache_entries // 2:
             self.old, self.new = self.new, {}
-        split, odd = [None if _ODD_SPACE.search(t) else self.split(t) for t in texts], []
+        split, odd = [None if _ODD_SPACE.search(t) or any(a in t for a in self.added) else self.split(t) for t in texts], []
         missing = []
         for i, chunks in enumerate(split):
             if chunks is None:
@@ -91,14 +96,14 @@ class Encoder:
         return out
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
+def encoder(path: str, special: bool = False) -> Encoder:
+    if (path, special) not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+        _ENCODERS[path, special] = Encoder(path, special=special)
+    return _ENCODERS[path, special]
 
 
 def slices(texts: list, max_chars: int = 1_000_000):
