@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, WORD, stored, words_of
+from .common import SPACE, WORD, numbered, settled, stored, words_of
 
 # Frequent function words of the four languages of the corpus.
 COMMON_WORDS = (
@@ -25,7 +25,8 @@ CLASSES = (
 )
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 MIN_CHARS_FOR_CLASSES, MIN_WORDS_FOR_COMMON = 200, 100
-MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.30, 0.29
+#: The class distance is judged as it is; the word distance as a share of what a text without any common word has to the same reference.
+MAX_CLASS_DISTANCE, MAX_WORD_SHARE = 0.30, 0.8
 _WORK = "_quality_"
 
 
@@ -49,7 +50,10 @@ def _histograms(docs: DataFrame, text: str, lang: str) -> DataFrame:
 
 
 def language_references(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """One row per language (null counts as ''): the summed histograms of all its documents that pass the length guards."""
+    """One row per language (null counts as ''): the summed histograms of all its documents that pass the length guards.
+
+    ref_far is the distance to ref_common of a text without any common word, the largest that such a text can have.
+    """
     p = _WORK
     df = _histograms(docs, text, lang)
     k, m = len(CLASSES) + 1, len(COMMON_WORDS) + 1
@@ -58,11 +62,13 @@ def language_references(docs: DataFrame, text: str = "text", lang: str = "lang")
     sums += [F.sum(F.when(words_ok, F.col(p + "common")[i])).alias(f"w{i}") for i in range(m)]
     total = df.groupBy(F.col(p + "lang").alias("ref_lang")).agg(*sums)
     zero = F.lit(0).cast("long")
-    return total.select(
+    refs = total.select(
         "ref_lang",
         F.array(*[F.coalesce(f"c{i}", zero) for i in range(k)]).alias("ref_chars"),
         F.array(*[F.coalesce(f"w{i}", zero) for i in range(m)]).alias("ref_common"),
     )
+    none = F.array(*[zero] * (m - 1), F.lit(1).cast("long"))
+    return refs.withColumn("ref_far", js_distance(none, F.col("ref_common")))
 
 
 def js_distance(a: Column, b: Column) -> Column:
@@ -83,26 +89,15 @@ def js_distance(a: Column, b: Column) -> Column:
     return F.when((total(a) > 0) & (total(b) > 0), F.sqrt(F.greatest(found[0], F.lit(0.0))))
 
 
-def quality_rules(
-    docs: DataFrame,
-    text: str = "text",
-    lang: str = "lang",
-    max_class_distance: float = MAX_CLASS_DISTANCE,
-    max_word_distance: float = MAX_WORD_DISTANCE,
-) -> DataFrame:
-    """Add the base counts, both distances and the verdict to every row of docs; no row is dropped.
+ADDED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "js_classes", "js_common", "kept")
 
-    Added: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, js_classes, js_common, kept.
-    The references are sums over all documents of a language, so they follow the corpus; a text below
-    MIN_CHARS_FOR_CLASSES characters or MIN_WORDS_FOR_COMMON words is not judged by that histogram (distance null).
-    A null text counts as empty and fails the base rules; a null language is a language of its own. Repeated rows are
-    judged one by one. An empty table gives an empty result. Columns of docs with the names of added ones are replaced.
-    """
+
+def _judged(plain: DataFrame, text: str, lang: str, references: DataFrame | None, max_class_distance: float, max_word_share: float) -> DataFrame:
+    """plain, whose columns are numbered, with ADDED."""
     p = _WORK
-    refs = stored(language_references(docs, text, lang))
-    added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "js_classes", "js_common", "kept", "ref_lang", "ref_chars", "ref_common"]
-    own = [c for c in docs.columns if c not in added]
-    df = _histograms(docs.select(*own) if len(own) < len(docs.columns) else docs, text, lang)
+    refs = stored(language_references(plain, text, lang)) if references is None else references
+    own = plain.columns
+    df = _histograms(plain, text, lang)
     df = df.join(refs, F.col(p + "lang") == F.col("ref_lang"), "left")  # a table of a row a language: Spark broadcasts it by its size
     n = F.col(p + "n_words")
     df = df.withColumns(
@@ -116,19 +111,18 @@ def quality_rules(
     )
     df = df.withColumn("n_dup_lines", (F.size(p + "lines") - F.size(F.array_distinct(p + "lines"))).cast("long"))
     # Windows of three words that occur again in the text: sort (hash, position) and look at the neighbours.
-    w = F.col(p + "words")
     df = df.withColumn(
         p + "tri",
         F.expr(
-            f"CASE WHEN {p}n_words >= 3 THEN sort_array(transform(sequence(0, size({p}words) - 3), "
+            f"CASE WHEN {p}n_words >= 3 THEN sort_array(transform(sequence(0, cast({p}n_words AS INT) - 3), "
             f"i -> struct(xxhash64({p}words[i], {p}words[i + 1], {p}words[i + 2]) AS h, i AS i))) END"
         ),
     )
     df = df.withColumn(
         p + "again",
         F.expr(
-            f"sort_array(transform(filter(sequence(0, size({p}tri) - 1), "
-            f"j -> get({p}tri, j - 1).h <=> {p}tri[j].h OR get({p}tri, j + 1).h <=> {p}tri[j].h), k -> {p}tri[k].i))"
+            f"CASE WHEN {p}n_words >= 3 THEN sort_array(transform(filter(sequence(0, cast({p}n_words AS INT) - 3), "
+            f"j -> get({p}tri, j - 1).h <=> {p}tri[j].h OR get({p}tri, j + 1).h <=> {p}tri[j].h), k -> {p}tri[k].i)) END"
         ),
     )
     df = df.withColumn(
@@ -136,15 +130,37 @@ def quality_rules(
         F.expr(f"coalesce(aggregate({p}again, named_struct('last', -3, 'n', 0L), (a, x) -> named_struct('last', x, 'n', a.n + least(3, x - a.last)), a -> a.n), 0L)"),
     )
     df = df.withColumn("n_words", n).withColumn("base_failed", (n < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * n))
-    far = (F.coalesce(F.col("js_classes"), F.lit(0.0)) > max_class_distance) | (F.coalesce(F.col("js_common"), F.lit(0.0)) > max_word_distance)
+    far = F.coalesce(F.col("js_classes") > max_class_distance, F.lit(False)) | F.coalesce(F.col("js_common") > max_word_share * F.col("ref_far"), F.lit(False))
     df = df.withColumn("kept", ~F.col("base_failed") & ~far)
-    return df.select(*own, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "js_classes", "js_common", "kept")
+    return settled(df.select(*own, *[F.col(c).alias("_" + c) for c in ADDED]), *[F.col("_" + c).alias(c) for c in ADDED]).select(*own, *ADDED)
+
+
+def quality_rules(
+    docs: DataFrame,
+    text: str = "text",
+    lang: str = "lang",
+    references: DataFrame | None = None,
+    max_class_distance: float = MAX_CLASS_DISTANCE,
+    max_word_share: float = MAX_WORD_SHARE,
+) -> DataFrame:
+    """Add the base counts, both distances and the verdict to every row of docs; no row is dropped.
+
+    Added: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, js_classes, js_common, kept.
+    references is a table as language_references makes it; without one it is made of docs, so that it follows the corpus. A text
+    below MIN_CHARS_FOR_CLASSES characters or MIN_WORDS_FOR_COMMON words is not judged by that histogram (distance null), nor is
+    one whose language has no reference or no common word at all.
+    A null text counts as empty and fails the base rules; a null language is a language of its own. Repeated rows are
+    judged one by one. An empty table gives an empty result. Columns of docs with the names of added ones are replaced.
+    What is added may be filtered and selected freely: it is computed once a row.
+    """
+    plain, names = numbered(docs)
+    at = lambda c: f"c{names.index(c)}"
+    df = _judged(plain, at(text), at(lang), references, max_class_distance, max_word_share)
+    return df.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names) if c not in ADDED], *ADDED)
 
 
-def passing(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs that quality_rules keeps, unchanged."""
-    judged = quality_rules(docs, **options)
-    own = [c for c in judged.columns if c in docs.columns and c != "kept"]
-    # The filter is on what explode makes: one on kept itself would be moved below the word arrays, which lambdas would make anew.
-    judged = judged.select(*own, F.explode_outer(F.when(F.col("kept"), F.array(F.lit(True)))).alias(_WORK + "stay"))
-    return judged.where(F.col(_WORK + "stay").isNotNull()).drop(_WORK + "stay")
+def passing(docs: DataFrame, text: str = "text", lang: str = "lang", references: DataFrame | None = None, max_class_distance: float = MAX_CLASS_DISTANCE, max_word_share: float = MAX_WORD_SHARE) -> DataFrame:
+    """The rows of docs that quality_rules keeps, with all their columns unchanged, whatever their names."""
+    plain, names = numbered(docs)
+    df = _judged(plain, f"c{names.index(text)}", f"c{names.index(lang)}", references, max_class_distance, max_word_share)
+    return df.where("kept").select(*plain.columns).toDF(*names)

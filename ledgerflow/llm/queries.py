@@ -92,25 +92,27 @@ def _op3_sql() -> str:
         p, q = f"(v[1] / list_sum({a})::DOUBLE)", f"(v[2] / list_sum({b})::DOUBLE)"
         part = lambda z: f"CASE WHEN {z} > 0 THEN {z} * log2(2 * {z} / ({p} + {q})) ELSE 0 END"
         both = f"list_transform(range(1, len({a}) + 1), lambda i: [{a}[i], {b}[i]])"
-        return f"CASE WHEN list_sum({a}) > 0 AND list_sum({b}) > 0 THEN sqrt(greatest(list_sum(list_transform({both}, lambda v: ({part(p)} + {part(q)}) / 2)), 0)) ELSE 0 END"
+        return f"CASE WHEN list_sum({a}) > 0 AND list_sum({b}) > 0 THEN sqrt(greatest(list_sum(list_transform({both}, lambda v: ({part(p)} + {part(q)}) / 2)), 0)) END"
 
+    none = f"[{', '.join(['0'] * len(quality.COMMON_WORDS))}, 1]"
     return rf"""
 WITH base AS (SELECT *, regexp_extract_all(r0, '{WORD_RE}') AS ws, string_split(r0, chr(10)) AS ls FROM ({steps})),
 h AS (SELECT *, [{", ".join(chars)}] AS ch, [{", ".join(common)}] AS cm FROM base),
-refs AS (SELECT lg, [{", ".join(sums)}] AS rc, [{", ".join(sumw)}] AS rw FROM h GROUP BY lg),
+sums AS (SELECT lg, [{", ".join(sums)}] AS rc, [{", ".join(sumw)}] AS rw FROM h GROUP BY lg),
+refs AS (SELECT lg, rc, rw, {js(none, "rw")} AS rf FROM sums),
 tri AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS t FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM base)),
 again AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, t) AS c FROM tri) WHERE c > 1),
 rep AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM again) GROUP BY doc_id),
 f AS (SELECT h.doc_id, len(ws)::BIGINT AS n_words, (length(r0) - ch[2])::BIGINT AS word_chars, ch[5]::BIGINT AS n_symbols,
         (len(list_filter(ls, lambda x: regexp_matches(x, '{WORD_RE}'))) - len(list_distinct(list_filter(ls, lambda x: regexp_matches(x, '{WORD_RE}')))))::BIGINT AS n_dup_lines,
-        coalesce(rep.n, 0)::BIGINT AS n_repeat_words,
-        CASE WHEN length(r0) >= {quality.MIN_CHARS_FOR_CLASSES} THEN {js("ch", "rc")} ELSE 0 END AS dc,
-        CASE WHEN len(ws) >= {quality.MIN_WORDS_FOR_COMMON} THEN {js("cm", "rw")} ELSE 0 END AS dw
+        coalesce(rep.n, 0)::BIGINT AS n_repeat_words, rf,
+        CASE WHEN length(r0) >= {quality.MIN_CHARS_FOR_CLASSES} THEN {js("ch", "rc")} END AS dc,
+        CASE WHEN len(ws) >= {quality.MIN_WORDS_FOR_COMMON} THEN {js("cm", "rw")} END AS dw
       FROM h JOIN refs ON h.lg = refs.lg LEFT JOIN rep ON h.doc_id = rep.doc_id)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        (n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words) AS base_failed,
        NOT (n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words)
-         AND dc <= {quality.MAX_CLASS_DISTANCE} AND dw <= {quality.MAX_WORD_DISTANCE} AS kept
+         AND NOT coalesce(dc > {quality.MAX_CLASS_DISTANCE}, false) AND NOT coalesce(dw > {quality.MAX_WORD_SHARE} * rf, false) AS kept
 FROM f"""
 
 
