@@ -163,15 +163,23 @@ def op7_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _op7_sql() -> str:
-    keys = ", ".join(f"'{m} ' || " + " || ' ' || ".join(f"w[i + {k}]" for k, c in enumerate(mask) if c == "1") for m, mask in enumerate(decontam.MASKS))
-    seeds = lambda t, k: f"SELECT {k}, i, unnest([{keys}]) AS s FROM (SELECT {k}, w, unnest(range(1, len(w) - {decontam.SPAN} + 2)) AS i FROM {t})"
+    def seeds(t: str, k: str) -> str:
+        masks = [(m, [j + 1 for j, c in enumerate(mask) if c == "1"], len(mask)) for m, mask in enumerate(decontam.MASKS)]
+        one = lambda m, at, span: f"SELECT {k}, i, '{m} ' || " + " || ' ' || ".join(f"w[i + {j - 1}]" for j in at) + f" AS s FROM (SELECT {k}, w, unnest(range(1, len(w) - {span} + 2)) AS i FROM {t})"
+        return " UNION ALL ".join(one(*m) for m in masks)
+
+    short = " UNION ALL ".join(
+        f"SELECT doc_id, array_to_string(w[i : i + {n - 1}], ' ') AS s, i, {n} AS n FROM (SELECT doc_id, w, unnest(range(1, len(w) - {n} + 2)) AS i FROM d)" for n in range(decontam.MIN_ITEM, decontam.SHORT + 1)
+    )
     return f"""
-WITH b AS (SELECT item_id, {_tokens_sql("text")} AS w FROM benchmark), d AS (SELECT doc_id, {_tokens_sql("text")} AS w FROM documents),
+WITH b0 AS (SELECT item_id, {_tokens_sql("text")} AS w FROM benchmark), d AS (SELECT doc_id, {_tokens_sql("text")} AS w FROM documents),
+b AS (SELECT * FROM b0 WHERE len(w) > {decontam.SHORT}),
 hits AS (SELECT DISTINCT x.doc_id, y.item_id, x.i - y.i AS sh FROM ({seeds("d", "doc_id")}) x JOIN ({seeds("b", "item_id")}) y USING (s)),
 al AS (SELECT doc_id, item_id, least({decontam.STRETCH}, len(b.w)) AS v,
          list_transform(range(1, len(b.w) + 1), lambda j: CASE WHEN sh + j >= 1 AND d.w[sh + j] = b.w[j] THEN 1 ELSE 0 END) AS e
        FROM hits JOIN d USING (doc_id) JOIN b USING (item_id)),
-best AS (SELECT doc_id, item_id, max(list_max(list_transform(range(1, len(e) - v + 2), lambda s: list_sum(e[s : s + v - 1])))) AS n, any_value(v) AS v FROM al GROUP BY ALL),
+best AS (SELECT doc_id, item_id, max(list_max(list_transform(range(1, len(e) - v + 2), lambda s: list_sum(e[s : s + v - 1])))) AS n, any_value(v) AS v FROM al GROUP BY ALL
+         UNION SELECT g.doc_id, item_id, g.n, g.n FROM ({short}) g JOIN b0 ON len(b0.w) = g.n AND array_to_string(b0.w, ' ') = g.s),
 ok AS (SELECT doc_id, count(*) AS n_items, min(item_id) AS first_item, max(n) AS n FROM best WHERE n >= ceil({decontam.MIN_AGREE} * v) GROUP BY doc_id)
 SELECT doc_id, n_items IS NOT NULL AS contaminated, coalesce(n_items, 0) AS n_items, first_item, coalesce(n, 0)::BIGINT AS words FROM documents LEFT JOIN ok USING (doc_id)"""
 
