@@ -1,13 +1,23 @@
-"""License scans: normalised texts and their lines against license templates by the Dice coefficient over word bigrams."""
+"""License scans: lines and blocks of lines against license templates by the Dice coefficient over word bigrams.
+
+A line is a unit. So is a block: a run of lines most of whose bigrams are in one template, as a license wrapped over several lines
+of a source file is. Sizes prune: with a and b distinct bigrams, Dice is at most 2 * min(a, b) / (a + b).
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import settled, stored
 from .decontam import tokens
 
 MIN_DICE = 0.8
+#: A line belongs to a block where at least this share of its bigrams is in the template; up to MAX_GAP lines may lie between two such
+#: lines (blank ones, a line cut within a word).
+LINE_SHARE, MAX_GAP = 0.5, 2
+#: Texts with a block are split again; up to this number of blocks (24 bytes and a name each) they are told by broadcast.
+BROADCAST_BLOCKS = 500_000
 # License notices and short licenses as their authors publish them.
 TEMPLATES = {
     "MIT-notice": "Released under the MIT License.",
@@ -28,7 +38,7 @@ TEMPLATES = {
 
 def bigrams(words: str) -> Column:
     """Hashes of the distinct pairs of neighbouring words in the array column."""
-    pairs = F.expr(f"array_distinct(transform(sequence(1, size({words}) - 1), i -> xxhash64({words}[i - 1], {words}[i])))")
+    pairs = F.expr(f"array_distinct(transform(sequence(1, greatest(size({words}) - 1, 1)), i -> xxhash64({words}[i - 1], {words}[i])))")
     return F.when(F.size(words) >= 2, pairs).otherwise(F.array().cast("array<bigint>"))
 
 
@@ -40,37 +50,49 @@ def template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, min_dice: float = MIN_DICE, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, th (hash of the text), license, dice, line, n_matches for every row of docs.
+    """doc_id, th (hash of the text), license, dice, line, n_lines, n_matches for every row of docs.
 
-    Units are the lines of a text and, where it has several, the whole text (line -1). A unit is compared only with templates whose
-    number of distinct bigrams allows min_dice: with sizes a and b, Dice is at most 2 * min(a, b) / (a + b). license is that of the
-    largest Dice, then the first in line and name; n_matches counts (unit, license) pairs of min_dice or more.
-    Null and empty texts, and texts without a match, have nulls and 0. Repeated rows get equal answers; a null id is an id of
-    its own. Only the id and text columns are read.
+    Units are the lines of a text and its blocks (line: their first one). license is that of the largest Dice, then the first in
+    line and name; n_matches counts (unit, license) pairs of min_dice or more. Null and empty texts, and texts without a match,
+    have nulls and 0. Repeated rows get equal answers; a null id is an id of its own. An empty table gives an empty result. Only
+    the id and text columns are read. Words that a line break cuts in two are two words.
     """
     spark = docs.sparkSession
-    table = template_table(spark, templates or TEMPLATES).cache()
-    # The templates are an argument, not data: their number is known here.
-    sizes = [r["t_size"] for r in table.select("license", "t_size").distinct().collect()]
+    table = stored(template_table(spark, templates or TEMPLATES))  # as large as the given templates
     low, high = min_dice / (2 - min_dice), (2 - min_dice) / min_dice
-    least, most = low * min(sizes), high * max(sizes)
     base = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("th"), F.col(text).alias("x"))
     lines = base.where(F.col("x").isNotNull()).select("doc_id", "th", F.posexplode(F.split("x", "\n")).alias("line", "unit"))
-    whole = base.where(F.col("x").contains("\n")).select("doc_id", "th", F.lit(-1).alias("line"), F.col("x").alias("unit"))
+    keys = ["doc_id", "th", "line", "license"]
 
-    def grams(units: DataFrame) -> DataFrame:
-        # No filters here and no size that may be null (Spark would add a filter for it): Spark would move the filter below the
-        # words and make those again, for every element of a lambda.
-        units = units.select("doc_id", "th", "line", tokens(F.col("unit")).alias("w"))
-        units = units.select("doc_id", "th", "line", F.when(F.size("w") - 1 >= least, bigrams("w")).alias("b"))
-        units = units.select("doc_id", "th", "line", F.coalesce(F.size("b"), F.lit(0)).alias("u_size"), "b")
-        return units.select("doc_id", "th", "line", "u_size", F.explode_outer(F.when(F.col("u_size").between(least, most), F.col("b"))).alias("bg"))
+    def dice(units: DataFrame, *also: str) -> DataFrame:
+        """same (distinct bigrams shared with the template), u_size and t_size of each unit and license with any; unit is the text."""
+        units = units.withColumn("_w", tokens(F.col("unit"))).drop("unit")
+        units = settled(units, F.col("_w").alias("w")).withColumn("_b", bigrams("w")).drop("w", "_w")
+        units = settled(units, F.col("_b").alias("b")).drop("_b").withColumn("u_size", F.size("b"))
+        found = units.withColumn("bg", F.explode("b")).drop("b").join(F.broadcast(table).select("bg", F.col("license").alias("of"), "t_size"), "bg")
+        if "license" in units.columns:
+            found = found.where("of = license").drop("of")
+        else:
+            found = found.withColumnRenamed("of", "license")
+        # Rows that are there several times have the same bigrams: each counts once.
+        return found.groupBy(*keys, *also, "u_size", "t_size").agg(F.count_distinct("bg").alias("same"))
 
-    found = grams(lines).unionByName(grams(whole)).join(F.broadcast(table), "bg")
-    found = found.where((F.col("u_size") >= low * F.col("t_size")) & (F.col("u_size") <= high * F.col("t_size")))
-    found = found.groupBy("doc_id", "th", "line", "license", "u_size", "t_size").agg(F.count("*").alias("same"))
-    found = found.withColumn("dice", 2 * F.col("same") / (F.col("u_size") + F.col("t_size"))).where(F.col("dice") >= min_dice)
-    best = found.groupBy("doc_id", "th").agg(F.min(F.struct((-F.col("dice")).alias("d"), "line", "license")).alias("m"), F.count("*").alias("n_matches"))
-    best = best.select(F.col("doc_id").alias("f_id"), F.col("th").alias("f_th"), "m.license", F.round(-F.col("m.d"), 4).alias("dice"), "m.line", "n_matches")
+    near = stored(dice(lines).where(F.col("same") >= LINE_SHARE * F.col("u_size")))
+    enough = lambda df: df.withColumn("dice", 2 * F.col("same") / (F.col("u_size") + F.col("t_size"))).where((F.col("u_size").between(low * F.col("t_size"), high * F.col("t_size"))) & (F.col("dice") >= min_dice))
+    single = enough(near).select(*keys, F.lit(1).alias("n_lines"), "dice")
+    # Runs of near lines; a block of two lines or more is looked at where its bigrams, with those across its line breaks, can be enough.
+    w = Window.partitionBy("doc_id", "th", "license").orderBy("line")
+    new = (F.col("line") - F.lag("line").over(w) > MAX_GAP + 1).cast("int")
+    runs = near.withColumn("_new", F.coalesce(new, F.lit(0))).withColumn("run", F.sum("_new").over(w))
+    blocks = runs.groupBy("doc_id", "th", "license", "run", "t_size").agg(F.min("line").alias("line"), (F.max("line") - F.min("line") + 1).alias("n_lines"), F.sum("same").alias("most"))
+    # Dice of min_dice or more means that at least low * t_size bigrams are shared.
+    blocks = stored(blocks.where((F.col("n_lines") > 1) & (F.col("most") + F.col("n_lines") >= low * F.col("t_size"))).select(*keys, "n_lines"))
+    some = F.broadcast(blocks) if blocks.count() <= BROADCAST_BLOCKS else blocks
+    some = some.select(F.col("doc_id").alias("f_id"), F.col("th").alias("f_th"), "license", "line", "n_lines")
+    texts = base.join(some, F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("th") == F.col("f_th"))).withColumn("_l", F.split("x", "\n"))
+    texts = settled(texts, F.col("_l").alias("l")).select(*keys, "n_lines", F.array_join(F.slice("l", F.col("line") + 1, F.col("n_lines")), "\n").alias("unit"))
+    found = stored(single.unionByName(enough(dice(texts, "n_lines")).select(*keys, "n_lines", "dice")))
+    best = found.groupBy("doc_id", "th").agg(F.min(F.struct((-F.col("dice")).alias("d"), "line", "license", "n_lines")).alias("m"), F.count("*").alias("n_matches"))
+    best = best.select(F.col("doc_id").alias("f_id"), F.col("th").alias("f_th"), "m.license", F.round(-F.col("m.d"), 4).alias("dice"), "m.line", "m.n_lines", "n_matches")
     rows = base.select("doc_id", "th").join(best, F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("th") == F.col("f_th")), "left")
-    return rows.select("doc_id", "th", "license", "dice", "line", F.coalesce("n_matches", F.lit(0).cast("long")).alias("n_matches"))
+    return rows.select("doc_id", "th", "license", "dice", "line", "n_lines", F.coalesce("n_matches", F.lit(0).cast("long")).alias("n_matches"))

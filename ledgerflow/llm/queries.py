@@ -117,7 +117,7 @@ FROM f"""
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan_licenses(_table(spark, sf_dir, "documents")).select("doc_id", "license", "dice", "line", "n_matches")
+    return licenses.scan_licenses(_table(spark, sf_dir, "documents")).select("doc_id", "license", "dice", "line", "n_lines", "n_matches")
 
 
 def _tokens_sql(text: str) -> str:
@@ -127,15 +127,21 @@ def _tokens_sql(text: str) -> str:
 def _op4_sql() -> str:
     values = ", ".join("('{}', '{}')".format(k, t.replace("'", "''")) for k, t in licenses.TEMPLATES.items())
     bi = "list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
+    low, high = f"{licenses.MIN_DICE} / (2 - {licenses.MIN_DICE})", f"(2 - {licenses.MIN_DICE}) / {licenses.MIN_DICE}"
     return f"""
-WITH t AS (SELECT k AS license, {bi} AS tb FROM (SELECT k, {_tokens_sql("x")} AS w FROM (VALUES {values}) v(k, x))),
-u AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line, unnest(string_split(text, chr(10))) AS x FROM documents
-      UNION ALL SELECT doc_id, -1, text FROM documents WHERE contains(text, chr(10))),
-ub AS (SELECT doc_id, line, {bi} AS b FROM (SELECT doc_id, line, {_tokens_sql("x")} AS w FROM u) WHERE len(w) > 1),
-s AS (SELECT doc_id, line, license, 2.0::DOUBLE * len(list_intersect(b, tb)) / (len(b) + len(tb)) AS dice FROM ub, t
-      WHERE len(b) BETWEEN 0.6 * len(tb) AND 1.6 * len(tb)),
-m AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, line, license) AS r, count(*) OVER (PARTITION BY doc_id) AS n FROM s WHERE dice >= {licenses.MIN_DICE})
-SELECT d.doc_id, license, round(dice, 4) AS dice, line::INT AS line, coalesce(n, 0) AS n_matches FROM documents d LEFT JOIN m ON d.doc_id = m.doc_id AND r = 1"""
+WITH t AS (SELECT license, len(tb) AS ts, unnest(tb) AS g FROM (SELECT k AS license, {bi} AS tb FROM (SELECT k, {_tokens_sql("x")} AS w FROM (VALUES {values}) v(k, x)))),
+u AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line, unnest(string_split(text, chr(10))) AS x FROM documents),
+ub AS (SELECT doc_id, line, len(b) AS us, unnest(b) AS g FROM (SELECT doc_id, line, {bi} AS b FROM (SELECT doc_id, line, {_tokens_sql("x")} AS w FROM u) WHERE len(w) > 1)),
+near AS (SELECT * FROM (SELECT doc_id, line, license, us, ts, count(*) AS same FROM ub JOIN t USING (g) GROUP BY ALL) WHERE same >= {licenses.LINE_SHARE} * us),
+gap AS (SELECT *, CASE WHEN line - lag(line) OVER (PARTITION BY doc_id, license ORDER BY line) > {licenses.MAX_GAP} + 1 THEN 1 ELSE 0 END AS new FROM near),
+run AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, license ORDER BY line) AS r FROM gap),
+blk AS (SELECT doc_id, license, r, ts, min(line) AS line, max(line) - min(line) + 1 AS nl FROM run GROUP BY ALL HAVING nl > 1 AND sum(same) + nl >= {low} * ts),
+bw AS (SELECT doc_id, license, line, nl, ts, {_tokens_sql("array_to_string(string_split(text, chr(10))[line + 1 : line + nl], chr(10))")} AS w FROM blk JOIN documents USING (doc_id)),
+bg AS (SELECT doc_id, license, line, nl, ts, len(b) AS us, unnest(b) AS g FROM (SELECT *, {bi} AS b FROM bw WHERE len(w) > 1)),
+bs AS (SELECT doc_id, line, license, nl, us, bg.ts, count(*) AS same FROM bg JOIN t USING (license, g) GROUP BY ALL),
+s AS (SELECT *, 2.0::DOUBLE * same / (us + ts) AS dice FROM (SELECT doc_id, line, license, 1 AS nl, us, ts, same FROM near UNION ALL FROM bs) WHERE us BETWEEN {low} * ts AND {high} * ts),
+m AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, line, license, nl) AS r, count(*) OVER (PARTITION BY doc_id) AS n FROM s WHERE dice >= {licenses.MIN_DICE})
+SELECT d.doc_id, license, round(dice, 4) AS dice, line::INT AS line, nl::INT AS n_lines, coalesce(n, 0) AS n_matches FROM documents d LEFT JOIN m ON d.doc_id = m.doc_id AND r = 1"""
 
 
 def op5_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
