@@ -1,56 +1,81 @@
 """SimHash near-duplicates: tiled exact comparison of fingerprints with numpy exclusive-or and bit counts.
 
-A tile holds fingerprints whose four 16-bit quarters have the same population counts. Two tiles whose counts differ by more
-than the radius in sum can hold no link, so their pair is skipped; all other pairs are compared exactly.
+A tile holds fingerprints with the same population counts of their parts. Two tiles whose counts differ by more than the radius in
+sum can hold no link, so their pair is skipped; all other pairs are compared exactly. A tile is cut into blocks, and blocks, not
+single fingerprints, travel to the tiles that they are compared with. What is left is quadratic: doubling the fingerprints doubles
+the blocks that each one meets. Finer tiles for larger tables keep the factor small (see _parts); results do not depend on it.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import forget, numbered, stored
 from .tokens import slices
 
 SEED, SHINGLE, RADIUS = 42, 3, 3
-TILE, VISITORS, BLOCK = 2048, 16_384, 256
-
-
-def fingerprint_batch(texts: list) -> np.ndarray:
-    """64-bit SimHash of each text: words of the text with A-Z lowered, XXH64 of 3-word shingles, bits set in over half of them."""
+#: Fingerprints of a block at most, and fingerprints that come to one task to meet a block.
+BLOCK_ROWS, VISITORS = 65_536, 262_144
+_STRIP = (32, 8192)
+NO_ID = 2**63 - 1
+
+#: Near copies: the cosine of the sets of five-word shingles, as the share of equal bits tells it. A Jaccard similarity of 0.8 between
+#: sets is a cosine of 0.89, so such pairs lie well within; a cosine of 0.8 needs set sizes within a factor of 0.64.
+COPY_SHINGLE, MIN_COSINE = 5, 0.8
+LANES = 4
+MAX_BITS = int(64 * LANES * math.acos(MIN_COSINE) / math.pi)
+#: Of MAX_BITS over all lanes a quarter is to be expected in the first one, which is compared for all pairs.
+LANE_RADIUS = 20
+SIZE_RATIO = MIN_COSINE**2
+_MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
+
+
+def fingerprint_batch(texts: list, shingle: int = SHINGLE, lanes: int = 1, distinct: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(fingerprints, shingles): a row of lanes 64-bit SimHashes for each text, and how many shingles it has.
+
+    Words of the text with A-Z lowered, XXH64 of the runs of shingle words (all words where there are fewer); a bit is set if it is
+    in over half of the hashes. With distinct, equal shingles of a text count once. Further lanes mix the hashes anew.
+    """
     import xxhash
 
     xx = xxhash.xxh64_intdigest
-    out = np.zeros(len(texts), np.uint64)
-    for a, b in slices(texts, 600_000):
-        hashes: list[int] = []
-        ends, owners = [], []
+    out, count = np.zeros((len(texts), lanes), np.uint64), np.zeros(len(texts), np.int64)
+    for a, b in slices(texts, 600_000 // lanes):
+        parts, owners = [], []
         for i in range(a, b):
             words = (texts[i] or "").encode("utf-8", "surrogatepass").lower().split()
             if not words:
                 continue
             line = b" ".join(words)
-            if len(words) < SHINGLE:
-                hashes.append(xx(line, SEED))
+            if len(words) < shingle:
+                found = [xx(line, SEED)]
             else:
                 stop = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-                starts = [0, *stop[: len(words) - SHINGLE].tolist()]
-                hashes += [xx(line[s:e], SEED) for s, e in zip(starts, (stop[SHINGLE - 1 :] - 1).tolist(), strict=True)]
-            ends.append(len(hashes))
+                starts = [0, *stop[: len(words) - shingle].tolist()]
+                found = [xx(line[s:e], SEED) for s, e in zip(starts, (stop[shingle - 1 :] - 1).tolist(), strict=True)]
+            own = np.array(found, np.uint64)
+            parts.append(np.unique(own) if distinct else own)
             owners.append(i)
-        if not hashes:
+        if not parts:
             continue
-        h = np.array(hashes, dtype=np.uint64)
-        bounds = np.array([0, *ends[:-1]])
-        sizes = np.array(ends) - bounds
-        counts = np.empty((len(owners), 64), np.int64)
-        for k in range(8):  # a byte of each hash at a time: the bits of all hashes at once take 64 bytes a hash
-            bits = np.unpackbits((h >> np.uint64(8 * k)).astype(np.uint8)[:, None], axis=1, bitorder="little")
-            counts[:, 8 * k : 8 * k + 8] = np.add.reduceat(bits, bounds, axis=0, dtype=np.int32)
-        out[owners] = np.packbits(2 * counts > sizes[:, None], axis=1, bitorder="little").view("<u8").ravel()
-    return out
+        h, sizes = np.concatenate(parts), np.array([len(x) for x in parts])
+        bounds = np.cumsum(sizes) - sizes
+        count[owners] = sizes
+        for lane in range(lanes):
+            if lane:
+                h = (h ^ (h >> np.uint64(29))) * _MIX[lane - 1]
+                h ^= h >> np.uint64(32)
+            votes = np.empty((len(owners), 64), np.int64)
+            for k in range(8):  # a byte of each hash at a time: the bits of all hashes at once take 64 bytes a hash
+                bits = np.unpackbits((h >> np.uint64(8 * k)).astype(np.uint8)[:, None], axis=1, bitorder="little")
+                votes[:, 8 * k : 8 * k + 8] = np.add.reduceat(bits, bounds, axis=0, dtype=np.int32)
+            out[owners, lane] = np.packbits(2 * votes > sizes[:, None], axis=1, bitorder="little").view("<u8").ravel()
+    return out, count
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -58,17 +83,33 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
 
     def run(batches):
         for batch in batches:
-            fp = fingerprint_batch(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            fp, _ = fingerprint_batch(batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp[:, 0].view(np.int64))], names=["doc_id", "fp"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text)).mapInArrow(run, "doc_id long, fp long")
 
 
-def _steps(radius: int) -> list[tuple[int, int, int, int]]:
-    """Differences of quarter counts within the radius, one of each pair (d, -d), with the zero step first."""
-    r = range(-radius, radius + 1)
-    near = [(a, b, c, d) for a in r for b in r for c in r for d in r if abs(a) + abs(b) + abs(c) + abs(d) <= radius]
-    return [(0, 0, 0, 0), *[x for x in near if x > (0, 0, 0, 0)]]
+def _steps(parts: int, width: int, radius: int, banded: bool) -> list[tuple[int, ...]]:
+    """Differences of tiles that may hold links, one of each pair (d, -d) and the zero step; the first number is that of the bands.
+
+    Counts are rounded down to multiples of width, so a difference of d steps means one of at least (d - 1) * width + 1 bits.
+    """
+    found: list[tuple[tuple[int, ...], int]] = [((), 0)]
+    for _ in range(parts):
+        grown = []
+        for step, used in found:
+            d = 0
+            while (least := (d - 1) * width + 1 if d else 0) + used <= radius:
+                grown += [((*step, x), used + least) for x in {d, -d}]
+                d += 1
+        found = grown
+    zero = (0,) * (parts + 1)
+    return sorted(x for step, _ in found for band in ((-1, 0, 1) if banded else (0,)) if (x := (band, *step)) >= zero)
+
+
+def _parts(rows: int) -> int:
+    """Into how many equal parts fingerprints are cut for their counts: finer tiles skip more pairs, but there are more of them."""
+    return 2 if rows < 2_000_000 else 4 if rows < 20_000_000 else 8
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -92,67 +133,77 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return values[child], values[label[child]]
 
 
-def _compare(home: np.ndarray, visitors: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links between home and visitors and within home, thinned to a forest; fingerprints are distinct."""
-    found_a, found_b = [], []
-    for other, own in ((home, True), (visitors, False)):
-        for i in range(0, len(home), BLOCK):
-            mine = home[i : i + BLOCK]
-            against = other[i + 1 :] if own else other
-            if not len(against):
-                continue
-            near = np.bitwise_count(mine[:, None] ^ against[None, :]) <= radius
-            if own:
-                near &= np.arange(i + 1, len(home))[None, :] > np.arange(i, i + len(mine))[:, None]
-            r, c = np.nonzero(near)
-            if len(r):
-                a, b = _forest(mine[r], against[c])
-                found_a.append(a)
-                found_b.append(b)
-    if not found_a:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    return _forest(np.concatenate(found_a), np.concatenate(found_b))
-
-
-def near_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Distinct links (a, b) that join all fingerprints (column fp, distinct) which differ in at most radius bits."""
-    q = [F.bit_count(F.shiftrightunsigned("fp", 48 - 16 * i).bitwiseAND(F.lit(0xFFFF))).cast("int") for i in range(4)]
-    nodes = fps.select("fp", *[x.alias(f"q{i}") for i, x in enumerate(q)])
-    key = lambda cols: sum((c * 17 ** (3 - i) for i, c in enumerate(cols)), F.lit(0))
-    nodes = stored(nodes.withColumn("tile", key([F.col(f"q{i}") for i in range(4)])))
-    # 17^4 tiles at most, so this table is small whatever the corpus.
-    sizes = stored(nodes.groupBy("tile").agg(F.count("*").alias("n")).select("tile", F.ceil(F.col("n") / TILE).cast("int").alias("parts"), "n"))
-    steps = _steps(radius)
-    quarter = lambda c, i: F.floor(c / 17 ** (3 - i)).cast("int") % 17
-    moves = F.array(*[F.struct(*[F.lit(v).alias(f"d{i}") for i, v in enumerate(s)]) for s in steps[1:]])
-    ok = lambda x: (x >= 0) & (x <= 16)
-    pairs = sizes.select("tile", "n", F.explode(moves).alias("d"))
-    to = [quarter(F.col("tile"), i) + F.col(f"d.d{i}") for i in range(4)]
-    pairs = pairs.where(ok(to[0]) & ok(to[1]) & ok(to[2]) & ok(to[3])).select(F.col("tile").alias("from"), "n", key(to).alias("tile"))
-    guests = pairs.join(sizes.select("tile", "parts"), "tile").groupBy("tile").agg(F.sum("n").alias("guests"))
-    sizes = stored(sizes.join(guests, "tile", "left").select("tile", "parts", F.greatest(F.ceil(F.coalesce("guests", F.lit(0)) / VISITORS), F.lit(1)).cast("int").alias("shares")))
-    small = F.broadcast(sizes)  # a row a tile
-    salt = F.xxhash64("fp")
-    homes = nodes.join(small, "tile").select(
-        "tile", F.pmod(salt, F.col("parts")).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(True).alias("home"), "fp"
-    )
-    # Tiles cut in several parts: a part's fingerprints also visit the later parts of their own tile.
-    own = nodes.join(small.where("parts > 1"), "tile").select("tile", F.pmod(salt, F.col("parts")).cast("int").alias("at"), "parts", "shares", "fp")
-    own = own.where(F.col("at") + 1 < F.col("parts")).select("tile", F.explode(F.sequence(F.col("at") + 1, F.col("parts") - 1)).alias("part"), "shares", "fp")
-    goes = nodes.select("fp", "q0", "q1", "q2", "q3", F.explode(moves).alias("d"))
-    to = [F.col(f"q{i}") + F.col(f"d.d{i}") for i in range(4)]
-    goes = goes.where(ok(to[0]) & ok(to[1]) & ok(to[2]) & ok(to[3])).select(key(to).alias("tile"), "fp").join(small, "tile")
-    goes = goes.select("tile", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "shares", "fp")
-    visits = goes.unionByName(own).select("tile", "part", F.pmod(F.xxhash64("fp", F.lit(1)), F.col("shares")).cast("int").alias("share"), F.lit(False).alias("home"), "fp")
+def _compare(fp: np.ndarray, home: np.ndarray, radius: int, check=None) -> np.ndarray:
+    """A label for each fingerprint, equal where links join them: links of one at home with any other, exactly."""
+    label = np.arange(len(fp))
+    mine, others = np.flatnonzero(home), np.flatnonzero(~home)
+    high, wide = _STRIP
+    for other in (mine, others):
+        for i in range(0, len(mine), high):
+            rows = mine[i : i + high]
+            for j in range(i if other is mine else 0, len(other), wide):
+                columns = other[j : j + wide]
+                r, c = np.nonzero(np.bitwise_count(fp[rows][:, None] ^ fp[columns][None, :]) <= radius)
+                r, c = rows[r], columns[c]
+                new = label[r] != label[c]  # what is joined already needs no look, so large groups cost no more
+                r, c = r[new], c[new]
+                if check is not None and len(r):
+                    new = check(r, c)
+                    r, c = r[new], c[new]
+                if len(r):
+                    child, top = _forest(label[r], label[c])
+                    renamed = np.arange(len(fp))
+                    renamed[child] = top
+                    label = renamed[label]
+    return label
+
+
+def near_links(nodes: DataFrame, radius: int = RADIUS, parts: int | None = None, width: int = 1, banded: bool = False, also: tuple[str, ...] = (), check=None) -> DataFrame:
+    """Links (a, b) that join all nodes (id, fp; distinct) whose fingerprints differ in at most radius bits, thinned to few a node.
+
+    banded: nodes have a column band, and only bands at most one apart are compared. check(columns) with the columns named in also
+    gives a function of two index arrays that says which of such pairs are links indeed.
+    """
+    nodes = nodes.select("id", "fp", *(["band"] if banded else []), *also)
+    parts = parts or _parts(nodes.count())
+    bits = 64 // parts
+    base = bits // width + 1
+    digit = lambda i: F.floor(F.bit_count(F.shiftrightunsigned("fp", bits * i).bitwiseAND(F.lit((1 << bits) - 1 if bits < 64 else -1))) / width)
+    tile: Column = sum((digit(i) * base**i for i in range(parts)), (F.col("band") if banded else F.lit(0)) * base**parts)
+    held = stored(nodes.withColumn("tile", tile.cast("long")))
+    sizes = stored(held.groupBy("tile").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / BLOCK_ROWS).cast("int")))
+    cells = held.join(sizes.select("tile", "blocks"), "tile").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    blocks = stored(cells.groupBy("tile", "block").agg(F.collect_list(F.struct("id", "fp", *also)).alias("rows")))
+    # Which tile meets which. A tile's number is linear in its counts, so a step adds a fixed number; each count must stay in range.
+    moves = [F.struct(F.lit(sum(d * base**i for i, d in enumerate([*step[1:], step[0]]))).cast("long").alias("add"), F.array(*map(F.lit, step[1:])).alias("d")) for step in _steps(parts, width, radius, banded)]
+    counts = F.array(*[F.floor(F.col("tile") / base**i).cast("int") % base for i in range(parts)])
+    pairs = sizes.select("tile", "blocks", "n", counts.alias("q"), F.explode(F.array(*moves)).alias("m"))
+    pairs = pairs.where(F.forall(F.zip_with("q", "m.d", lambda x, y: x + y), lambda x: (x >= 0) & (x < base)))
+    pairs = pairs.select("tile", "blocks", "n", (F.col("tile") + F.col("m.add")).alias("to")).join(sizes.select(F.col("tile").alias("to"), F.col("blocks").alias("to_blocks")), "to")
+    shares = pairs.groupBy("to").agg(F.greatest(F.ceil(F.sum("n") / VISITORS), F.lit(1)).cast("int").alias("shares"))
+    # A row for each block and each home that it goes to; at home it goes to every share.
+    routes = pairs.join(shares, "to").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("at", F.explode(F.sequence(F.lit(0), F.col("to_blocks") - 1)))
+    own = F.col("tile") == F.col("to")
+    routes = routes.where(~own | (F.col("block") <= F.col("at"))).withColumn("home", own & (F.col("block") == F.col("at")))
+    one = F.array(F.pmod(F.xxhash64("tile", "block"), F.col("shares")).cast("int"))
+    routes = routes.withColumn("share", F.explode(F.when(F.col("home"), F.sequence(F.lit(0), F.col("shares") - 1)).otherwise(one)))
+    meetings = routes.select("tile", "block", "to", "at", "share", "home").join(blocks, ["tile", "block"])
 
     def run(group: pa.Table) -> pa.Table:
-        fp = group.column("fp").to_numpy().view(np.uint64)
-        home = group.column("home").to_numpy(zero_copy_only=False)
-        mine, others = fp[home], fp[~home]
-        a, b = _compare(mine, others, radius) if len(mine) else (np.empty(0, np.uint64),) * 2
-        return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
-
-    return homes.unionByName(visits).groupBy("tile", "part", "share").applyInArrow(run, "a long, b long").distinct()
+        lists = group.column("rows").combine_chunks()
+        if isinstance(lists, pa.ChunkedArray):
+            lists = pa.concat_arrays(lists.chunks)
+        flat = lists.flatten()
+        get = lambda name: flat.field(name).to_numpy(zero_copy_only=False)
+        home = np.repeat(group.column("home").to_numpy(zero_copy_only=False), lists.value_lengths().to_numpy())
+        ids = get("id")
+        label = _compare(get("fp").view(np.uint64), home, radius, check and check({n: get(n) for n in also}))
+        child = np.flatnonzero(label != np.arange(len(label)))
+        return pa.table({"a": ids[child], "b": ids[label[child]]})
+
+    links = stored(meetings.groupBy("to", "at", "share").applyInArrow(run, "a long, b long").distinct())
+    forget(held, sizes, blocks)
+    return links
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -163,16 +214,18 @@ def components(links: DataFrame) -> DataFrame:
     both = stored(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     roots = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("fp"), F.least("a", "m").alias("root")))
     while True:
-        near = both.join(roots.withColumnRenamed("fp", "b"), "b").groupBy(F.col("a").alias("fp")).agg(F.min("root").alias("m"))
+        near = both.join(roots.select(F.col("fp").alias("b"), "root"), "b").groupBy(F.col("a").alias("fp")).agg(F.min("root").alias("m"))
         hooked = stored(roots.join(near, "fp").select("fp", F.least("root", "m").alias("root"), F.col("root").alias("was")))
         # What a value's root has found belongs to all values of that root.
         best = hooked.groupBy(F.col("was").alias("fp")).agg(F.min("root").alias("best"))
         up = stored(hooked.join(best, "fp", "left").select("fp", F.least("root", F.coalesce("best", "root")).alias("root"), "was"))
         over = up.select(F.col("fp").alias("root"), F.col("root").alias("top"))
         new = stored(up.join(over, "root").select("fp", F.col("top").alias("root"), "was"))
-        roots = new.select("fp", "root")
+        forget(roots, hooked, up)
         if new.where("root <> was").isEmpty():
-            return roots
+            forget(both)
+            return new.select("fp", "root")
+        roots = new
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
@@ -184,17 +237,55 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     """
     rows = stored(fingerprints(docs, id_col, text))
     nodes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = components(near_links(nodes.select("fp"), radius))
+    roots = components(near_links(nodes.select(F.col("fp").alias("id"), "fp"), radius))
     named = nodes.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     ids = named.groupBy("root").agg(F.min("first").alias("component_id"))
     named = named.join(ids, "root").select("fp", "component_id")
     return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs that stay: of each component the one with the smallest id, of its repeated rows one; all with a null id."""
-    kept = near_duplicates(docs, id_col, text).where("doc_id = component_id").select(F.col("doc_id").alias(id_col))
-    first = docs.join(kept.distinct(), id_col, "left_semi").dropDuplicates([id_col])
-    return first.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+def _signatures(docs: DataFrame) -> DataFrame:
+    """doc, th, the LANES lanes of the fingerprint of distinct five-word shingles and n, their number."""
+    names = ["doc", "th", *[f"l{k}" for k in range(LANES)], "n"]
 
+    def run(batches):
+        for batch in batches:
+            fp, n = fingerprint_batch(batch.column(2).to_pylist(), COPY_SHINGLE, LANES, distinct=True)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *[pa.array(np.ascontiguousarray(fp[:, k]).view(np.int64)) for k in range(LANES)], pa.array(n)], names=names)
+
+    return docs.mapInArrow(run, ", ".join(f"{n} long" for n in names))
+
+
+def _alike(columns: dict[str, np.ndarray]):
+    """Links of near copies: bits of all lanes, and sizes that allow the cosine."""
+    lanes, n = [columns[f"l{k}"].view(np.uint64) for k in range(LANES)], columns["n"]
+
+    def check(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        bits = sum(np.bitwise_count(x[a] ^ x[b]).astype(np.int64) for x in lanes)
+        return (bits <= MAX_BITS) & (np.minimum(n[a], n[b]) >= SIZE_RATIO * np.maximum(n[a], n[b]))
 
+    return check
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs that stay: of each component of near copies the one with the smallest id, of its repeated rows one.
+
+    Two texts are near copies where the fingerprints of their distinct five-word shingles tell a cosine of MIN_COSINE or more: at most
+    MAX_BITS of all bits differ, of those LANE_RADIUS in the first lane, and the numbers of shingles are within SIZE_RATIO. Of two
+    texts with one id the one with the smaller hash is first. A null id counts as the largest. Texts without words (null, empty,
+    white space) are copies of each other. All columns come back, whatever their names. An empty table gives an empty result.
+    """
+    plain, names = numbered(docs)
+    key, x = (f"c{names.index(c)}" for c in (id_col, text))
+    keyed = plain.withColumn("doc", F.coalesce(F.col(key).cast("long"), F.lit(NO_ID))).withColumn("th", F.xxhash64(x))
+    lanes = [f"l{k}" for k in range(LANES)]
+    rows = stored(_signatures(keyed.select("doc", "th", x)))
+    nodes = rows.groupBy(*lanes, "n").agg(F.min(F.struct("doc", "th")).alias("first"))
+    band = F.floor(F.ln(F.greatest("n", F.lit(1))) / -math.log(SIZE_RATIO)).cast("int")
+    nodes = stored(nodes.select(F.monotonically_increasing_id().alias("id"), *lanes, "n", "first", band.alias("band"), F.col("l0").alias("fp")))
+    forget(rows)
+    roots = components(near_links(nodes, LANE_RADIUS, parts=1, width=LANE_RADIUS + 1, banded=True, also=(*lanes, "n"), check=_alike))
+    named = nodes.join(roots.select(F.col("fp").alias("id"), "root"), "id", "left")
+    kept = named.groupBy(F.coalesce("root", "id").alias("root")).agg(F.min("first").alias("first")).select("first.doc", "first.th")
+    first = keyed.join(stored(kept), ["doc", "th"], "left_semi").dropDuplicates(["doc", "th"])
+    return first.select(*plain.columns).toDF(*names)

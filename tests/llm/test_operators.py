@@ -95,8 +95,6 @@ def test_simhash(spark, corpus):
             root = [a if r == b else r for r in root]
     got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in simhash.near_duplicates(frame(spark, corpus)).collect()}
     assert got == {i: (f"{int(fp[i]):016x}", root[i]) for i in range(len(fp))}
-    kept = simhash.one_of_each(frame(spark, [*corpus, corpus[0], corpus[0]], [*range(len(corpus)), 0, None]))
-    assert sorted((-1 if r["doc_id"] is None else r["doc_id"]) for r in kept.collect()) == [-1, *sorted(set(root))]
 
 
 def test_simhash_links_by_tiles(spark):
@@ -104,7 +102,7 @@ def test_simhash_links_by_tiles(spark):
     fp = rnd.integers(0, 2**63, 3000, dtype=np.int64).view(np.uint64)
     fp[1000:2000] = fp[:1000] ^ (np.uint64(1) << rnd.integers(0, 64, 1000).astype(np.uint64)) ^ (np.uint64(1) << rnd.integers(0, 64, 1000).astype(np.uint64))
     fp = np.unique(fp)
-    roots = simhash.components(simhash.near_links(spark.createDataFrame([(int(x),) for x in fp.view(np.int64)], "fp long")))
+    roots = simhash.components(simhash.near_links(spark.createDataFrame([(int(x), int(x)) for x in fp.view(np.int64)], "id long, fp long")))
     got = {r["fp"]: r["root"] for r in roots.collect()}
     signed = fp.view(np.int64)
     root = {int(x): int(x) for x in signed}
