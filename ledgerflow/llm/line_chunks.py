@@ -1,7 +1,7 @@
 """Line dedup by content-defined chunks: a rolling hash over line hashes chooses boundaries that move along with the text.
 
-A chunk of two lines or more that stands elsewhere too is removed, except where it stands first; before that its bytes are
-compared with those of the first one.
+A chunk that stands elsewhere too is compared, byte by byte, with the first one, and the repeat is followed line by line into the
+chunks on both sides, since a passage seldom begins at a boundary. Repeats of two lines or more are removed.
 """
 
 from __future__ import annotations
@@ -11,10 +11,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import numbered, stored
 
 #: A boundary follows a line where the hash of the last ROLL lines is 0 modulo EVERY.
-ROLL, EVERY, MIN_LINES = 2, 4, 2
+ROLL, EVERY, MIN_LINES = 1, 2, 2
 NO_ID = 2**63 - 1
 _M, _K = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -38,7 +38,7 @@ def _lines(text: str) -> list[bytes]:
 
 
 def _names(docs: DataFrame) -> DataFrame:
-    """h1, h2, doc, th, place (first line, lines) of each chunk of MIN_LINES lines or more."""
+    """h1, h2, doc, th, place (first line, lines) of each chunk that is more than one blank line."""
     import xxhash
 
     def run(batches):
@@ -47,59 +47,88 @@ def _names(docs: DataFrame) -> DataFrame:
             for doc, th, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 lines = _lines(text or "")
                 for a, n in chunks_of(lines):
-                    if n >= MIN_LINES:
+                    if n > 1 or lines[a].strip():
                         for column, v in zip(out, (xxhash.xxh3_128_digest(b"\n".join(lines[a : a + n])), doc, th, a << 32 | n), strict=True):
                             column.append(v)
             name = np.frombuffer(b"".join(out[0]), "<i8").reshape(-1, 2)
-            columns = [pa.array(np.ascontiguousarray(name[:, 0])), pa.array(np.ascontiguousarray(name[:, 1])), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int64())]
+            columns = [pa.array(np.ascontiguousarray(name[:, 0])), pa.array(np.ascontiguousarray(name[:, 1])), *[pa.array(c, pa.int64()) for c in out[1:]]]
             yield pa.RecordBatch.from_arrays(columns, names=["h1", "h2", "doc", "th", "place"])
 
-    return docs.mapInArrow(run, "h1 long, h2 long, doc long, th int, place long")
+    return docs.mapInArrow(run, "h1 long, h2 long, doc long, th long, place long")
+
+
+def _around(chunks: list[tuple[int, int]], k: int) -> tuple[int, int]:
+    """Lines from the chunk of several lines before chunk k to the end of the one behind it."""
+    before, after = k - 1, k + 1
+    while before > 0 and chunks[before][1] < MIN_LINES:
+        before -= 1
+    while after < len(chunks) - 1 and chunks[after][1] < MIN_LINES:
+        after += 1
+    last = chunks[min(after, len(chunks) - 1)]
+    return chunks[max(before, 0)][0], last[0] + last[1]
 
 
 def _bytes(docs: DataFrame) -> DataFrame:
-    """h1, h2 and the compressed bytes of the asked chunks of each document."""
+    """h1, h2, the compressed lines of the asked chunks with those around them, and how many lines stand before the chunk."""
 
     def run(batches):
         import zstandard
 
         press = zstandard.ZstdCompressor()
         for batch in batches:
-            out: list[list] = [[], [], []]
+            out: list[list] = [[], [], [], []]
             for text, asked in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 lines = _lines(text or "")
+                chunks = chunks_of(lines)
+                at = {a: k for k, (a, _) in enumerate(chunks)}
                 for x in asked:
-                    a, n = x["place"] >> 32, x["place"] & 0xFFFFFFFF
-                    for column, v in zip(out, (x["h1"], x["h2"], press.compress(b"\n".join(lines[a : a + n]))), strict=True):
+                    a = x["place"] >> 32
+                    low, high = _around(chunks, at[a])
+                    for column, v in zip(out, (x["h1"], x["h2"], press.compress(b"\n".join(lines[low:high])), a - low), strict=True):
                         column.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["h1", "h2", "first_bytes"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.binary(), pa.int32()), strict=True)], names=["h1", "h2", "first_bytes", "lead"])
+
+    return docs.mapInArrow(run, "h1 long, h2 long, first_bytes binary, lead int")
+
 
-    return docs.mapInArrow(run, "h1 long, h2 long, first_bytes binary")
+def repeat_of(lines: list[bytes], a: int, n: int, first: list[bytes], lead: int) -> tuple[int, int]:
+    """The lines of the repeat around chunk (a, n), whose first place is in first behind lead lines; (a, a): not equal or too short."""
+    if lines[a : a + n] != first[lead : lead + n]:
+        return a, a
+    low, high = a, a + n
+    while low > 0 and a - low < lead and lines[low - 1] == first[lead - (a - low) - 1]:
+        low -= 1
+    while high < len(lines) and lead + high - a < len(first) and lines[high] == first[lead + high - a]:
+        high += 1
+    return (low, high) if high - low >= MIN_LINES else (a, a)
 
 
 def remove_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with repeated chunks taken out of the text, and n_lines (before) and n_removed_lines added.
 
     Of equal chunks the one with the smallest id and line stays. Rows whose id and text are both equal count as one document: they
-    stay alike. A null text stays null and has no lines; a null id counts as the largest. Single lines are never removed. Columns
-    of docs named like the added ones are replaced. An empty table gives an empty result.
+    stay alike. A null text stays null and has no lines; a null id counts as the largest. Single lines are never removed alone.
+    Columns of docs named like the added ones are replaced, all others stay. An empty table gives an empty result.
+    A line that goes equals one of a smaller id, or an earlier one of its own text, so each content stays once.
     """
-    own = [c for c in docs.columns if c not in ("n_lines", "n_removed_lines", "_doc", "_th", "_drop")]
-    keyed = docs.select(*own, F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_doc"), F.hash(text).alias("_th"))
-    chunks = stored(_names(keyed.select(F.col("_doc").alias("doc"), F.col("_th").alias("th"), F.col(text))))
+    plain, names = numbered(docs)
+    key, x = (f"c{names.index(c)}" for c in (id_col, text))
+    keyed = plain.withColumn("doc", F.coalesce(F.col(key).cast("long"), F.lit(NO_ID))).withColumn("th", F.xxhash64(x))
+    chunks = stored(_names(keyed.select("doc", "th", x)))
     where = F.struct("doc", "place", "th")
-    again = chunks.groupBy("h1", "h2").agg(F.min(where).alias("first"), F.max(where).alias("last")).where("first <> last").drop("last")
-    again = stored(again)
-    asked = again.groupBy(F.col("first.doc").alias("_doc"), F.col("first.th").alias("_th")).agg(F.collect_set(F.struct("first.place", "h1", "h2")).alias("asked"))
+    again = stored(chunks.groupBy("h1", "h2").agg(F.min(where).alias("first"), F.max(where).alias("last")).where("first <> last").drop("last"))
+    asked = again.groupBy("first.doc", "first.th").agg(F.collect_set(F.struct("first.place", "h1", "h2")).alias("asked"))
     # Documents meet their chunks by a merge join at every size; a broadcast of what is found would depend on the corpus.
-    firsts = keyed.select("_doc", "_th", F.col(text)).join(asked.hint("merge"), ["_doc", "_th"]).select(text, "asked")
-    firsts = stored(_bytes(firsts).dropDuplicates(["h1", "h2"]))
-    held = again.join(firsts, ["h1", "h2"])
-    drop = chunks.join(held, ["h1", "h2"]).where(where != F.col("first"))
-    drop = drop.groupBy(F.col("doc").alias("_doc"), F.col("th").alias("_th")).agg(F.collect_set(F.struct("place", "first_bytes")).alias("_drop"))
-    joined = keyed.join(drop.hint("merge"), ["_doc", "_th"], "left").select(*own, "_drop")
-    schema = joined.drop("_drop").schema.add("n_lines", "long").add("n_removed_lines", "long")
-    at = own.index(text)
+    firsts = keyed.select("doc", "th", x).join(asked.hint("merge"), ["doc", "th"]).select(x, "asked")
+    firsts = _bytes(firsts).dropDuplicates(["h1", "h2"])
+    # Stored, so that both sides of the next join have exchanges of their own and Spark can split a chunk that is in very many rows.
+    held = stored(again.join(firsts, ["h1", "h2"]))
+    drop = chunks.join(held.hint("merge"), ["h1", "h2"]).where(where != F.col("first"))
+    drop = drop.groupBy("doc", "th").agg(F.collect_set(F.struct("place", "first_bytes", "lead")).alias("drop"))
+    joined = keyed.join(drop.hint("merge"), ["doc", "th"], "left").select(*plain.columns, "drop")
+    schema = joined.drop("drop").schema.add("n_lines", "long").add("n_removed_lines", "long")
+    at, out_names = names.index(text), [*plain.columns, "n_lines", "n_removed_lines"]
+    width = len(names)
 
     def run(batches):
         import zstandard
@@ -107,18 +136,19 @@ def remove_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text: str =
         open_ = zstandard.ZstdDecompressor()
         for batch in batches:
             out: list[list] = [[], [], []]
-            for value, drops in zip(batch.column(at).to_pylist(), batch.column(len(own)).to_pylist(), strict=True):
+            for value, drops in zip(batch.column(at).to_pylist(), batch.column(width).to_pylist(), strict=True):
                 lines = _lines(value) if value is not None else []
                 gone = set()
-                for x in drops or ():
-                    a, n = x["place"] >> 32, x["place"] & 0xFFFFFFFF
-                    if b"\n".join(lines[a : a + n]) == open_.decompress(x["first_bytes"]):
-                        gone.update(range(a, a + n))
-                kept = value if not gone else b"\n".join([x for i, x in enumerate(lines) if i not in gone]).decode("utf-8", "surrogatepass")
+                for d in drops or ():
+                    first = open_.decompress(d["first_bytes"]).split(b"\n")
+                    gone.update(range(*repeat_of(lines, d["place"] >> 32, d["place"] & 0xFFFFFFFF, first, d["lead"])))
+                kept = value if not gone else b"\n".join([line for i, line in enumerate(lines) if i not in gone]).decode("utf-8", "surrogatepass")
                 for column, v in zip(out, (kept, len(lines), len(gone)), strict=True):
                     column.append(v)
-            columns = [*batch.columns[: len(own)], pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64())]
+            columns = [*batch.columns[:width], pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64())]
             columns[at] = pa.array(out[0], batch.column(at).type)
-            yield pa.RecordBatch.from_arrays(columns, names=[*own, "n_lines", "n_removed_lines"])
+            yield pa.RecordBatch.from_arrays(columns, names=out_names)
 
-    return joined.mapInArrow(run, schema)
+    done = joined.mapInArrow(run, schema)
+    own = [F.col(f"c{i}").alias(c) for i, c in enumerate(names) if c not in ("n_lines", "n_removed_lines")]
+    return done.select(*own, "n_lines", "n_removed_lines")

@@ -114,25 +114,6 @@ def test_simhash_links_by_tiles(spark):
     assert {k: root[k] for k in got} == got and all(root[k] == k for k in root if k not in got)
 
 
-def test_line_chunks(spark, corpus):
-    texts = [*corpus, "\n".join(["same line", "other", "third", "fourth", "fifth", "sixth"]), "x\n" + "\n".join(["same line", "other", "third", "fourth", "fifth", "sixth"])]
-    seen, expected = {}, []
-    for i, t in enumerate(texts):
-        lines = [] if t is None else t.encode().split(b"\n")
-        gone = set()
-        for a, n in line_chunks.chunks_of(lines) if lines else []:
-            if n >= 2:
-                key = b"\n".join(lines[a : a + n])
-                if key in seen:
-                    gone.update(range(a, a + n))
-                seen.setdefault(key, i)
-        kept = t if not gone else b"\n".join(x for k, x in enumerate(lines) if k not in gone).decode()
-        expected.append((i, kept, len(lines), len(gone)))
-    d = line_chunks.remove_repeated_chunks(frame(spark, texts))
-    assert sorted((tuple(r) for r in d.select("doc_id", "text", "n_lines", "n_removed_lines").collect()), key=lambda r: r[0]) == expected
-    assert "_doc" not in d.columns and "kept" in d.columns
-
-
 def _ids(texts, name, end):
     import public_tokenizers
     from tokenizers import Tokenizer
