@@ -1,8 +1,8 @@
 """Best-two-fit packing: fill a bin greedily, then trade its smallest document for two that fit its gap more tightly.
 
 Pieces of one length are alike, so the plan needs only how many pieces have each length: at most `capacity` numbers, whatever
-the corpus. The plan lists patterns (lengths of one bin) with how many bins take each. Spark then ranks the pieces within
-their length and deals them to the pattern places.
+the corpus. The plan lists patterns (lengths of one bin) with how many bins take each. Every piece knows its rank among those of its
+length: a task counts its own, and the tasks before it are added. Ranks are then dealt to the pattern places.
 """
 
 from __future__ import annotations
@@ -13,13 +13,16 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, stored
+from .common import stored
 from .tokens import encoder, slices
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary, salt int"
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary, task int, rank long"
+#: Numbers of pieces by (task, length) up to this many (16 bytes each) are broadcast, more are joined by a shuffle.
+BROADCAST_COUNTS = 2_000_000
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -30,28 +33,29 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first), *[(a, capacity) for a in range(first, n, capacity)]]
 
 
-def encode_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, salts: int, id_col: str = "doc_id", text: str = "text", special: bool = False) -> DataFrame:
-    """One row per piece with its ids (little-endian, 2 bytes each if all ids of the vocabulary fit, else 4)."""
+def encode_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_col: str = "doc_id", text: str = "text", special: bool = False) -> DataFrame:
+    """One row per piece with its ids (little-endian, 2 bytes each if all ids of the vocabulary fit, else 4), the task that made it and
+    its rank among the pieces of its length there. Tasks and ranks belong together only within one writing of the rows: store them."""
 
     def run(batches):
         enc = encoder(tokenizer, special)
         narrow = enc.tokenizer.get_vocab_size() <= 65536 and end_id < 65536
         end = int(end_id).to_bytes(4, "little")
-        turn = 0
+        task, made = TaskContext.get().partitionId(), Counter()
         for batch in batches:
             ids_of, texts = batch.column(0), batch.column(1).to_pylist()
             for a, b in slices(texts):
-                rows: list[list] = [[], [], [], [], [], [], []]
+                rows: list[list] = [[], [], [], [], [], [], [], []]
                 for doc, ids in zip(ids_of.slice(a, b - a).to_pylist(), enc.encode([t or "" for t in texts[a:b]]), strict=True):
                     ids += end
                     for k, (start, n) in enumerate(cut(len(ids) // 4, capacity)):
                         part = ids[4 * start : 4 * (start + n)]
                         kept = np.frombuffer(part, dtype="<u4").astype("<u2").tobytes() if narrow else part
-                        turn = (turn + 1) % salts
-                        for column, value in zip(rows, (doc, k, start, n, zlib.crc32(part), kept, turn), strict=True):
+                        for column, value in zip(rows, (doc, k, start, n, zlib.crc32(part), kept, task, made[n]), strict=True):
                             column.append(value)
-                types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32())
-                names = ("doc_id", "piece", "start", "length", "ids_crc32", "ids", "salt")
+                        made[n] += 1
+                types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64())
+                names = ("doc_id", "piece", "start", "length", "ids_crc32", "ids", "task", "rank")
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], names=names)
 
     return docs.select(F.col(id_col).cast("long"), F.col(text)).mapInArrow(run, PIECES)
@@ -117,63 +121,51 @@ def _places(plan: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.ndarr
 def pack_documents(
     docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 1024, id_col: str = "doc_id", text: str = "text", special: bool = False
 ) -> tuple[DataFrame, DataFrame]:
-    """(placement, pieces). placement: doc_id, piece, start, length, ids_crc32, sequence_id, offset; pieces: the same rows with ids.
+    """(placement, placed). placement: doc_id, piece, start, length, ids_crc32, sequence_id, offset; placed: the same rows with ids.
 
-    With special, the strings of added tokens get their own ids. A null or empty text is one piece that holds the end id. Repeated rows are packed one by one; equal lengths are dealt in any
-    order. Other columns of docs are not read, so their names cannot clash. An empty table gives two empty results.
-    Only the number of pieces per (length, salt) goes to the driver: capacity * salts numbers at most.
+    With special, the strings of added tokens get their own ids. A null or empty text is one piece that holds the end id. Repeated
+    rows are packed one by one; equal lengths are dealt in any order. Other columns of docs are not read, so their names cannot
+    clash. An empty table gives two empty results. Only the number of pieces per length goes to the driver: capacity numbers.
     """
     spark = docs.sparkSession
-    salts = max(8, min(partitions(spark), 256))
-    pieces = stored(encode_pieces(docs, tokenizer, end_id, capacity, salts, id_col, text, special))
-    stats = pieces.groupBy("length", "salt").count().collect()
-    counts: Counter = Counter()
-    before = {}
-    for r in sorted(stats, key=lambda r: (r["length"], r["salt"])):
-        before[(r["length"], r["salt"])] = counts[r["length"]]
-        counts[r["length"]] += r["count"]
-    shared = spark.sparkContext.broadcast((before, _places(best_two_fit(counts, capacity))))
-    light = pieces.select("doc_id", "piece", "start", "length", "ids_crc32", "salt")
-    light = light.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32")))
+    pieces = stored(encode_pieces(docs, tokenizer, end_id, capacity, id_col, text, special))
+    before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)  # a row a task
+    per_task = pieces.groupBy("length", "task").agg(F.count("*").alias("n"))
+    per_task = stored(per_task.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0).cast("long"))))
+    counts = {r["length"]: r["n"] for r in per_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    shared = spark.sparkContext.broadcast(_places(best_two_fit(counts, capacity)))
+    bases = per_task.select("length", "task", "before")
+    bases = F.broadcast(bases) if per_task.count() <= BROADCAST_COUNTS else bases
 
     def place(batches):
-        before, places = shared.value
+        places = shared.value
         for batch in batches:
-            n, salt = (batch.column(i).to_numpy() for i in (3, 5))
-            rank = batch.column(6).to_numpy() - 1
+            n, rank = (batch.column(i).to_numpy() for i in (3, 5))
             seq, off = np.empty(len(n), np.int64), np.empty(len(n), np.int64)
-            keys = n * 1000 + salt
-            for key in np.unique(keys).tolist():
-                at = np.flatnonzero(keys == key)
-                length = key // 1000
+            order = np.argsort(n, kind="stable")
+            lengths, first = np.unique(n[order], return_index=True)
+            for length, at in zip(lengths.tolist(), np.split(order, first[1:]), strict=True):
                 starts, bases, offsets = places[length]
-                r = rank[at] + before[(length, key % 1000)]
-                k = np.searchsorted(starts, r, side="right") - 1
-                seq[at], off[at] = bases[k] + r - starts[k], offsets[k]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(seq), pa.array(off)], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
-
-    return light.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"), pieces
-
-
-def packed_sequences(placement: DataFrame, pieces: DataFrame, end_id: int = 2) -> DataFrame:
-    """One row per sequence: sequence_id, doc_ids and lengths in the order of the places, n_tokens, ids (the pieces' bytes in a row)."""
-    key = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    # Repeated rows have equal ids: which of them takes which place makes no difference.
-    w = Window.partitionBy(*key).orderBy("sequence_id", "offset")
-    placed = placement.withColumn("_nth", F.row_number().over(w))
-    held = pieces.select(*key, "ids").withColumn("_nth", F.row_number().over(Window.partitionBy(*key).orderBy("ids")))
-    same = [placed[c].eqNullSafe(held[c]) for c in (*key, "_nth")]
-    rows = placed.join(held, same).select(placed["doc_id"], placed["piece"], placed["length"], "sequence_id", "offset", "ids")
+                k = np.searchsorted(starts, rank[at], side="right") - 1
+                seq[at], off[at] = bases[k] + rank[at] - starts[k], offsets[k]
+            columns = [*batch.columns[:5], pa.array(seq), pa.array(off), *batch.columns[6:]]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "ids"][: len(columns)])
+
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+    ranked = pieces.join(bases, ["length", "task"])
+    light = ["doc_id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("before")).alias("rank")]
+    return ranked.select(*light).mapInArrow(place, schema), ranked.select(*light, "ids").mapInArrow(place, schema + ", ids binary")
+
+
+def packed_sequences(placed: DataFrame) -> DataFrame:
+    """One row per sequence: sequence_id, doc_ids, pieces and lengths in the order of the places, n_tokens, ids (the pieces' bytes in a row)."""
     parts = F.array_sort(F.collect_list(F.struct("offset", "doc_id", "piece", "length", "ids")))
-    return (
-        rows.groupBy("sequence_id")
-        .agg(parts.alias("p"))
-        .select(
-            "sequence_id",
-            F.col("p.doc_id").alias("doc_ids"),
-            F.col("p.piece").alias("pieces"),
-            F.col("p.length").alias("lengths"),
-            F.aggregate("p", F.lit(0).cast("long"), lambda s, x: s + x["length"]).alias("n_tokens"),
-            F.unhex(F.array_join(F.transform("p", lambda x: F.hex(x["ids"])), "")).alias("ids"),
-        )
+    rows = placed.groupBy("sequence_id").agg(parts.alias("p"))
+    return rows.select(
+        "sequence_id",
+        F.col("p.doc_id").alias("doc_ids"),
+        F.col("p.piece").alias("pieces"),
+        F.col("p.length").alias("lengths"),
+        F.aggregate("p", F.lit(0).cast("long"), lambda s, x: s + x["length"]).alias("n_tokens"),
+        F.aggregate("p", F.lit(b""), lambda s, x: F.concat(s, x["ids"])).alias("ids"),
     )

@@ -150,8 +150,9 @@ def op5_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder, _ = slots.shard_documents(_table(spark, sf_dir, "documents"))
-    return spark.read.parquet(folder).select(
+    docs = _table(spark, sf_dir, "documents")
+    folder, _ = slots.shard_documents(docs)
+    return slots.read_shards(spark, folder, docs).select(
         "doc_id",
         (F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + slots.ROW_OVERHEAD).alias("size"),
         F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"),

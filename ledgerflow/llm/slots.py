@@ -11,9 +11,11 @@ from bisect import bisect_left
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, shared_dir
+from .common import numbered, partitions, shared_dir
 
 SLOTS, SHARDS, ROW_OVERHEAD = 8192, 24, 8
+#: Bytes that one task is to sort and write.
+TASK_BYTES = 64 << 20
 
 
 def first_map(slots: int = SLOTS, shards: int = SHARDS) -> dict[int, int]:
@@ -84,28 +86,40 @@ def read_map(spark: SparkSession, path: str, version: int) -> DataFrame:
 
 
 def shard_documents(docs: DataFrame, out: str | None = None, shards: int = SHARDS, slots: int = SLOTS, id_col: str = "doc_id", text: str = "text") -> tuple[str, str]:
-    """Write docs as Parquet below <out>/shards/shard=N and the map below <out>/map/version=V; returns both folders.
+    """Write docs as Parquet below <out>/shards/shard=N and the map below <out>/map/version=V; returns both folders (see read_shards).
 
     Law: bytes. A record's size is its UTF-8 bytes (null: none) plus ROW_OVERHEAD. The virtual slot is the hash of the id, or of
     the text where the id is null. Each row also gets `slot`, its gapless place in its shard (by virtual slot, id and text).
-    Repeated rows take a place each; columns of docs with the names of added ones are replaced; an empty table writes no shard.
+    Repeated rows, which are of one slot, take a place each. A group of equal texts is spread by its ids: a shard that had to hold
+    all copies of a third of the bytes could not be as large as the others. Columns of docs with the names of added ones are
+    replaced; an empty table writes maps and no shard. Tasks grow in number with the bytes, down to one slot each.
     """
     spark = docs.sparkSession
     out = out or shared_dir(spark)
-    own = [c for c in docs.columns if c not in ("virtual_slot", "shard", "slot", "_part", "_first")]
-    key = F.when(F.col(id_col).isNull(), F.xxhash64(text)).otherwise(F.xxhash64(id_col))
-    rows = docs.select(*own, F.pmod(key, F.lit(slots)).cast("int").alias("virtual_slot"))
-    size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + ROW_OVERHEAD
+    plain, names = numbered(docs)
+    own = [(f"c{i}", c) for i, c in enumerate(names) if c not in ("virtual_slot", "shard", "slot")]
+    key, x = (f"c{names.index(c)}" for c in (id_col, text))
+    hashed = F.when(F.col(key).isNull(), F.xxhash64(x)).otherwise(F.xxhash64(key))
+    rows = plain.withColumn("virtual_slot", F.pmod(hashed, F.lit(slots)).cast("int"))
+    size = F.coalesce(F.octet_length(x), F.lit(0)).cast("long") + ROW_OVERHEAD
     stats = {r["virtual_slot"]: (r["bytes"], r["rows"]) for r in rows.groupBy("virtual_slot").agg(F.sum(size).alias("bytes"), F.count("*").alias("rows")).collect()}
     even = first_map(slots, shards)
     write_map(spark, f"{out}/map", 1, even, stats)
     write_map(spark, f"{out}/map", 2, rebalanced(even, {s: b for s, (b, _) in stats.items()}, shards), stats)
-    current = read_map(spark, f"{out}/map", 2).select("virtual_slot", "shard", F.col("first").alias("_first"))
-    n = partitions(spark)
+    current = read_map(spark, f"{out}/map", 2).select("virtual_slot", "shard", "first")
+    n = max(partitions(spark), -(-sum(b for b, _ in stats.values()) // TASK_BYTES))
     per_shard = 4 * -(-n // shards)  # tasks that share a shard's slots
-    placed = rows.join(F.broadcast(current), "virtual_slot").withColumn("_part", F.pmod(F.hash("virtual_slot"), F.lit(per_shard)))
-    placed = placed.repartition(n, "shard", "_part")
-    order = Window.partitionBy("shard", "_part", "virtual_slot").orderBy(id_col, text)
-    placed = placed.withColumn("slot", F.row_number().over(order) + F.col("_first") - 1).drop("_first", "_part")
+    placed = rows.join(F.broadcast(current), "virtual_slot").withColumn("part", F.pmod(F.hash("virtual_slot"), F.lit(per_shard)))
+    placed = placed.repartition(n, "shard", "part")
+    order = Window.partitionBy("shard", "part", "virtual_slot").orderBy(key, F.xxhash64(x))
+    placed = placed.withColumn("slot", F.row_number().over(order) + F.col("first") - 1)
+    placed = placed.select(*[F.col(c).alias(name) for c, name in own], "virtual_slot", "slot", "shard")
     placed.write.partitionBy("shard").parquet(f"{out}/shards")
     return f"{out}/shards", f"{out}/map"
+
+
+def read_shards(spark: SparkSession, folder: str, docs: DataFrame) -> DataFrame:
+    """The rows in the shards below folder, also where there is none: the columns of docs, virtual_slot, slot and shard."""
+    own = docs.drop("virtual_slot", "shard", "slot")
+    schema = own.limit(0).select("*", F.lit(0).alias("virtual_slot"), F.lit(0).cast("long").alias("slot"), F.lit(0).alias("shard")).schema
+    return spark.read.schema(schema).parquet(folder)

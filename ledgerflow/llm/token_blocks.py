@@ -2,7 +2,7 @@
 
 A file holds consecutive documents, in ascending id order:
   header   magic, version, block size, documents, ids, blocks
-  documents  id (int64) and number of ids (uint64) of each
+  documents  id (int64), whether it is known (uint8; 0: null) and number of ids (uint64) of each
   index    per block: where its bytes start (uint64), its minimum (uint32), width (uint8), number of exceptions (uint16)
   blocks   id - minimum in `width` bits each, packed into 64-bit words, then the exceptions' positions (uint16) and values (uint32)
 The width is the bits of a percentile of a block's differences; larger ones are exceptions. Any block can be read by itself.
@@ -22,10 +22,10 @@ from pyspark.sql import functions as F
 from .common import partitions, shared_dir, stored
 from .tokens import encoder, slices
 
-MAGIC, VERSION, BLOCK, PERCENTILE = b"PFOR", 1, 512, 90
+MAGIC, VERSION, BLOCK, PERCENTILE = b"PFOR", 2, 512, 90
 SEGMENT_IDS = 4_000_000
 HEADER = np.dtype([("magic", "S4"), ("version", "<u4"), ("block", "<u4"), ("docs", "<u8"), ("ids", "<u8"), ("blocks", "<u8")])
-DOC = np.dtype([("id", "<i8"), ("n", "<u8")])
+DOC = np.dtype([("id", "<i8"), ("known", "u1"), ("n", "<u8")])
 INDEX = np.dtype([("start", "<u8"), ("low", "<u4"), ("width", "u1"), ("exceptions", "<u2")])
 
 
@@ -54,7 +54,7 @@ def _unpacked(words: np.ndarray, width: int) -> np.ndarray:
     return out.reshape(-1, BLOCK).astype(np.uint32)
 
 
-def encode_file(doc_ids: list[int], counts: list[int], ids: np.ndarray) -> bytes:
+def encode_file(doc_ids: list[int | None], counts: list[int], ids: np.ndarray) -> bytes:
     """The bytes of one file."""
     blocks = -(-len(ids) // BLOCK)
     padded = np.empty(blocks * BLOCK, np.uint32)
@@ -80,20 +80,12 @@ def encode_file(doc_ids: list[int], counts: list[int], ids: np.ndarray) -> bytes
     index["start"] = np.cumsum([0, *map(len, bodies[:-1])])[:blocks]
     head = np.array([(MAGIC, VERSION, BLOCK, len(doc_ids), len(ids), blocks)], HEADER)
     docs = np.zeros(len(doc_ids), DOC)
-    docs["id"], docs["n"] = doc_ids, counts
+    docs["id"], docs["known"], docs["n"] = [i or 0 for i in doc_ids], [i is not None for i in doc_ids], counts
     return b"".join([head.tobytes(), docs.tobytes(), index.tobytes(), *bodies])
 
 
-def decode_file(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(documents, ids) of a file."""
-    head = np.frombuffer(raw, HEADER, 1)[0]
-    if head["magic"] != MAGIC or head["version"] != VERSION or head["block"] != BLOCK:
-        raise ValueError("not a token block file of this version")
-    at = HEADER.itemsize
-    docs = np.frombuffer(raw, DOC, int(head["docs"]), at)
-    at += docs.nbytes
-    index = np.frombuffer(raw, INDEX, int(head["blocks"]), at)
-    at += index.nbytes
+def _decoded(index: np.ndarray, raw: bytes, at: int) -> np.ndarray:
+    """The blocks of an index, a row each; their bytes begin at place at of raw."""
     out = np.zeros((len(index), BLOCK), np.uint32)
     for w in np.unique(index["width"]).tolist():
         rows = np.flatnonzero(index["width"] == w)
@@ -105,7 +97,40 @@ def decode_file(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
         n, s = int(index["exceptions"][b]), at + int(index["start"][b]) + BLOCK * int(index["width"][b]) // 8
         out[b, np.frombuffer(raw, "<u2", n, s)] = np.frombuffer(raw, "<u4", n, s + 2 * n)
     out += index["low"][:, None]
-    return docs, out.ravel()[: int(head["ids"])]
+    return out
+
+
+def read_ids(path: str, first: int, n: int) -> np.ndarray:
+    """n ids of a file from place first on: the index tells where their blocks are, and only those are read."""
+    files, name = _files(path)
+    with files.open_input_file(name) as f:
+        head = np.frombuffer(f.read(HEADER.itemsize), HEADER)
+        n = max(0, min(n, int(head["ids"][0]) - first))
+        if not n:
+            return np.empty(0, np.uint32)
+        at = HEADER.itemsize + DOC.itemsize * int(head["docs"][0])
+        a, b = first // BLOCK, -(-(first + n) // BLOCK)
+        f.seek(at + INDEX.itemsize * a)
+        index = np.frombuffer(f.read(INDEX.itemsize * (b - a)), INDEX).copy()
+        last = index[-1]
+        low = int(index["start"][0])
+        size = int(last["start"]) + BLOCK * int(last["width"]) // 8 + 6 * int(last["exceptions"]) - low
+        f.seek(at + INDEX.itemsize * int(head["blocks"][0]) + low)
+        index["start"] -= np.uint64(low)
+        return _decoded(index, f.read(size), 0).ravel()[first - a * BLOCK :][:n]
+
+
+def decode_file(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(documents, ids) of a file."""
+    head = np.frombuffer(raw, HEADER, 1)[0]
+    if head["magic"] != MAGIC or head["version"] != VERSION or head["block"] != BLOCK:
+        raise ValueError("not a token block file of this version")
+    at = HEADER.itemsize
+    docs = np.frombuffer(raw, DOC, int(head["docs"]), at)
+    at += docs.nbytes
+    index = np.frombuffer(raw, INDEX, int(head["blocks"]), at)
+    at += index.nbytes
+    return docs, _decoded(index, raw, at).ravel()[: int(head["ids"])]
 
 
 def _files(uri: str):
@@ -149,7 +174,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
                 for doc, ids in zip(doc_ids[a:b], enc.encode([t or "" for t in texts[a:b]]), strict=True):
                     if total and total + len(ids) // 4 + 1 > SEGMENT_IDS:
                         yield flush()
-                    held[0].append(NULL_ID if doc is None else doc)
+                    held[0].append(doc)
                     held[1].append(len(ids) // 4 + 1)
                     held[2].append(ids + end)
                     total += held[1][-1]
@@ -163,9 +188,6 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
     return ordered.mapInArrow(run, "path string, part int, segment int, docs long, ids long, first_id long")
 
 
-NULL_ID = -(2**63)
-
-
 def read_token_files(files: DataFrame, folder: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 of every document in the files, decoded from them."""
     whole = files.groupBy("part").agg(F.sum("ids").alias("sum"))
@@ -183,7 +205,7 @@ def read_token_files(files: DataFrame, folder: str) -> DataFrame:
                 ends = np.cumsum(docs["n"].astype(np.int64))
                 begins = ends - docs["n"].astype(np.int64)
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
-                known = pa.array(docs["id"], mask=docs["id"] == NULL_ID)
+                known = pa.array(docs["id"].copy(), mask=docs["known"] == 0)
                 yield pa.RecordBatch.from_arrays([known, pa.array(begins + start), pa.array(docs["n"].astype(np.int64)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return jobs.repartition(partitions(files.sparkSession)).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
@@ -192,8 +214,8 @@ def read_token_files(files: DataFrame, folder: str) -> DataFrame:
 def token_files(docs: DataFrame, tokenizer: str, end_id: int = 1, folder: str | None = None, id_col: str = "doc_id", text: str = "text", special: bool = False) -> DataFrame:
     """Write the files below folder (default: a new shared one) and read them back: one row per document.
 
-    With special, the strings of added tokens get their own ids. A null text is empty and has the end id alone. Null ids come first. Repeated rows are written as often as they are given.
-    Other columns are not read. An empty table writes no file and gives an empty result.
+    With special, the strings of added tokens get their own ids. A null text is empty and has the end id alone. Null ids come
+    first. Repeated rows are written as often as they are given, one behind the other. Other columns are not read. An empty table writes no file and gives an empty result.
     """
     folder = folder or shared_dir(docs.sparkSession)
     return read_token_files(stored(write_token_files(docs, folder, tokenizer, end_id, id_col, text, special)), folder)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import numbered, stored
+
 #: Kinds of list entries, the most telling first: an exact URL, a host, a domain with all hosts below it.
 KINDS = ("url", "host", "domain")
 HOST = r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
@@ -23,6 +25,11 @@ def key_of(url: Column) -> Column:
     return F.concat(host_of(url), F.when(rest == "", F.lit("/")).otherwise(rest))
 
 
+def read_list(spark: SparkSession, path: str) -> DataFrame:
+    """Dated entries (kind, key, day, action) from CSV files with a header; lines that do not parse have nulls and are no entries."""
+    return spark.read.schema("kind string, key string, day date, action string").option("header", True).option("enforceSchema", False).csv(path)
+
+
 def intervals(entries: DataFrame) -> DataFrame:
     """kind, key, action, valid_from, valid_to from dated entries (kind, key, day, action); action is block, allow or remove.
 
@@ -55,15 +62,18 @@ def judge(captures: DataFrame, entries: DataFrame, url: str = "url", day: str =
     All entries active on the capture's day are weighed: url before host before domain, a longer domain first; verdict is "block" or
     "allow" by the first (allow where there is none). Null or hostless URLs and null days are allowed with nulls. The as-of join
     runs over the distinct (url, day) of the captures and, per entry key, over its distinct days, never over all captures of a host.
-    Repeated captures get equal verdicts. Columns of captures named like added ones are replaced.
+    Repeated captures get equal verdicts. Columns of captures named like added ones are replaced. An empty list allows all, an
+    empty table of captures gives an empty result.
     """
-    added = ["host", "verdict", "action_kind", "action_key", "active_since", "n_active", "_url_key", "_day"]
-    own = [c for c in captures.columns if c not in added]
-    rows = captures.select(*own, host_of(F.col(url)).alias("host"), key_of(F.col(url)).alias("_url_key"), F.col(day).alias("_day"))
-    asked = rows.where(F.col("_day").isNotNull()).select("host", F.col("_url_key").alias("url_key"), F.col("_day").alias("day")).distinct()
-    wanted = _candidates(asked)
+    added = ("host", "verdict", "action_kind", "action_key", "active_since", "n_active")
+    plain, names = numbered(captures)
+    u, d = (F.col(f"c{names.index(c)}") for c in (url, day))
+    rows = plain.withColumns({"host": host_of(u), "url_key": key_of(u), "day": d})
+    asked = rows.where(F.col("day").isNotNull()).select("host", "url_key", "day").distinct()
+    listed = stored(intervals(entries))
+    # Only keys that are listed: else a suffix such as "com" would gather all hosts.
+    wanted = _candidates(asked).join(listed.select("kind", "key").distinct(), ["kind", "key"], "left_semi")
     points = wanted.select("kind", "key", "day").distinct()
-    listed = intervals(entries)
     # As-of: per key, its interval starts and the asked days in one order; the last start before or on a day is the one in force.
     line = listed.select("kind", "key", F.col("valid_from").alias("day"), F.lit(0).alias("ask"), F.struct("action", "valid_from", "valid_to").alias("e"))
     line = line.unionByName(points.select("kind", "key", "day", F.lit(1).alias("ask"), F.lit(None).cast(line.schema["e"].dataType).alias("e")))
@@ -73,6 +83,7 @@ def judge(captures: DataFrame, entries: DataFrame, url: str = "url", day: str =
     order = F.when(F.col("kind") == "url", 0).when(F.col("kind") == "host", 1).otherwise(1000 - F.col("depth"))
     hit = wanted.join(state, ["kind", "key", "day"]).groupBy("host", "url_key", "day")
     hit = hit.agg(F.min(F.struct(order.alias("o"), "kind", "key", "e")).alias("m"), F.count("*").alias("n_active"))
-    hit = hit.select(F.col("url_key").alias("_url_key"), F.col("day").alias("_day"), F.col("m.e.action").alias("verdict"), F.col("m.kind").alias("action_kind"), F.col("m.key").alias("action_key"), F.col("m.e.valid_from").alias("active_since"), "n_active")
-    out = rows.join(hit, ["_url_key", "_day"], "left")
+    hit = hit.select("url_key", "day", F.col("m.e.action").alias("verdict"), F.col("m.kind").alias("action_kind"), F.col("m.key").alias("action_key"), F.col("m.e.valid_from").alias("active_since"), "n_active")
+    out = rows.join(hit, ["url_key", "day"], "left")
+    own = [F.col(f"c{i}").alias(c) for i, c in enumerate(names) if c not in added]
     return out.select(*own, "host", F.coalesce("verdict", F.lit("allow")).alias("verdict"), "action_kind", "action_key", "active_since", F.coalesce("n_active", F.lit(0).cast("long")).alias("n_active"))

@@ -149,12 +149,13 @@ def test_blocks_round_trip(n):
         token_blocks.decode_file(b"X" * 100)
 
 
-def test_packing(spark, corpus):
+def test_packing(spark, corpus, monkeypatch):
     import public_tokenizers
 
     texts = [*corpus, *TRICKY, corpus[0] * 9]
+    monkeypatch.setattr(packing, "BROADCAST_COUNTS", 0)  # by a shuffle join
     ids = _ids(texts, "byte_bpe_50k.json", 2)
-    placement, pieces = packing.pack_documents(frame(spark, texts), public_tokenizers.path("byte_bpe_50k.json"))
+    placement, placed = packing.pack_documents(frame(spark, texts), public_tokenizers.path("byte_bpe_50k.json"))
     rows = placement.orderBy("sequence_id", "offset").collect()
     seen = {}
     for r in rows:
@@ -164,7 +165,7 @@ def test_packing(spark, corpus):
         seen[r["sequence_id"]] = r["offset"] + r["length"]
     assert sum(r["length"] for r in rows) == sum(map(len, ids)) and max(seen.values()) <= 1024
     assert len(seen) <= -(-sum(map(len, ids)) // 1024) + 3
-    whole = packing.packed_sequences(placement, pieces).collect()
+    whole = packing.packed_sequences(placed).collect()
     assert len(whole) == len(seen)
     for r in whole:
         at, flat = 0, np.frombuffer(r["ids"], "<u2")
@@ -189,24 +190,6 @@ def test_best_two_fit_is_near_the_bound():
         assert sum(t for _, t in plan) <= 1.1 * bound + 2
 
 
-def test_slots(spark, corpus):
-    folder, maps = slots.shard_documents(frame(spark, corpus))
-    rows = spark.read.parquet(folder).collect()
-    assert len(rows) == len(corpus) and {r["kept"] for r in rows} == {"x"}
-    by = {}
-    for r in rows:
-        by.setdefault(r["shard"], []).append(r["slot"])
-    assert all(sorted(v) == list(range(len(v))) for v in by.values())
-    one, two = (slots.read_map(spark, maps, v) for v in (1, 2))
-    assert one.count() == two.count() == slots.SLOTS
-    sizes = {i: random.Random(i).randint(1, 1000) for i in range(slots.SLOTS)}
-    even = slots.first_map()
-    for shards in (24, 25):
-        moved = slots.rebalanced(even, sizes, shards)
-        load = [sum(sizes[s] for s in moved if moved[s] == k) for k in range(shards)]
-        assert max(load) - min(load) <= 20
-
-
 def test_quality_keeps_every_row(spark, corpus):
     d = quality.quality_rules(frame(spark, corpus))
     assert d.count() == len(corpus) and "n_words" in d.columns and "fp" in d.columns
@@ -257,10 +240,9 @@ def test_empty_tables(spark):
     word, byte = (public_tokenizers.path(n) for n in ("word_bpe_49k.json", "byte_bpe_50k.json"))
     for d in (
         quality.quality_rules(none), quality.passing(none), licenses.scan_licenses(none), line_chunks.remove_repeated_chunks(none), decontam.contaminated(none, bench), decontam.contaminated(frame(spark, ["a b"]), bench.limit(0)).where("contaminated"),
-        recompression.repeated_substrings(none), simhash.near_duplicates(none), simhash.one_of_each(none), token_blocks.token_files(none, word), packing.pack_documents(none, byte)[0], packing.packed_sequences(*packing.pack_documents(none, byte)),
+        recompression.repeated_substrings(none), simhash.near_duplicates(none), simhash.one_of_each(none), token_blocks.token_files(none, word), packing.pack_documents(none, byte)[0], packing.packed_sequences(packing.pack_documents(none, byte)[1]),
     ):
         assert d.count() == 0
-    slots.shard_documents(none)
 
 
 @pytest.mark.parametrize("name, key", [("op1_url_filters", "page_id"), ("op3_quality_rules", "doc_id"), ("op4_license_scan", "doc_id"), ("op7_spaced_seeds", "doc_id")])
