@@ -38,6 +38,15 @@ def iso_date(c: Column | str) -> Column:
     return F.when(c.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(c, "yyyy-MM-dd"))
 
 
+#: White space of any script, line breaks and separators included.
+SPACE = r"[\x09-\x0d\x1c-\x20\x85\p{Z}]"
+
+
+def strip(c: Column | str) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(col(c), f"^{SPACE}+|{SPACE}+$", "")
+
+
 def collapse(c: Column | str) -> Column:
     return F.regexp_replace(col(c), r"\s+", " ")
 
@@ -53,7 +62,7 @@ def weekend(c: Column | str) -> Column:
 
 def vendor_key(description: Column | str, vendor: Column | str) -> Column:
     """The vendor in lower case, or the description without long digit runs and punctuation; at most 40 characters."""
-    v = F.lower(F.trim(col(vendor)))
+    v = F.lower(strip(vendor))
     d = F.regexp_replace(F.lower(col(description)), r"\d{4,}", "")
     d = F.trim(collapse(F.regexp_replace(d, "[^a-z0-9 ]", " ")))
     return F.substring(F.when(v != "", v).otherwise(d), 1, 40)
@@ -98,9 +107,11 @@ def html_text(c: Column | str) -> Column:
 
 
 def printable_share(c: Column | str) -> Column:
-    """Share of characters that are neither control, format, surrogate, private nor unassigned; line breaks and tabs count."""
-    c = col(c)
-    return F.length(F.regexp_replace(c, r"[\p{C}&&[^\n\r\t]]", "")) / F.length(c)
+    """Share of characters that print, of the text without white space at its ends: neither control, format, private or unassigned
+    characters nor separators; the plain space, line feeds and tabs count as printing. Null for a blank text."""
+    c = strip(c)
+    odd = F.length(F.regexp_replace(c, r"[^\p{C}\p{Z}]|[ \n\t]", ""))
+    return F.when(F.length(c) > 0, 1 - odd / F.length(c))
 
 
 # Patterns of instructions planted in a text, by kind.
@@ -128,9 +139,31 @@ def redact_pii(c: Column | str) -> Column:
     return reduce(lambda text, rule: F.regexp_replace(text, rule[1], rule[0]), PII, col(c))
 
 
+def injection_spans(c: Column | str) -> Column:
+    """Array of (start, end, kind, nr) of all planted instructions, kind by kind; places count from 0, end is exclusive."""
+    plain = F.translate(col(c), "\x01\x02", "\x03\x03")  # the marks below, of the same length
+
+    def of(number: int, kind: str, pattern: str) -> Column:
+        parts = F.split(F.regexp_replace(plain, f"({pattern})", "\x01$1\x02"), "\x01")
+        spans = F.array().cast("array<struct<start:int,end:int,kind:string,nr:int>>")
+        start = F.struct(F.lit(0).alias("at"), spans.alias("found"))
+
+        def add(s: Column, part: Column) -> Column:
+            # A part is a match up to its mark, and the text behind it; the first part has no mark.
+            n = F.instr(part, "\x02") - 1
+            span = F.struct(s["at"].alias("start"), (s["at"] + n).alias("end"), F.lit(kind).alias("kind"), F.lit(number).alias("nr"))
+            return F.struct((s["at"] + F.length(part) - F.when(n >= 0, 1).otherwise(0)).alias("at"), F.when(n >= 0, F.array_append(s["found"], span)).otherwise(s["found"]).alias("found"))
+
+        return F.aggregate(parts, start, add, lambda s: s["found"])
+
+    return F.concat(*[of(i, kind, pattern) for i, (kind, pattern) in enumerate(INJECTIONS)])
+
+
 def strip_injections(c: Column | str) -> Column:
-    """One kind after the other; same text as cutting spans from the right wherever spans do not overlap."""
-    return reduce(lambda text, rule: F.regexp_replace(text, rule[1], f"[REDACTED-INJECTION:{rule[0]}]"), INJECTIONS, col(c))
+    """Spans cut from the right, by their places in the given text; of spans that begin at one place the first kind is cut first."""
+    order = F.array_sort(F.transform(injection_spans(c), lambda s: F.struct((-s["start"]).alias("o"), s["nr"].alias("nr"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    cut = lambda t, s: F.concat(F.substr(t, F.lit(1), -s["o"]), F.lit("[REDACTED-INJECTION:"), s["kind"], F.lit("]"), F.substr(t, s["end"] + 1))
+    return F.aggregate(order, col(c), cut)
 
 
 def injection_kinds(c: Column | str) -> Column:
@@ -188,7 +221,7 @@ def categorise(description: Column | str, rules=CATEGORY_RULES) -> Column:
 
 
 def tenant_norm(c: Column | str) -> Column:
-    t = F.trim(col(c))
+    t = strip(c)
     return F.when(t.rlike("^[A-Za-z0-9._-]{1,64}$"), t).otherwise("_default")
 
 
@@ -201,5 +234,10 @@ def all_of(predicates: list[Column]) -> Column | None:
     return reduce(lambda a, b: a & b, predicates) if predicates else None
 
 
+def negate(predicate: Column) -> Column:
+    """True where the predicate is false or null."""
+    return ~F.coalesce(predicate, F.lit(False))
+
+
 def any_of(predicates: list[Column]) -> Column | None:
     return reduce(lambda a, b: a | b, predicates) if predicates else None

@@ -5,19 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import MONEY, account_hint, amount, categorise, collapse, flag_checks, flag_markers, infer_iso_date, money, side, vendor_key
+from ..functions.columns import MONEY, account_hint, amount, categorise, collapse, flag_checks, flag_markers, infer_iso_date, injection_spans, money, side, strip, vendor_key
 
+# How statements write their balances, dates and amounts.
 BEGIN = r"(?i)Beginning Balance as of\s+(\d{2}/\d{2}/\d{4})"
 END = r"(?i)Ending Balance as of\s+(\d{2}/\d{2}/\d{4})"
 MONTHS = "Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec"
 DAY = rf"(?i)\b(?:{MONTHS})\s+\d{{1,2}}\b"
 AMOUNT = r"-?\$?\d{1,3}(?:,\d{3})*\.\d{2}\b"
-MARK = "\x01"
 
 
 def _pieces(text, pattern: str):
     """The text cut before each match; the first piece is what stands before the first match."""
-    return F.split(F.regexp_replace(F.replace(text, F.lit(MARK), F.lit("")), f"({pattern})", MARK + "$1"), MARK)
+    # Behind a blank, so that a match at the very beginning is cut off too.
+    parts = F.split(F.concat(F.lit(" "), text), f"(?={pattern})")
+    return F.transform(parts, lambda x, i: F.when(i == 0, F.substr(x, F.lit(2))).otherwise(x))
 
 
 def _or_null(c):
@@ -33,8 +35,9 @@ def segment_statements(docs: DataFrame, lookback: int = 800) -> DataFrame:
     """
     d = docs.select("doc_id", F.posexplode(_pieces(F.col("text"), BEGIN)).alias("pos", "piece"))
     w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    # The characters before a piece are the tail of the pieces before it; one piece may be shorter than the look-back.
-    tail = F.right(F.array_join(F.collect_list(F.right("piece", F.lit(lookback))).over(w.rowsBetween(-lookback // 40, -1)), ""), F.lit(lookback))
+    # The characters before a piece are the tail of the pieces before it. But for the first, a piece has 34 characters at least.
+    before = w.rowsBetween(-(-(-lookback // 34) + 1), -1)
+    tail = F.right(F.array_join(F.collect_list(F.right("piece", F.lit(lookback))).over(before), ""), F.lit(lookback)) if lookback > 0 else F.lit("")
     d = d.withColumn("tail", tail).where("pos > 0").withColumn("text", F.concat("tail", "piece"))
     d = d.select("doc_id", (F.col("pos") - 1).alias("segment_no"), "text", F.length("tail").alias("lookback_chars"), F.regexp_extract("piece", BEGIN, 1).alias("period_start_raw"), _or_null(F.regexp_extract("text", END, 1)).alias("period_end_raw"))
     return d.withColumn("account_hint", account_hint("text"))
@@ -49,6 +52,7 @@ def dedupe_segments(segments: DataFrame) -> DataFrame:
 
 
 def looks_like_statement(segments: DataFrame, min_rows: int = 5) -> DataFrame:
+    # Fixed value: a dated row with an amount.
     row = rf"(?i)\b(?:{MONTHS})\s+\d{{1,2}}\b[^\n]{{0,200}}\d{{1,3}}(?:,\d{{3}})*\.\d{{2}}"
     return segments.where(F.regexp_count("text", F.lit(row)) >= min_rows)
 
@@ -89,15 +93,22 @@ def filter_transactions(raw: DataFrame) -> DataFrame:
 
 def rows_to_candidates(raw: DataFrame, keys: tuple[str, ...] = ("statement_id",)) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy("row_pos")
-    return raw.select(*keys, (F.row_number().over(w) - 1).alias("tx_index"), "tx_date", F.substring("description", 1, 120).alias("description"), F.col("amounts")[0].alias("amount"), "balance", "is_check")
+    return raw.select(*keys, (F.row_number().over(w) - 1).alias("tx_index"), "tx_date", F.substring("description", 1, 120).alias("description"), F.col("amounts")[0].alias("amount"), "amounts", "balance", "is_check")
 
 
-def infer_sides(candidates: DataFrame, keys: tuple[str, ...] = ("statement_id",)) -> DataFrame:
-    """side D or W from the change of the running balance, W for checks, null where neither tells."""
+def infer_sides(candidates: DataFrame, keys: tuple[str, ...] = ("statement_id",), opening: DataFrame | None = None) -> DataFrame:
+    """side D or W from the change of the running balance, W for checks, null where neither tells.
+
+    opening (keys, beginning_balance; a row a statement) is what the first row's balance is held against.
+    """
     w = Window.partitionBy(*keys).orderBy("tx_index")
-    move = F.col("balance") - F.lag("balance").over(w)
+    before = F.lag("balance").over(w)
+    if opening is not None:
+        candidates = candidates.join(opening.select(*keys, F.col("beginning_balance").alias("_open")), list(keys), "left")
+        before = F.when(F.row_number().over(w) == 1, F.col("_open")).otherwise(before)
+    move = F.col("balance") - before
     told = F.when(F.col("is_check"), "W").when(F.abs(move) == F.abs("amount"), F.when(move >= 0, "D").otherwise("W"))
-    return candidates.withColumn("side", told)
+    return candidates.withColumn("side", told).drop("_open")
 
 
 def apply_row_verdicts(candidates: DataFrame, verdicts: DataFrame, keys: tuple[str, ...] = ("statement_id",)) -> tuple[DataFrame, DataFrame]:
@@ -166,7 +177,7 @@ def vendor_lookup(t: DataFrame, seed: DataFrame, vendor: str = "vendor") -> Data
 
     Each distinct vendor is looked up once. Its prefixes are matched by equality, so there is no cross join.
     """
-    clean = lambda c: F.lower(F.trim(collapse(c)))
+    clean = lambda c: F.lower(strip(collapse(c)))
     names = t.where(F.col(vendor).isNotNull()).select(F.col(vendor).alias("_v")).distinct()
     names = names.select("_v", F.explode(F.transform(F.sequence(F.lit(1), F.length(clean("_v"))), lambda n: F.substr(clean("_v"), F.lit(1), n))).alias("key"))
     s = seed.select(clean("key").alias("key"), "canonical_name")
@@ -185,11 +196,8 @@ def match_description_to_page(t: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def find_injections(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """key, kind, n, first_pos (from 1) of each kind of planted instruction found."""
-    from ..functions.columns import INJECTIONS
-
-    found = F.array(*[F.struct(F.lit(k).alias("kind"), F.regexp_count(text, F.lit(p)).alias("n"), F.regexp_instr(text, F.lit(p)).alias("first_pos")) for k, p in INJECTIONS])
-    return df.select(key, F.explode(found).alias("x")).select(key, "x.kind", "x.n", "x.first_pos").where("n > 0")
+    """key, start, end, kind of each planted instruction found; places count from 0, end is exclusive."""
+    return df.select(key, F.explode(injection_spans(text)).alias("x")).select(key, "x.start", "x.end", "x.kind")
 
 
 def with_vendor_key(t: DataFrame) -> DataFrame:
@@ -200,7 +208,7 @@ def bulk_extract(docs: DataFrame, lookback: int = 800, min_rows: int = 5, strict
     """statements, transactions and skipped_rows of all documents (doc_id, text); statement_id is doc_id#segment_no.
 
     strict_period reads rows and figures from the opening balance on only; otherwise the look-back may repeat rows of the statement
-    before. Rows whose side nothing tells are skipped rows.
+    before. The first row's side is told by the opening balance. Rows whose side nothing tells are skipped rows.
     """
     seg = looks_like_statement(dedupe_segments(segment_statements(docs, lookback)), min_rows)
     if strict_period:
@@ -209,7 +217,7 @@ def bulk_extract(docs: DataFrame, lookback: int = 800, min_rows: int = 5, strict
     seg = seg.withColumns({"statement_id": key, "period_start": F.try_to_date("period_start_raw", "MM/dd/yyyy")})
     s = extract_summary(seg, ("statement_id", "doc_id", "segment_no", "account_hint"))
     s = s.withColumn("account_last4", F.coalesce("account_last4", "account_hint")).drop("account_hint")
-    c = infer_sides(rows_to_candidates(filter_transactions(parse_rows(seg))))
+    c = infer_sides(rows_to_candidates(filter_transactions(parse_rows(seg))), opening=s)
     told = F.col("side").isNotNull()
     a = money(F.abs("amount"))
     t = c.where(told).select("statement_id", "tx_index", "tx_date", "description", F.when(F.col("side") == "D", a).alias("deposit"), F.when(F.col("side") == "W", a).alias("withdrawal"))

@@ -26,8 +26,12 @@ def incremental_segments(segments: DataFrame, cache: DataFrame) -> tuple[DataFra
 
 
 def cache_upsert(cache: DataFrame, new: DataFrame) -> DataFrame:
-    """Insert or replace by key; only reconciled rows are stored."""
-    return keep_last(cache.unionByName(new.where("reconciled")), ["key"], F.col("created_at"), F.col("payload"))
+    """Insert or replace by key: a new row takes the place of the old one, whatever their times; of several new ones the last.
+
+    Only reconciled rows are stored.
+    """
+    both = cache.withColumn("_new", F.lit(0)).unionByName(new.where("reconciled").withColumn("_new", F.lit(1)))
+    return keep_last(both, ["key"], F.col("_new"), F.col("created_at"), F.col("payload")).drop("_new")
 
 
 def cache_keys(cache: DataFrame, limit: int = 200) -> DataFrame:
@@ -104,6 +108,11 @@ def telemetry_summary(calls: DataFrame) -> DataFrame:
     return g.withColumn("level", F.when(F.col("_g") == 3, "total").when(F.col("_g") == 1, "role").otherwise("backend")).drop("_g")
 
 
+def telemetry_errors(calls: DataFrame) -> DataFrame:
+    """The calls that failed, with what they reported: the error list as rows, in the order of ts and call_id."""
+    return calls.where(F.col("error").isNotNull() & (F.col("error") != "")).select("ts", "call_id", "role", "backend", "error")
+
+
 def spend_guard(calls: DataFrame, cap: float | None, warn: float = 0.8, by: tuple[str, ...] = ("budget",), order: tuple[str, ...] = ("ts", "call_id")) -> DataFrame:
     """Running spend per budget: warns is true once, at the first call past the share; breach where the cap is exceeded; no cap, no limit."""
     w = Window.partitionBy(*by).orderBy(*order)

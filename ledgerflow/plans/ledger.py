@@ -22,7 +22,7 @@ FROM {orders} JOIN {customer} ON o_custkey = c_custkey"""
 # Planted: deposits 10.00 too high for nations divisible by 5, a withdrawal too many for 7, no counts for 11, a balance break of
 # 25.00 where nation and year sum to a multiple of 6.
 STATEMENTS = """
-SELECT statement_id, cast(row_number() OVER (ORDER BY statement_id) - 1 AS INT) AS doc_pos, account_last4,
+SELECT statement_id, k * 10000 + y AS doc_pos, account_last4,
        make_date(y, 1, 1) AS period_start, make_date(y, 12, 31) AS period_end,
        cast(b AS DECIMAL(18,2)) AS beginning_balance, cast(b + dep - wd AS DECIMAL(18,2)) AS ending_balance,
        cast(dep + CASE WHEN k % 5 = 0 THEN 10 ELSE 0 END AS DECIMAL(18,2)) AS deposits_total, cast(wd AS DECIMAL(18,2)) AS withdrawals_total,

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..operators import analytics, checks, forensic, parsing, stores
 from ..sources import files
+from ..sources.scratch import scratch
 from ..streaming import events as streaming
 from . import ledger
 
@@ -57,9 +58,11 @@ def reconcile_statements(spark, sf):
     return _plain(checks.reconcile(*_st(spark, sf)).drop("issues"))
 
 
-@query(_REC + "SELECT statement_id, n::BIGINT AS n_issues FROM _i")
+@query(_REC + """SELECT statement_id, n::BIGINT AS n_issues, concat_ws('; ', CASE WHEN abs(dd) > 0.01 THEN 'deposits differ from the declared total by ' || printf('%+.2f', dd::DOUBLE) END,
+  CASE WHEN abs(dw) > 0.01 THEN 'withdrawals differ from the declared total by ' || printf('%+.2f', dw::DOUBLE) END, CASE WHEN cd <> 0 THEN 'number of deposits differs by ' || printf('%+d', cd) END,
+  CASE WHEN cw <> 0 THEN 'number of withdrawals differs by ' || printf('%+d', cw) END, CASE WHEN abs(bd) > 0.01 THEN 'balances do not add up: ' || printf('%+.2f', bd::DOUBLE) END) AS messages FROM _i""")
 def reconcile_issue_counts(spark, sf):
-    return checks.reconcile(*_st(spark, sf)).select("statement_id", F.size("issues").cast("long").alias("n_issues"))
+    return checks.reconcile(*_st(spark, sf)).select("statement_id", F.size("issues").cast("long").alias("n_issues"), F.array_join("issues", "; ").alias("messages"))
 
 
 @query(_REC + "SELECT statement_id, (abs(dd) + abs(dw) + abs(bd) + 100 * abs(cd) + 100 * abs(cw))::DOUBLE AS score FROM _i")
@@ -185,26 +188,26 @@ def forensic_calendar_counts(spark, sf):
 @query("""_k AS (SELECT account_last4, substr(lower(trim(category)), 1, 40) AS vendor_key, CASE WHEN deposit IS NOT NULL THEN 'D' ELSE 'W' END AS side, o_orderkey, tx_date, coalesce(deposit, withdrawal) AS a FROM tx),
 _m AS (SELECT *, count(*) OVER g AS c, avg(a) OVER g AS m FROM _k WINDOW g AS (PARTITION BY account_last4, vendor_key, side)),
 _f AS (SELECT *, date_diff('day', lag(tx_date) OVER (PARTITION BY account_last4, vendor_key, side ORDER BY tx_date, o_orderkey), tx_date) AS gap FROM _m WHERE c >= 3 AND abs(a - m) <= greatest(1.0, 0.05 * abs(m)))
-SELECT account_last4, vendor_key, side, n, cadence_days, CASE WHEN cadence_days BETWEEN 5 AND 9 THEN 'weekly' WHEN cadence_days BETWEEN 12 AND 16 THEN 'fortnightly' WHEN cadence_days BETWEEN 27 AND 33 THEN 'monthly' WHEN cadence_days BETWEEN 86 AND 95 THEN 'quarterly' ELSE 'irregular' END AS cadence_label,
+SELECT account_last4, vendor_key, side, n, avg_amount, places, cadence_days, CASE WHEN cadence_days BETWEEN 5 AND 9 THEN 'weekly' WHEN cadence_days BETWEEN 12 AND 16 THEN 'fortnightly' WHEN cadence_days BETWEEN 27 AND 33 THEN 'monthly' WHEN cadence_days BETWEEN 86 AND 95 THEN 'quarterly' ELSE 'irregular' END AS cadence_label,
   (l + round_even(cadence_days, 0)::INT)::VARCHAR AS next_predicted_date
-FROM (SELECT account_last4, vendor_key, side, count(*) AS n, median(gap) AS cadence_days, min(gap) AS lo, max(gap) AS hi, max(tx_date) AS l FROM _f GROUP BY ALL) WHERE n >= 3 AND cadence_days >= 2 AND (lo <= 0 OR hi / lo <= 4)""")
+FROM (SELECT account_last4, vendor_key, side, count(*) AS n, round(avg(a)::DOUBLE, 2) AS avg_amount, string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey) AS places, median(gap) AS cadence_days, min(gap) AS lo, max(gap) AS hi, max(tx_date) AS l FROM _f GROUP BY ALL) WHERE n >= 3 AND cadence_days >= 2 AND (lo <= 0 OR hi / lo <= 4)""")
 def recurring_by_account(spark, sf):
     t = _tx(spark, sf).withColumns({"vendor": F.col("category"), "tx_index": F.col("o_orderkey")})
     d = forensic.recurring_groups(t, by=("account_last4",))
-    return _plain(d.select("account_last4", "vendor_key", "side", "n", "cadence_days", "cadence_label", "next_predicted_date"))
+    return _plain(d.select("account_last4", "vendor_key", "side", "n", F.round(F.col("avg_amount").cast("double"), 2).alias("avg_amount"), F.array_join("occurrences", ",").alias("places"), "cadence_days", "cadence_label", "next_predicted_date"))
 
 
 _DIFF = """_a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY statement_id, tx_date, deposit IS NULL, coalesce(deposit, withdrawal), substr(description, 1, 60) ORDER BY tx_index DESC) AS n FROM tx) WHERE n = 1),
 _b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY statement_id, tx_date, deposit IS NULL, coalesce(deposit, withdrawal), substr(description, 1, 60) ORDER BY tx_index DESC) AS n FROM txb) WHERE n = 1),
-_j AS (SELECT coalesce(a.statement_id, b.statement_id) AS statement_id, coalesce(a.description, b.description) AS description, CASE WHEN b.statement_id IS NULL THEN 'only_a' WHEN a.statement_id IS NULL THEN 'only_b' WHEN a.category IS DISTINCT FROM b.category THEN 'changed' ELSE 'common' END AS status
+_j AS (SELECT coalesce(a.statement_id, b.statement_id) AS statement_id, coalesce(a.description, b.description) AS description, a.category AS ca, b.category AS cb, CASE WHEN b.statement_id IS NULL THEN 'only_a' WHEN a.statement_id IS NULL THEN 'only_b' WHEN a.category IS DISTINCT FROM b.category THEN 'changed' ELSE 'common' END AS status
   FROM _a a FULL JOIN _b b ON a.statement_id = b.statement_id AND a.tx_date = b.tx_date AND (a.deposit IS NULL) = (b.deposit IS NULL) AND coalesce(a.deposit, a.withdrawal) = coalesce(b.deposit, b.withdrawal) AND substr(a.description, 1, 60) = substr(b.description, 1, 60))
 """
 
 
-@query(_DIFF + "SELECT statement_id, description AS k_desc, status FROM _j")
+@query(_DIFF + "SELECT statement_id, description AS k_desc, status, CASE status WHEN 'changed' THEN 'category:' || ca || '>' || cb WHEN 'common' THEN '' END AS fields FROM _j")
 def diff_extractions(spark, sf):
     t = _tx(spark, sf)
-    return analytics.diff_rows(t, ledger.extraction_b(spark, t)).select("statement_id", "k_desc", "status")
+    return analytics.diff_rows(t, ledger.extraction_b(spark, t)).select("statement_id", "k_desc", "status", F.array_join(F.transform(F.map_entries("fields"), lambda e: F.concat(e["key"], F.lit(":"), e["value"]["a"], F.lit(">"), e["value"]["b"])), ",").alias("fields"))
 
 
 @query(_DIFF + "SELECT count(*) FILTER (status = 'only_a') AS only_a, count(*) FILTER (status = 'only_b') AS only_b, count(*) FILTER (status IN ('common', 'changed')) AS common, count(*) FILTER (status = 'changed') AS changed FROM _j")
@@ -294,10 +297,11 @@ def report_cover(spark, sf):
     return analytics.report_cover(s, checks.reconcile(s, t), t, checks.low_confidence(t)).drop("period_start", "period_end")
 
 
-@query("""SELECT account_last4 AS report_id, statement_id, g::DOUBLE AS gap, CASE WHEN g = 0 THEN 'OK' WHEN g IS NOT NULL THEN 'DRIFT $' || g::VARCHAR END AS status
-  FROM (SELECT account_last4, statement_id, beginning_balance - lag(ending_balance) OVER (PARTITION BY account_last4 ORDER BY doc_pos) AS g FROM stmt)""")
+@query("""SELECT report_id, statement_id, g::DOUBLE AS gap, CASE WHEN g = 0 THEN 'OK' WHEN g IS NOT NULL THEN 'DRIFT $' || g::VARCHAR END AS status
+  FROM (SELECT substr(account_last4, 1, 3) AS report_id, statement_id, beginning_balance - lag(ending_balance) OVER (PARTITION BY substr(account_last4, 1, 3) ORDER BY doc_pos) AS g FROM stmt)""")
 def cover_continuity(spark, sf):
-    return _plain(analytics.cover_continuity(_st(spark, sf)[0].withColumn("report_id", F.col("account_last4"))))
+    # Reports of ten accounts: the first statement of an account is held against the last one of the account before it.
+    return _plain(analytics.cover_continuity(_st(spark, sf)[0].withColumn("report_id", F.substring("account_last4", 1, 3))))
 
 
 @query(_REC + """, _s AS (SELECT statement_id, deposits_total::DOUBLE AS deposits_total, withdrawals_total::DOUBLE AS withdrawals_total, coalesce(deposits_count, 0)::BIGINT AS deposits_count, coalesce(withdrawals_count, 0)::BIGINT AS withdrawals_count, CASE WHEN n = 0 THEN 'OK' ELSE 'MISMATCH' END AS status FROM _i)
@@ -448,15 +452,22 @@ def strip_injections(spark, sf):
     return _planted(spark, sf).select("doc_id", F.sha2(C.strip_injections("text"), 256).alias("digest"))
 
 
-@query("SELECT doc_id, kind, n FROM (" + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, len(regexp_extract_all(t, '{p}')) AS n FROM _t" for k, p in C.INJECTIONS) + ") WHERE n > 0", view=False)
+@query(
+    "SELECT doc_id, kind, n, (strpos(t, x) - 1)::INT AS first_start, (strpos(t, x) - 1 + length(x))::INT AS first_end FROM ("
+    + " UNION ALL ".join(f"SELECT doc_id, t, '{k}' AS kind, len(regexp_extract_all(t, '{p}')) AS n, regexp_extract(t, '{p}') AS x FROM _t" for k, p in C.INJECTIONS)
+    + ") WHERE n > 0",
+    view=False,
+)
 def find_injections(spark, sf):
-    return parsing.find_injections(_planted(spark, sf)).select("doc_id", "kind", F.col("n").cast("long").alias("n"))
+    d = parsing.find_injections(_planted(spark, sf)).groupBy("doc_id", "kind")
+    return d.agg(F.count("*").alias("n"), F.min("start").alias("first_start"), F.min("end").alias("first_end"))
 
 
 SQL["find_injections"] = f"WITH _t AS (SELECT doc_id, {_PLANT} AS t FROM documents) " + SQL["find_injections"]
 
 
-@query(r"SELECT doc_id FROM documents WHERE length(trim(text)) >= 500 AND length(regexp_replace(text, '[^\P{C}\n\r\t]', '', 'g')) / length(text)::DOUBLE >= 0.75", view=False)
+@query(r"""SELECT doc_id FROM (SELECT doc_id, regexp_replace(text, '^[\x09-\x0d\x1c-\x20\x{85}\p{Z}]+|[\x09-\x0d\x1c-\x20\x{85}\p{Z}]+$', '', 'g') AS t FROM documents)
+  WHERE length(t) >= 500 AND 1 - length(regexp_replace(t, '[^\p{C}\p{Z}]|[ \n\t]', '', 'g')) / length(t)::DOUBLE >= 0.75""", view=False)
 def text_quality_gate(spark, sf):
     return files.text_quality_gate(ledger.table(spark, sf, "documents"), "text").select("doc_id")
 
@@ -488,32 +499,32 @@ def _rendered(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
     return s, t, s.join(body, "statement_id").select("statement_id", "account_last4", "period_start", F.concat(head, "body").alias("text"))
 
 
-@query("SELECT statement_id, tx_index, tx_date::VARCHAR AS tx_date, 'PAYMENT ' || o_orderkey::VARCHAR AS description, coalesce(deposit, withdrawal)::DOUBLE AS amount, CASE WHEN tx_index > 0 THEN CASE WHEN deposit IS NOT NULL THEN 'D' ELSE 'W' END END AS side FROM tx")
+@query("SELECT statement_id, tx_index, tx_date::VARCHAR AS tx_date, 'PAYMENT ' || o_orderkey::VARCHAR AS description, coalesce(deposit, withdrawal)::DOUBLE AS amount, CASE WHEN deposit IS NOT NULL THEN 'D' ELSE 'W' END AS side FROM tx")
 def parse_rows_roundtrip(spark, sf):
     _, _, texts = _rendered(spark, sf)
-    rows = parsing.infer_sides(parsing.rows_to_candidates(parsing.filter_transactions(parsing.parse_rows(texts))))
+    rows = parsing.infer_sides(parsing.rows_to_candidates(parsing.filter_transactions(parsing.parse_rows(texts))), opening=parsing.extract_summary(texts))
     return _plain(rows.select("statement_id", "tx_index", "tx_date", "description", "amount", "side"))
 
 
-@query("SELECT account_last4 AS doc_id, (row_number() OVER (PARTITION BY account_last4 ORDER BY doc_pos) - 1)::INT AS segment_no, strftime(period_start, '%m/%d/%Y') AS period_start_raw, account_last4 AS account_hint FROM stmt")
+@query("SELECT account_last4 AS doc_id, (row_number() OVER (PARTITION BY account_last4 ORDER BY doc_pos) - 1)::INT AS segment_no, strftime(period_start, '%m/%d/%Y') AS period_start_raw, strftime(period_end, '%m/%d/%Y') AS period_end_raw, account_last4 AS account_hint FROM stmt QUALIFY (SELECT count(*) FROM tx WHERE tx.statement_id = stmt.statement_id) >= 5")
 def segment_statements(spark, sf):
     _, _, texts = _rendered(spark, sf)
     rows = F.array_sort(F.collect_list(F.struct("period_start", "text")))
     docs = texts.groupBy(F.col("account_last4").alias("doc_id")).agg(F.array_join(F.transform(rows, lambda x: x["text"]), "\n").alias("text"))
-    found = parsing.looks_like_statement(parsing.dedupe_segments(parsing.segment_statements(docs, lookback=40)), min_rows=1)
-    return found.select("doc_id", "segment_no", "period_start_raw", F.col("doc_id").alias("account_hint"))
+    found = parsing.looks_like_statement(parsing.dedupe_segments(parsing.segment_statements(docs, lookback=40)))
+    return found.select("doc_id", "segment_no", "period_start_raw", "period_end_raw", "account_hint")
 
 
-@query("SELECT account_last4, period_start::VARCHAR AS period_start, beginning_balance::DOUBLE AS beginning_balance, n - 1 AS kept, 1::BIGINT AS skipped FROM stmt JOIN (SELECT statement_id, count(*) AS n FROM tx GROUP BY 1) USING (statement_id)")
+@query("SELECT account_last4, period_start::VARCHAR AS period_start, beginning_balance::DOUBLE AS beginning_balance, n AS kept, 0::BIGINT AS skipped, d::DOUBLE AS deposits, w::DOUBLE AS withdrawals FROM stmt JOIN (SELECT statement_id, count(*) AS n, sum(deposit) AS d, sum(withdrawal) AS w FROM tx GROUP BY 1) USING (statement_id)")
 def bulk_extract(spark, sf):
     _, _, texts = _rendered(spark, sf)
     rows = F.array_sort(F.collect_list(F.struct("period_start", "text")))
     docs = texts.groupBy(F.col("account_last4").alias("doc_id")).agg(F.array_join(F.transform(rows, lambda x: x["text"]), "\n").alias("text"))
     found = parsing.bulk_extract(docs, min_rows=1)
     n = lambda df, c: df.groupBy("statement_id").agg(F.count("*").alias(c))
-    d = found["statements"].join(n(found["transactions"], "kept"), "statement_id", "left").join(n(found["skipped_rows"], "skipped"), "statement_id", "left")
+    d = found["statements"].join(found["transactions"].groupBy("statement_id").agg(F.count("*").alias("kept"), F.sum("deposit").alias("deposits"), F.sum("withdrawal").alias("withdrawals")), "statement_id", "left").join(n(found["skipped_rows"], "skipped"), "statement_id", "left")
     zero = F.lit(0).cast("long")
-    return _plain(d.select("account_last4", "period_start", "beginning_balance", F.coalesce("kept", zero).alias("kept"), F.coalesce("skipped", zero).alias("skipped")))
+    return _plain(d.select("account_last4", "period_start", "beginning_balance", F.coalesce("kept", zero).alias("kept"), F.coalesce("skipped", zero).alias("skipped"), "deposits", "withdrawals"))
 
 
 @query("SELECT statement_id, account_last4, period_start::VARCHAR AS period_start, period_end::VARCHAR AS period_end, beginning_balance::DOUBLE AS beginning_balance, ending_balance::DOUBLE AS ending_balance, 'USD' AS currency FROM stmt")
@@ -553,10 +564,14 @@ def apply_row_verdicts(spark, sf):
     return kept.select("statement_id", "tx_index", F.lit(True).alias("keep")).unionByName(skipped.select("statement_id", "tx_index", F.lit(False).alias("keep")))
 
 
-@query("SELECT statement_id, tx_index, CASE o_orderkey % 4 WHEN 0 THEN 'WIRE' WHEN 1 THEN 'CHECK' WHEN 2 THEN 'FEE' ELSE 'OTHER' END AS category FROM tx")
+_PHRASES = ("TRNSFR out", "CHECK #40788", "Mobile deposit", "atm deposit", "payroll run", "WIRE OUT", "amex epay", "SBA loan", "interest paid", "Service charge", "irs usataxpymt", "PAYABLES 1", "ach vendor", "")
+_PHRASE = f"concat(list_element([{', '.join(repr(x) for x in _PHRASES)}], cast(doc_id % {len(_PHRASES)} + 1 AS INT)), ' ', left(text, 200))"
+
+
+@query(f"SELECT doc_id, CASE {' '.join(f'WHEN regexp_matches(t, {p!r}) THEN {name!r}' for name, p in C.CATEGORY_RULES).replace(chr(92) * 2, chr(92))} ELSE 'OTHER' END AS category FROM (SELECT doc_id, {_PHRASE} AS t FROM documents)", view=False)
 def categorise(spark, sf):
-    text = F.element_at(F.array(F.lit("WIRE OUT"), F.lit("CHECK #40788"), F.lit("Service charge"), F.lit("Groceries")), (F.col("o_orderkey") % 4 + 1).cast("int"))
-    return _tx(spark, sf).select("statement_id", "tx_index", C.categorise(text).alias("category"))
+    text = F.concat(F.element_at(F.array(*map(F.lit, _PHRASES)), (F.col("doc_id") % len(_PHRASES) + 1).cast("int")), F.lit(" "), F.left("text", F.lit(200)))
+    return ledger.table(spark, sf, "documents").select("doc_id", C.categorise(text).alias("category"))
 
 
 @query("SELECT statement_id, tx_index, CASE vendor WHEN 'BUILDING' THEN 'Building Co' WHEN 'MACHINERY' THEN 'Machinery Inc' END AS canonical_name FROM tx")
@@ -572,10 +587,10 @@ def vendor_key(spark, sf):
     return d
 
 
-@query("SELECT user_id, event_id, CASE WHEN user_id % 3 = 0 THEN '_default' ELSE 'id-' || user_id::VARCHAR END AS tenant FROM events", view=False)
+@query(r"SELECT doc_id, CASE WHEN regexp_full_match(t, '[A-Za-z0-9._-]{1,64}') THEN t ELSE '_default' END AS tenant FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '../' || source ELSE source END AS t FROM documents)", view=False)
 def tenant_norm(spark, sf):
-    raw = F.when(F.col("user_id") % 3 == 0, F.concat(F.lit("../"), F.col("user_id").cast("string"))).otherwise(F.concat(F.lit(" id-"), F.col("user_id").cast("string"), F.lit(" ")))
-    return ledger.table(spark, sf, "events").select("user_id", "event_id", C.tenant_norm(raw).alias("tenant"))
+    raw = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("../"), "source")).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("\t "), "source", F.lit(" \r\n"))).otherwise(F.col("source"))
+    return ledger.table(spark, sf, "documents").select("doc_id", C.tenant_norm(raw).alias("tenant"))
 
 
 @query("SELECT doc_id, '_default::2024-01-01_none_b_' || substr(sha256('b|' || text), 1, 16) AS key FROM documents", view=False)
@@ -604,6 +619,153 @@ def event_elapsed(spark, sf):
     return d.select("job_id", "event", "data", "elapsed_s")
 
 
+@query("SELECT account_last4, tx_index, tx_date::VARCHAR AS tx_date, description, deposit::DOUBLE AS deposit, withdrawal::DOUBLE AS withdrawal, category FROM tx")
+def statements_json_roundtrip(spark, sf):
+    s, t = _st(spark, sf)
+    rows = t.select("statement_id", "tx_index", F.date_format("tx_date", "yyyy-MM-dd").alias("date"), "description", "deposit", "withdrawal", "category", "vendor", "confidence")
+    none = lambda schema: spark.createDataFrame([], schema)
+    notes = none("statement_id string, ordinal int, kind string"), none("statement_id string, ordinal int, vendor_key string"), t.where("tx_index = 0").select("statement_id", F.lit(0).alias("ordinal"), F.col("description").alias("raw"), F.lit("marker").alias("reason"))
+    nested = files.nest_statements(s.withColumn("bank", F.lit("B")), rows, checks.reconcile(s, t).select("statement_id", "ok", "issues"), *notes)
+    files.write_statements_json(nested.drop("statement_id"), path := scratch(spark))
+    parts = files.explode_statements(files.read_statements_json(spark, path, lines=True))
+    told = parts["skipped_rows"].where("reason = 'marker' and ordinal = 0").select("statement_id")  # each statement has one
+    d = parts["transactions"].join(parts["statements"].select("statement_id", "account_last4"), "statement_id").join(told, "statement_id")
+    return _plain(d.select("account_last4", "tx_index", "tx_date", "description", "deposit", "withdrawal", "category"))
+
+
+@query("SELECT statement_id, description || ', \"quoted\"' AS description, deposit::DOUBLE AS deposit, withdrawal::DOUBLE AS withdrawal FROM tx")
+def transactions_csv_roundtrip(spark, sf):
+    t = _tx(spark, sf).withColumns({"date": F.col("tx_date").cast("string"), "description": F.concat("description", F.lit(', "quoted"'))})
+    files.write_transactions_csv(t, path := scratch(spark))
+    back = spark.read.option("header", True).option("escape", '"').csv(path)
+    return back.select("statement_id", "description", F.col("deposit").cast("double").alias("deposit"), F.col("withdrawal").cast("double").alias("withdrawal"))
+
+
+_ROW = "CASE o_orderkey % 5 WHEN 0 THEN 'Mar 05 BEGINNING BALANCE 10.00' WHEN 1 THEN 'Mar 05 CHECK #40788 500.00 600.00' WHEN 2 THEN 'Mar 05 PAYMENT 1.00 2.00 3.00 4.00' WHEN 3 THEN 'Mar 05 Groceries 5.00' ELSE 'Feb 30 Odd day 1.00' END"
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 5 WHEN 2 THEN 0.8 WHEN 4 THEN 0.5 ELSE 1.0 END::DOUBLE AS confidence, o_orderkey % 5 = 1 AS is_check, o_orderkey % 5 = 0 AS likely_marker, CASE o_orderkey % 5 WHEN 2 THEN '1.00,2.00,3.00' WHEN 0 THEN '10.00' WHEN 1 THEN '500.00' WHEN 3 THEN '5.00' ELSE '1.00' END AS amounts, CASE o_orderkey % 5 WHEN 2 THEN 4.0 WHEN 1 THEN 600.0 END::DOUBLE AS balance, o_orderkey % 5 IN (1, 2, 3) AS is_transaction FROM tx")
+def parse_rows_flags(spark, sf):
+    rows = parsing.parse_rows(_tx(spark, sf).select("o_orderkey", F.expr(_ROW).alias("text"), F.lit("2025-03-01").cast("date").alias("period_start")), ("o_orderkey",))
+    kept = parsing.rows_to_candidates(parsing.filter_transactions(rows), ("o_orderkey",)).select("o_orderkey", F.lit(True).alias("k"))
+    d = rows.join(kept, "o_orderkey", "left")
+    return _plain(d.select("o_orderkey", "confidence", "is_check", "likely_marker", F.array_join(F.col("amounts").cast("array<string>"), ",").alias("amounts"), "balance", F.coalesce("k", F.lit(False)).alias("is_transaction")))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 AND length(text) > 0 THEN length(text) + 1 ELSE length(text) END AS body_chars, CASE WHEN doc_id % 3 = 0 AND length(text) > 0 THEN 'DAILY BALANCE SUMMARY 1.00' ELSE '' END AS tail FROM documents", view=False)
+def trim_tail(spark, sf):
+    text = F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit(" DAILY BALANCE SUMMARY 1.00"))).otherwise(F.col("text"))
+    d = ledger.table(spark, sf, "documents").select("doc_id", C.trim_tail(text).alias("x"))
+    return d.select("doc_id", F.length("x.body").cast("long").alias("body_chars"), F.col("x.tail").alias("tail"))
+
+
+@query("SELECT account_last4 AS doc_id, o_orderkey AS tx_index, year(tx_date)::INT AS page, least(60, length(description))::INT AS matched FROM tx")
+def match_description_to_page(spark, sf):
+    t = _tx(spark, sf).select(F.col("account_last4").alias("doc_id"), F.col("o_orderkey").alias("tx_index"), "description", F.year("tx_date").alias("page"))
+    pages = t.groupBy("doc_id", "page").agg(F.array_join(F.array_sort(F.collect_list("description")), "\n").alias("text"))
+    return parsing.match_description_to_page(t, pages)
+
+
+@query("SELECT statement_id, substr(sha256('side_flip_dep_vs_with'), 1, 12) AS pattern_hash, 'side_flip_dep_vs_with' AS pattern FROM stmt WHERE account_last4::INT % 4 = 0")
+def diagnose_repair(spark, sf):
+    s, t = _st(spark, sf)
+    seen = checks.reconcile(s, t).select("statement_id", "deposits_sum", "withdrawals_sum")
+    right = s.join(seen, "statement_id").withColumns({"deposits_total": F.col("deposits_sum"), "withdrawals_total": F.col("withdrawals_sum"), "deposits_count": F.lit(None).cast("int"), "withdrawals_count": F.lit(None).cast("int")}).select(*s.columns)
+    off = F.when(F.col("account_last4").cast("int") % 4 == 0, 50).otherwise(0)
+    wrong = right.withColumns({"deposits_total": F.col("deposits_total") + off, "withdrawals_total": F.col("withdrawals_total") - off})
+    return checks.diagnose_repair(checks.reconcile(wrong, t), checks.reconcile(right, t), t, t).select("statement_id", "pattern_hash", "pattern")
+
+
+@query("SELECT sha256(text) AS key, doc_id % 3 = 0 AS cached, doc_id FROM documents WHERE text IS NOT NULL QUALIFY max((doc_id % 3 = 0)::INT) OVER (PARTITION BY sha256(text)) = (doc_id % 3 = 0)::INT", view=False)
+def incremental_segments(spark, sf):
+    d = ledger.table(spark, sf, "documents").where("text is not null").select(F.sha2("text", 256).alias("key"), "doc_id")
+    todo, cached = stores.incremental_segments(d, d.where("doc_id % 3 = 0"))
+    return todo.select("key", F.lit(False).alias("cached"), "doc_id").unionByName(cached.select("key", F.lit(True).alias("cached"), "doc_id"))
+
+
+@query("SELECT statement_id, tx_index FROM tx WHERE (deposit > 100000 AND category = '1-URGENT') OR NOT coalesce(withdrawal > 50000, FALSE) AND confidence >= 0.9")
+def predicate_algebra(spark, sf):
+    big = C.all_of([F.col("deposit") > 100_000, F.col("category") == "1-URGENT"])
+    sure = C.all_of([C.negate(F.col("withdrawal") > 50_000), F.col("confidence") >= 0.9])
+    return _tx(spark, sf).where(C.any_of([big, sure])).select("statement_id", "tx_index")
+
+
+@query("SELECT call_id, role, backend, error FROM calls WHERE error IS NOT NULL")
+def telemetry_errors(spark, sf):
+    return stores.telemetry_errors(ledger.calls(spark, sf)).select("call_id", "role", "backend", "error")
+
+
+@query("SELECT (SELECT count(*) FROM events) AS total, count(*) FILTER (value > 10) AS helpful, count(*) FILTER (value <= 10) AS unhelpful FROM events WHERE user_id % 2 = 0", view=False)
+def lessons_feedback(spark, sf):
+    e = ledger.table(spark, sf, "events").withColumn("hint", F.col("event_id").cast("string"))
+    lessons = e.select("hint", F.lit(0).cast("long").alias("helpful_count"), F.lit(0).cast("long").alias("unhelpful_count"))
+    votes = e.where("user_id % 2 = 0").select("hint", (F.col("value") > 10).alias("helpful"))
+    return stores.lessons_stats(stores.lessons_feedback(lessons, votes))
+
+
+@query("SELECT key, payload FROM (SELECT 'k' || (user_id % 70)::VARCHAR AS key, arg_max(props, event_id) AS payload FROM events WHERE event_id % 4 = 0 AND value > 5 GROUP BY 1) UNION ALL SELECT 'k' || (user_id % 70)::VARCHAR, arg_max(props, event_id) FROM events WHERE event_id % 4 <> 0 AND value > 5 AND 'k' || (user_id % 70)::VARCHAR NOT IN (SELECT 'k' || (user_id % 70)::VARCHAR FROM events WHERE event_id % 4 = 0 AND value > 5) GROUP BY 1", view=False)
+def cache_replace(spark, sf):
+    """New rows (every fourth event) take the place of old ones, though their times are not later."""
+    e = ledger.table(spark, sf, "events").select(F.concat(F.lit("k"), (F.col("user_id") % 70).cast("string")).alias("key"), F.col("event_id").alias("created_at"), F.col("props").alias("payload"), (F.col("value") > 5).alias("reconciled"))
+    old = stores.cache_upsert(e.limit(0), e.where("created_at % 4 <> 0"))
+    return stores.cache_upsert(old, e.where("created_at % 4 = 0")).select("key", "payload")
+
+
+def _streamed(df: DataFrame, mode: str) -> DataFrame:
+    """All that a stream writes until it has read what there is; batch tells its micro-batches apart."""
+    spark, path = df.sparkSession, scratch(df.sparkSession)
+    land = lambda part, n: part.withColumn("batch", F.lit(n)).write.mode("append").parquet(f"{path}/out")
+    q = df.writeStream.foreachBatch(land).outputMode(mode).option("checkpointLocation", f"{path}/cp").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.parquet(f"{path}/out")
+
+
+@query()
+def job_lifecycle_streamed(spark, sf):
+    ledger.job_events(spark, sf).write.json(path := scratch(spark))
+    d = _streamed(streaming.job_lifecycle_stream(streaming.event_source(spark, path)), "update")
+    return d.groupBy("job_id").agg(F.max_by(F.struct("status", "n_events"), "batch").alias("r")).select("job_id", "r.status", "r.n_events")
+
+
+SQL["job_lifecycle_streamed"] = SQL["job_lifecycle"]
+
+
+@query("SELECT job_id, first_ts, event, data FROM (" + SQL["dedupe_events"][SQL["dedupe_events"].rindex("SELECT job_id, strftime") :] + ")")
+def dedupe_events_streamed(spark, sf):
+    ledger.job_events(spark, sf).write.json(path := scratch(spark))
+    d = _streamed(streaming.dedupe_events(streaming.event_source(spark, path), "1000 days"), "append")
+    # Which of the repeats of one micro-batch stays is open; its time is looked up.
+    first = ledger.job_events(spark, sf).groupBy("job_id", "event", "data").agg(F.min("ts").alias("ts"))
+    d = d.drop("ts").join(first, ["job_id", "event", "data"])
+    return d.select("job_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("first_ts"), "event", "data")
+
+
+@query("""SELECT budget, spent::DOUBLE AS spent, w AND NOT coalesce(lag(w) OVER (PARTITION BY budget ORDER BY ts, call_id), FALSE) AS warns, spent > 5000 AS breach
+  FROM (SELECT *, spent >= 4000 AS w FROM (SELECT *, sum(cost_usd) OVER (PARTITION BY budget ORDER BY ts, call_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS spent FROM calls))""")
+def streaming_spend(spark, sf):
+    calls = ledger.calls(spark, sf).select("budget", "ts", "call_id", "cost_usd")
+    calls.write.parquet(path := scratch(spark))
+    return _streamed(streaming.streaming_spend(spark.readStream.schema(calls.schema).parquet(path), 5000.0), "append").drop("batch")
+
+
+@query(_REC + "SELECT statement_id, n = 0 AS ok, ds::DOUBLE AS deposits_sum, ws::DOUBLE AS withdrawals_sum FROM _i")
+def streaming_reconcile(spark, sf):
+    s, t = _st(spark, sf)
+    path = scratch(spark)
+    rows = t.drop("account_last4")
+    rows.repartition(3).write.parquet(f"{path}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    streaming.streaming_reconcile(s, stream, f"{path}/out", f"{path}/cp").awaitTermination()
+    return _plain(streaming.latest_reconciliation(spark, f"{path}/out").select("statement_id", "ok", "deposits_sum", "withdrawals_sum"))
+
+
+@query("""_j AS (SELECT job_id, max(ts) FILTER (event = 'done') AS f FROM jobev GROUP BY 1), _l AS (SELECT *, row_number() OVER (ORDER BY f DESC, job_id) AS r FROM _j WHERE f >= TIMESTAMP '2024-01-28' AND f IS NOT NULL)
+SELECT job_id FROM _j WHERE f IS NULL UNION ALL SELECT job_id FROM _l WHERE r <= greatest(0, 120 - (SELECT count(*) FROM _j WHERE f IS NULL))""")
+def job_ttl_evict(spark, sf):
+    jobs = ledger.job_events(spark, sf).groupBy("job_id").agg(F.max(F.when(F.col("event") == "done", F.col("ts"))).alias("finished_at"))
+    return streaming.job_ttl_evict(jobs, "2024-01-31 00:00:00", ttl_seconds=3 * 86_400, max_jobs=120).select("job_id")
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import MONEY, clean_text, html_text, iso_date, printable_share
+from ..functions.columns import MONEY, clean_text, html_text, iso_date, printable_share, strip
 
 _MONEY = T.DecimalType(18, 2)
 TRANSACTION = T.StructType(
@@ -36,8 +36,10 @@ def read_text_documents(spark: SparkSession, path: str) -> DataFrame:
 def sniff_files(spark: SparkSession, path: str) -> DataFrame:
     """path, kind, size, sha256 of files by their first bytes, then their suffix; the order of the rules matters.
 
-    Spark's readers pass over empty files, so those have no row.
+    Spark's readers pass over empty files, but list them: those have a row of the kind "empty".
     """
+    files = spark.read.format("binaryFile").load(path)
+    listed = spark.createDataFrame([(f,) for f in files.inputFiles()], "_file string")  # as long as Spark's own list on the driver
     d = spark.read.format("binaryFile").load(path)
     head, name = F.substring("content", 1, 8), F.lower("path")
     begins = lambda *magic: F.substring(F.hex(head), 1, len(magic[0])).isin(*magic)
@@ -55,7 +57,12 @@ def sniff_files(spark: SparkSession, path: str) -> DataFrame:
         .when(ends(".tif", ".tiff", ".bmp"), "image")
         .otherwise("text")
     )
-    return d.select("path", kind.alias("kind"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+    found = d.select("path", kind.alias("kind"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+    # The list has coded names and its own number of slashes behind the scheme.
+    same = lambda c: F.regexp_replace(c, "^([A-Za-z0-9+.-]+):/*", "$1:/")
+    listed = listed.select(F.url_decode(F.replace("_file", F.lit("+"), F.lit("%2B"))).alias("path"))
+    empty = listed.join(found.select(same("path").alias("_p")), same("path") == F.col("_p"), "left_anti").select("path", F.lit("empty").alias("kind"), F.lit(0).cast("long").alias("size"), F.sha2(F.lit(""), 256).alias("sha256"))
+    return found.unionByName(empty)
 
 
 def html_to_text(df: DataFrame, column: str) -> DataFrame:
@@ -67,12 +74,15 @@ def clean_column(df: DataFrame, column: str) -> DataFrame:
 
 
 def text_quality_gate(df: DataFrame, column: str, min_chars: int = 500, min_printable: float = 0.75) -> DataFrame:
-    return df.where((F.length(F.trim(column)) >= min_chars) & (printable_share(column) >= min_printable))
+    return df.where((F.length(strip(column)) >= min_chars) & (printable_share(column) >= min_printable))
 
 
-def read_statements_json(spark: SparkSession, path: str) -> DataFrame:
-    """Nested statements with doc_pos (by file and place) and statement_id; a broken file fails the read."""
-    d = spark.read.schema(STATEMENT).option("multiLine", True).option("mode", "FAILFAST").json(path).withColumn("_file", F.col("_metadata.file_path"))
+def read_statements_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Nested statements with doc_pos (by file and place) and statement_id; a broken file fails the read.
+
+    A file is one statement or a list of them; with lines, a statement a line, as write_statements_json writes.
+    """
+    d = spark.read.schema(STATEMENT).option("multiLine", not lines).option("mode", "FAILFAST").json(path).withColumn("_file", F.col("_metadata.file_path"))
     for n in ("reconciliation", "anomalies", "recurring"):
         d = d.withColumn(n, F.coalesce(n, "_" + n)).drop("_" + n)
     start, last4 = F.col("account.period.start"), F.coalesce("account.account_last4", F.lit("none"))
@@ -89,7 +99,7 @@ def explode_statements(df: DataFrame) -> dict[str, DataFrame]:
     return {
         "statements": s,
         "transactions": t,
-        "skipped_rows": df.select("statement_id", F.explode("skipped_rows").alias("x")).select("statement_id", "x.*"),
+        "skipped_rows": df.select("statement_id", F.posexplode("skipped_rows").alias("ordinal", "x")).select("statement_id", "ordinal", "x.*"),
         "reconciliation": df.where(F.col("reconciliation").isNotNull()).select("statement_id", "reconciliation.*"),
         "anomalies": df.select("statement_id", F.posexplode("anomalies").alias("ordinal", "x")).select("statement_id", "ordinal", "x.*"),
         "recurring": df.select("statement_id", F.posexplode("recurring").alias("ordinal", "x")).select("statement_id", "ordinal", "x.*"),
@@ -101,8 +111,8 @@ def _listed(df: DataFrame, order: str, columns: list[str], name: str) -> DataFra
     return df.groupBy("statement_id").agg(F.transform(rows, lambda x: x["_r"]).alias(name))
 
 
-def nest_statements(s: DataFrame, t: DataFrame, r: DataFrame, a: DataFrame, g: DataFrame) -> DataFrame:
-    """One nested row per statement, lists in their order; the opposite of explode_statements."""
+def nest_statements(s: DataFrame, t: DataFrame, r: DataFrame, a: DataFrame, g: DataFrame, k: DataFrame | None = None) -> DataFrame:
+    """One nested row per statement, lists in their order; the opposite of explode_statements. k: the skipped rows."""
     iso = lambda c: F.date_format(c, "yyyy-MM-dd")
     d = s.select(
         "statement_id", "doc_pos",
@@ -112,7 +122,7 @@ def nest_statements(s: DataFrame, t: DataFrame, r: DataFrame, a: DataFrame, g: D
     rows = [c for c in t.columns if c not in ("statement_id", "tx_index", "tx_date")]
     d = d.join(_listed(t, "tx_index", rows, "transactions"), "statement_id", "left")
     d = d.join(r.select("statement_id", F.struct(*[c for c in r.columns if c != "statement_id"]).alias("reconciliation")), "statement_id", "left")
-    for df, name in ((a, "anomalies"), (g, "recurring")):
+    for df, name in ((a, "anomalies"), (g, "recurring"), *([(k, "skipped_rows")] if k is not None else [])):
         d = d.join(_listed(df, "ordinal", [c for c in df.columns if c not in ("statement_id", "ordinal")], name), "statement_id", "left")
     return d
 
@@ -122,9 +132,13 @@ def write_statements_json(df: DataFrame, path: str, first: bool = False) -> None
     (df.orderBy("doc_pos", "statement_id").limit(1) if first else df).write.json(path)
 
 
-def write_transactions_csv(t: DataFrame, path: str) -> None:
-    """A folder per statement; quotes are doubled and nulls are empty."""
+def write_transactions_csv(t: DataFrame, path: str, folders: bool = False) -> None:
+    """CSV files with the statement_id as a column, or in a folder for each statement; quotes are doubled and nulls are empty.
+
+    Folders are for few statements: each is a file of its own at least.
+    """
     columns = ("date", "description", "deposit", "withdrawal", "category", "vendor", "confidence")
-    t.select("statement_id", *columns).write.partitionBy("statement_id").option("header", True).option("quote", '"').option("escape", '"').option("nullValue", "").option("emptyValue", "").csv(path)
+    writer = t.select("statement_id", *columns).write
+    (writer.partitionBy("statement_id") if folders else writer).option("header", True).option("quote", '"').option("escape", '"').option("nullValue", "").option("emptyValue", "").csv(path)
 
 

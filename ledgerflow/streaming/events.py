@@ -33,7 +33,8 @@ def dedupe_events(df: DataFrame, watermark: str = "1 hour") -> DataFrame:
 
 
 def job_lifecycle(df: DataFrame) -> DataFrame:
-    """job_id, status, started_at, finished_at, n_events, error: events after the job's end are ignored. Batch form."""
+    """job_id, status, started_at, finished_at, n_events, error: events after the job's end, and those without a time, are ignored. Batch form."""
+    df = df.where(F.col("ts").isNotNull())
     w = Window.partitionBy("job_id").orderBy("ts", "event", "data").rowsBetween(Window.unboundedPreceding, -1)
     ends = F.col("event").isin(DONE, FAILED)
     d = df.withColumn("_over", F.coalesce(F.max(ends.cast("int")).over(w), F.lit(0))).where("_over = 0")
@@ -48,8 +49,11 @@ def job_lifecycle(df: DataFrame) -> DataFrame:
 LIFECYCLE = "job_id string, status string, started_at timestamp, finished_at timestamp, n_events long, error string"
 
 
-def job_lifecycle_stream(df: DataFrame, ttl_ms: int = 3_600_000) -> DataFrame:
-    """The stream twin: an updated row whenever a job gets events, its state dropped ttl_ms after the last of them."""
+def job_lifecycle_stream(df: DataFrame, ttl_ms: int = 3_600_000, watermark: str = "1 hour") -> DataFrame:
+    """The stream twin: an updated row whenever a job gets events, its state dropped once the watermark is ttl_ms past the last of them.
+
+    Time is that of the events, so a stream that has read all there is comes to its end. Events behind the watermark are late and dropped.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -65,13 +69,15 @@ def job_lifecycle_stream(df: DataFrame, ttl_ms: int = 3_600_000) -> DataFrame:
             if event in (DONE, FAILED):
                 finished, done, error = at, event == DONE, data if event == FAILED else None
         state.update((started, finished, n, error, done))
-        state.setTimeoutDuration(ttl_ms)
+        last = int(rows["ts"].max().value // 1_000_000)
+        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + ttl_ms)
         status = "failed" if error is not None else "done" if done else "running" if n > 1 else "pending"
         stamp = lambda us: pd.NaT if us is None else pd.Timestamp(us, unit="us")
         yield pd.DataFrame({"job_id": [key[0]], "status": [status], "started_at": [stamp(started)], "finished_at": [stamp(finished)], "n_events": [n], "error": [error]})
 
     held = "started long, finished long, n long, error string, done boolean"
-    return df.groupBy("job_id").applyInPandasWithState(step, LIFECYCLE, held, "update", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = df.where(F.col("ts").isNotNull()).withWatermark("ts", watermark)
+    return timed.groupBy("job_id").applyInPandasWithState(step, LIFECYCLE, held, "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def event_elapsed(df: DataFrame) -> DataFrame:
@@ -101,29 +107,40 @@ def streaming_spend(calls: DataFrame, cap: float | None, warn: float = 0.8) -> D
     """Running spend per budget over a stream of calls (budget, ts, call_id, cost_usd): a row a call; a breach is a row, not an error."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        spent, warned = state.get if state.exists else (0.0, False)
+        micros, warned = state.get if state.exists else (0, False)  # whole millionths of a dollar, so sums are exact
         rows = pd.concat(list(batches)).sort_values(["ts", "call_id"])
         out = []
         for cost in rows["cost_usd"]:
-            spent += float(cost)
+            micros += round(float(cost) * 1_000_000)
+            spent = micros / 1_000_000
             past = cap is not None and spent >= cap * warn
             out.append((key[0], spent, past and not warned, cap is not None and spent > cap))
             warned = warned or past
-        state.update((spent, warned))
+        state.update((micros, warned))
         yield pd.DataFrame(out, columns=["budget", "spent", "warns", "breach"])
 
-    return calls.groupBy("budget").applyInPandasWithState(step, SPEND, "spent double, warned boolean", "append", GroupStateTimeout.NoTimeout)
+    return calls.groupBy("budget").applyInPandasWithState(step, SPEND, "micros long, warned boolean", "append", GroupStateTimeout.NoTimeout)
+
 
+def streaming_reconcile(s: DataFrame, t_stream: DataFrame, path: str, checkpoint: str, buckets: int = 256):
+    """Start a query that lands new transactions under path/transactions and rewrites path/reconciliation/batch=N for the statements touched.
 
-def streaming_reconcile(s: DataFrame, t_stream: DataFrame, path: str, checkpoint: str):
-    """Start a query that lands new transactions under path/transactions and rewrites path/reconciliation/batch=N for the statements touched."""
+    Transactions lie in folders by a hash of their statement; a batch reads again only the folders of the statements it touches.
+    """
+    bucket = F.pmod(F.xxhash64("statement_id"), F.lit(buckets)).cast("int")
 
     def land(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{path}/transactions/batch={n}")
+        batch = batch.persist()
+        batch.withColumns({"bucket": bucket, "batch": F.lit(n)}).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(f"{path}/transactions")
         touched = batch.select("statement_id").distinct()
-        rows = spark.read.parquet(f"{path}/transactions").drop("batch").join(touched, "statement_id", "left_semi")
+        asked = [r["b"] for r in touched.select(bucket.alias("b")).distinct().collect()]  # buckets numbers at most
+        if not asked:
+            batch.unpersist()
+            return
+        rows = spark.read.parquet(f"{path}/transactions").where(F.col("bucket").isin(asked)).drop("batch", "bucket").join(touched, "statement_id", "left_semi")
         reconcile(s.join(touched, "statement_id", "left_semi"), rows).write.mode("overwrite").parquet(f"{path}/reconciliation/batch={n}")
+        batch.unpersist()
 
     return t_stream.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

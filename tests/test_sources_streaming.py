@@ -16,7 +16,7 @@ def test_sniff(spark, tmp_path):
     for name, data in {"a.pdf": b"%PDF-1.7", "b.png": b"\x89PNG\r\n\x1a\n0", "c.xlsx": b"PK\x03\x04..", "d.htm": b"x", "e.bin": b"<!DOCTYPE html>", "f.txt": b"\xff\xfe\xfa", "g.dat": b"\xff\xfe\xfa", "h.dat": b"plain", "i.dat": b""}.items():
         (tmp_path / name).write_bytes(data)
     got = {r["path"].rsplit("/", 1)[1]: r["kind"] for r in files.sniff_files(spark, str(tmp_path)).collect()}
-    assert got == {"a.pdf": "pdf", "b.png": "image", "c.xlsx": "xlsx", "d.htm": "html", "e.bin": "html", "f.txt": "text", "g.dat": "unknown", "h.dat": "text"}
+    assert got == {"a.pdf": "pdf", "b.png": "image", "c.xlsx": "xlsx", "d.htm": "html", "e.bin": "html", "f.txt": "text", "g.dat": "unknown", "h.dat": "text", "i.dat": "empty"}
 
 
 def test_text_and_json(spark, tmp_path):
@@ -48,7 +48,7 @@ ROWS = [("j", "2025-01-01 00:00:00", "queued"), ("j", "2025-01-01 00:00:01", "in
 
 
 def _run(df, mode, name):
-    # What is there, then stop: a query with timeouts runs on without new data, so it never has nothing left to process.
+    # What is there, then stop.
     q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
     try:
         assert q.awaitTermination(60)
@@ -68,6 +68,16 @@ def test_stream_equals_batch(spark, tmp_path):
     assert {r["job_id"]: r["status"] for r in events.job_lifecycle(batch).collect()} == {"j": "done", "k": "failed"}
 
 
+def test_state_expires(spark, tmp_path):
+    """An event long after a job's last one finds its state gone: the job begins anew."""
+    folder = tmp_path / "log"
+    folder.mkdir()
+    for i, rows in enumerate([[("j", "2025-01-01 00:00:00", "queued"), ("j", None, "no time")], [("x", "2025-01-02 00:00:00", "queued")], [("x", "2025-01-02 01:00:00", "go")], [("j", "2025-01-02 02:00:00", "queued")]]):
+        (folder / f"{i}.json").write_text("\n".join(events.event_row(*r) for r in rows))
+    _run(events.job_lifecycle_stream(events.event_source(spark, str(folder), 1), ttl_ms=60_000, watermark="1 minute"), "update", "expired")
+    assert sorted((r["job_id"], r["n_events"], r["status"]) for r in spark.table("expired").collect()) == [("j", 1, "pending"), ("j", 1, "pending"), ("x", 1, "pending"), ("x", 2, "running")]
+
+
 def test_streaming_spend(spark, tmp_path):
     calls = spark.createDataFrame([("b", 1, i, 3.0) for i in range(4)], "budget string, ts long, call_id long, cost_usd double")
     calls.write.parquet(str(tmp_path / "calls"))
