@@ -11,6 +11,9 @@ Two kinds of symbols go to Spark:
   anchors. Windows with an anchor that a smaller document has, and not wholly within a large repeat, are compared by name: first
   all neighbouring windows of an anchor together; where those differ, the words before and behind the anchor tell which of the
   windows can be equal at all, and those are compared one by one.
+
+All of these are only candidates: stretches of a text that should stand at some place of a document with a smaller id. The words of
+that place are sent to the text, and what goes is what is the same there word by word.
 """
 
 from __future__ import annotations
@@ -19,10 +22,10 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import forget, stored
+from .common import drop_shuffles, forget, stored
 from .tokens import slices
 
 WINDOW, LARGE, ANCHOR_ROUND, MAX_ROUNDS = 50, 200, 3, 64
@@ -52,7 +55,7 @@ def _join(a: np.ndarray, b: np.ndarray, lane: int) -> np.ndarray:
 class Words:
     """Words of several texts: names in two lanes, first word of each text, and the bytes of any word."""
 
-    def __init__(self, texts: list):
+    def __init__(self, texts: list, bits: int = 64):
         parts = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
         sizes = np.fromiter(map(len, parts), np.int64, len(parts)) + 1
         self.raw = b"\n".join([*parts, b""]) + bytes(8)
@@ -62,7 +65,8 @@ class Words:
         self.starts, self.ends = edge[::2], edge[1::2]
         #: Index of each text's first word, and the number of all words at the end.
         self.first = np.searchsorted(self.starts, np.concatenate([[0], np.cumsum(sizes)]))
-        self.h = self._names(data)
+        keep = np.uint64(2**bits - 1)  # fewer bits only in tests, which want different words with one name
+        self.h = tuple(lane & keep for lane in self._names(data))
 
     def _names(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = self.ends - self.starts
@@ -95,13 +99,17 @@ class Words:
             out.append(_mix((total[b] - total[a]) * back[a] + (b - a).astype(np.uint64) * _C[4]))
         return out[0], out[1]
 
+    def line(self, a: int, b: int) -> bytes:
+        """The words from a to before b, joined by one space."""
+        return b" ".join(self.raw[self.starts[a] : self.ends[b - 1]].split()) if b > a else b""
+
     def kept(self, text: int, gone: np.ndarray | None) -> str:
         """SHA-256 of the text's words that stay, joined by one space."""
         a, b = self.first[text], self.first[text + 1]
         keep = range(a, b) if gone is None else (np.flatnonzero(~gone) + a).tolist()
         starts, ends = self.starts, self.ends
         if gone is None or len(keep) == b - a:
-            line = b" ".join(self.raw[starts[a] : ends[b - 1]].split()) if b > a else b""
+            line = self.line(a, b)
         else:
             line = b" ".join([self.raw[starts[i] : ends[i]] for i in keep])
         return hashlib.sha256(line).hexdigest()
@@ -204,7 +212,7 @@ def _owner(w: Words, at: np.ndarray) -> np.ndarray:
     return np.searchsorted(w.first, at, side="right") - 1
 
 
-def _found(docs: DataFrame) -> DataFrame:
+def _found(docs: DataFrame, bits: int) -> DataFrame:
     """Large symbols (kind 0): name, name2, doc, th and place (first, words).
 
     Anchors (kind 1): name, the name of all words of their windows (name2, name3), the names of the anchor with AROUND words before
@@ -218,7 +226,7 @@ def _found(docs: DataFrame) -> DataFrame:
             doc, th = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             texts = batch.column(2).to_pylist()
             for lo, hi in slices(texts, SLICE_CHARS):
-                w = Words(texts[lo:hi])
+                w = Words(texts[lo:hi], bits)
                 (n1, n2, at, size), (key, p, m, s, e) = parse(w)
                 own = _owner(w, at)
                 none = pa.nulls(len(at), pa.int64())
@@ -233,137 +241,151 @@ def _found(docs: DataFrame) -> DataFrame:
                 columns = [np.ones(len(s), np.int32), *[x.view(np.int64) for x in (key, r1, r2, left, right)], doc[lo + own], th[lo + own], place]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
-    return docs.mapInArrow(run, "kind int, name long, name2 long, name3 long, left long, right long, doc long, th int, place long")
+    return docs.mapInArrow(run, "kind int, name long, name2 long, name3 long, left long, right long, doc long, th long, place long")
 
 
-def _gone(n: int, spans: list | None, windows: list | None) -> np.ndarray | None:
-    """Which of n words are covered by the spans (packed first, words) or the windows (first words)."""
-    if not spans and not windows:
-        return None
+def _covered(n: int, first: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Which of n words the stretches cover."""
     turn = np.zeros(n + 1, np.int32)
-    if spans:
-        p = np.array(spans, np.int64)
-        a, k = p >> 32, p & 0xFFFFFFFF
-        np.add.at(turn, a, 1)
-        np.add.at(turn, a + k, -1)
-    if windows:
-        p = np.array(windows, np.int64)
-        np.add.at(turn, p, 1)
-        np.add.at(turn, p + WINDOW, -1)
+    np.add.at(turn, first, 1)
+    np.add.at(turn, first + words, -1)
     return np.cumsum(turn[:-1]) > 0
 
 
-def _checked(docs: DataFrame) -> DataFrame:
-    """Second reading, with each document's spans and candidate ranges: rows of kind 0 are results, 1 are documents to look at again, 2 windows."""
-    names = ["kind", "doc_id", "doc", "th", "n_words", "n_removed", "kept_sha256", "text", "spans", "name", "name2", "at"]
-    types = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.int64()]
-
-    def rows(**given):
-        size = len(next(iter(given.values())))
-        return pa.RecordBatch.from_arrays([pa.array(given[n], t) if n in given else pa.nulls(size, t) for n, t in zip(names, types, strict=True)], names=names)
+def _windows(docs: DataFrame, bits: int) -> DataFrame:
+    """Each window in the asked ranges of a text: doc, th, its first word, its name, and whether it has words outside the spans."""
+    names = ["doc", "th", "at", "name", "name2", "open"]
 
     def run(batches):
         for batch in batches:
-            ids, docs_, ths, texts, spans, ranges = (batch.column(i).to_pylist() for i in range(6))
+            doc, th = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            texts, spans, ranges = (batch.column(i).to_pylist() for i in (2, 3, 4))
             for lo, hi in slices(texts, SLICE_CHARS):
-                w = Words(texts[lo:hi])
-                done: list[list] = [[], [], [], [], [], []]
-                again: list[list] = [[], [], [], [], [], []]
-                wins: list[tuple] = []
+                w = Words(texts[lo:hi], bits)
+                found: list[tuple] = []
                 for i in range(lo, hi):
                     base, n = int(w.first[i - lo]), int(w.first[i - lo + 1] - w.first[i - lo])
-                    gone = _gone(n, spans[i], None)
-                    at = need = np.empty(0, np.int64)
-                    if ranges[i]:
-                        p = np.array(ranges[i], np.int64)
-                        a, b = p >> 32, p & 0xFFFFFFFF
-                        turn = np.zeros(n + 1, np.int32)
-                        np.add.at(turn, a, 1)
-                        np.add.at(turn, b + 1, -1)
-                        want = np.cumsum(turn[: n - WINDOW + 1]) > 0
-                        at = need = np.flatnonzero(want)
-                        if gone is not None:  # windows that are wholly removed need no look, but later documents may have them from here
-                            still = np.concatenate([[0], np.cumsum(~gone)])
-                            need = at[still[at + WINDOW] > still[at]]
-                    if len(at):
-                        wins.append((np.full(len(at), docs_[i]), np.full(len(at), ths[i]), at, at + base))
-                    if len(need):
-                        for column, v in zip(again, (ids[i], docs_[i], ths[i], n, texts[i], spans[i]), strict=True):
-                            column.append(v)
-                    else:
-                        out = (ids[i], docs_[i], ths[i], n, 0 if gone is None else int(gone.sum()), w.kept(i - lo, gone))
-                        for column, v in zip(done, out, strict=True):
-                            column.append(v)
-                if done[0]:
-                    yield rows(kind=[0] * len(done[0]), **dict(zip(("doc_id", "doc", "th", "n_words", "n_removed", "kept_sha256"), done, strict=True)))
-                if again[0]:
-                    yield rows(kind=[1] * len(again[0]), **dict(zip(("doc_id", "doc", "th", "n_words", "text", "spans"), again, strict=True)))
-                if wins:
-                    doc, th, at, where = (np.concatenate(x) for x in zip(*wins, strict=True))
-                    n1, n2 = w.span_names(where, where + WINDOW)
-                    yield rows(kind=np.full(len(doc), 2), doc=doc, th=th, at=at, name=n1.view(np.int64), name2=n2.view(np.int64))
-
-    schema = "kind int, doc_id long, doc long, th int, n_words long, n_removed long, kept_sha256 string, text string, spans array<long>, name long, name2 long, at long"
-    return docs.mapInArrow(run, schema)
-
-
-def _finished(pending: DataFrame) -> DataFrame:
+                    p = np.array(ranges[i], np.int64)
+                    at = np.flatnonzero(_covered(n, p >> 32, (p & 0xFFFFFFFF) - (p >> 32) + 1))
+                    at = at[at <= n - WINDOW]
+                    # Windows that are wholly covered need no look, but later documents may have them from here.
+                    p = np.array(spans[i] or [], np.int64)
+                    left = np.concatenate([[0], np.cumsum(~_covered(n, p >> 32, p & 0xFFFFFFFF))])
+                    found.append((np.full(len(at), doc[i]), np.full(len(at), th[i]), at, at + base, left[at + WINDOW] > left[at]))
+                doc_, th_, at, where, open_ = (np.concatenate(x) for x in zip(*found, strict=True))
+                n1, n2 = w.span_names(where, where + WINDOW)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (doc_, th_, at, n1.view(np.int64), n2.view(np.int64), open_)], names=names)
+
+    return docs.mapInArrow(run, "doc long, th long, at long, name long, name2 long, open boolean")
+
+
+def _sources(docs: DataFrame) -> DataFrame:
+    """from_doc, from_th, from_at, words and their compressed bytes, of the asked stretches of each text."""
+    names = ["from_doc", "from_th", "from_at", "words", "source"]
+
     def run(batches):
+        import zstandard
+
+        press = zstandard.ZstdCompressor()
         for batch in batches:
-            ids, texts, spans, windows = (batch.column(i).to_pylist() for i in range(4))
-            out: list[list] = [[], [], [], []]
-            for doc, text, span, window in zip(ids, texts, spans, windows, strict=True):
+            out: list[list] = [[], [], [], [], []]
+            for doc, th, text, asked in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 w = Words([text])
-                n = int(w.first[-1])
-                gone = _gone(n, span, window)
-                for column, v in zip(out, (doc, n, 0 if gone is None else int(gone.sum()), w.kept(0, gone)), strict=True):
-                    column.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
+                for x in asked:
+                    a, n = x["from_at"], x["words"]
+                    for column, v in zip(out, (doc, th, a, n, press.compress(w.line(a, a + n))), strict=True):
+                        column.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, [pa.int64()] * 4 + [pa.binary()], strict=True)], names=names)
+
+    return docs.mapInArrow(run, "from_doc long, from_th long, from_at long, words long, source binary")
+
 
-    return pending.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+def _finished(docs: DataFrame) -> DataFrame:
+    """What is left of each text (doc_id, text, candidates: at, words, source) once the stretches that are equal are gone."""
+    names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
 
+    def run(batches):
+        import zstandard
+
+        open_ = zstandard.ZstdDecompressor()
+        for batch in batches:
+            ids, texts, candidates = (batch.column(i).to_pylist() for i in range(3))
+            for lo, hi in slices(texts, SLICE_CHARS):
+                w = Words(texts[lo:hi])
+                out: list[list] = [[], [], [], []]
+                for i in range(lo, hi):
+                    base, n = int(w.first[i - lo]), int(w.first[i - lo + 1] - w.first[i - lo])
+                    same = [(x["at"], x["words"]) for x in candidates[i] or () if w.line(base + x["at"], base + x["at"] + x["words"]) == open_.decompress(x["source"])]
+                    gone = _covered(n, *np.array(same, np.int64).T) if same else None
+                    for column, v in zip(out, (ids[i], n, 0 if gone is None else int(gone.sum()), w.kept(i - lo, gone)), strict=True):
+                        column.append(v)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=names)
 
-def repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    return docs.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+
+
+def _merged(found: DataFrame) -> DataFrame:
+    """Candidates (doc, th, at, words, source: doc, th, place) merged where they go on in one source, without those inside another."""
+    f = found.select("doc", "th", "at", "words", F.col("low.doc").alias("from_doc"), F.col("low.th").alias("from_th"), (F.col("low.at") - F.col("at")).alias("shift"))
+    line = Window.partitionBy("doc", "th", "from_doc", "from_th", "shift").orderBy("at", "words")
+    reach = F.max(F.col("at") + F.col("words")).over(line.rowsBetween(Window.unboundedPreceding, -1))
+    f = f.withColumn("new", F.coalesce(F.col("at") > reach, F.lit(True)).cast("int")).withColumn("run", F.sum("new").over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    f = f.groupBy("doc", "th", "from_doc", "from_th", "shift", "run").agg(F.min("at").alias("at"), F.max(F.col("at") + F.col("words")).alias("end"))
+    inner = Window.partitionBy("doc", "th").orderBy("at", F.desc("end"), "from_doc", "from_th", "shift").rowsBetween(Window.unboundedPreceding, -1)
+    f = f.withColumn("before", F.max("end").over(inner)).where(F.col("before").isNull() | (F.col("end") > F.col("before")))
+    return f.select("doc", "th", "at", (F.col("end") - F.col("at")).alias("words"), "from_doc", "from_th", (F.col("at") + F.col("shift")).alias("from_at"))
+
+
+def repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text: str = "text", name_bits: int = 64) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256: what is left of each text once repeats of documents with smaller ids are gone.
 
     A word goes if a window of WINDOW consecutive words covers it whose word sequence also starts in a document with a smaller id;
     windows are judged on the input. Null and empty texts have no words. A null id counts as the largest one, so its texts give
     nothing to others; rows with one id never remove words of each other. Repeated rows come back as often as they are given.
     Other columns are not read. An empty table gives an empty result. A task's memory grows with the longest text.
+    Nothing goes because of names alone; were two different stretches of one name, one of them might stay that could go.
     """
+    spark = docs.sparkSession
     base = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"),
-        F.hash(F.coalesce(text, F.lit(""))).alias("th"),
+        F.xxhash64(F.coalesce(text, F.lit(""))).alias("th"),
         F.col(text).alias("text"),
     )
-    found = stored(_found(base.select("doc", "th", "text")))
+    found = stored(_found(base.select("doc", "th", "text"), name_bits))
     large, anchors = found.where("kind = 0").drop("kind", "name3", "left", "right"), found.where("kind = 1").drop("kind")
     key = ["doc", "th"]
+    high32, low32 = (lambda c: F.shiftright(c, 32)), (lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF)))
+
+    def twice(df: DataFrame, *names: str, at=None) -> DataFrame:
+        """The names that several documents have, with the first of their places: low."""
+        low = F.min(F.struct("doc", "th", at.alias("at")) if at is not None else F.struct("doc")).alias("low")
+        return df.groupBy(*names).agg(low, F.max("doc").alias("high")).where("low.doc < high").drop("high")
 
-    shared = large.groupBy("name", "name2").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").drop("high")
-    spans = stored(large.join(shared, ["name", "name2"]).where("doc > low").groupBy(*key).agg(F.collect_set("place").alias("spans")))
+    spans = large.join(stored(twice(large, "name", "name2", at=high32("place"))), ["name", "name2"]).where("doc > low.doc")
+    spans = stored(spans.select(*key, high32("place").alias("at"), low32("place").alias("words"), "low"))
+    inner = spans.groupBy(*key).agg(F.collect_set(F.shiftleft("at", 32) + F.col("words")).alias("spans"))
 
     # Windows outside those, where another document has their anchor.
     # Stored, so that the join has exchanges of its own, whose large partitions Spark splits where one anchor is in very many rows.
-    shared = stored(anchors.groupBy("name").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").drop("high"))
-    near = anchors.join(shared, "name").select(*key, "place", "name", "name2", "name3", "left", "right", (F.col("doc") > F.col("low")).alias("later"))
+    shared = stored(twice(anchors, "name"))
+    near = anchors.join(shared, "name").select(*key, "place", "name", "name2", "name3", "left", "right", (F.col("doc") > F.col("low.doc")).alias("later"))
     bits = lambda shift: F.shiftright("place", shift).bitwiseAND(F.lit(0xFF))
-    first, front, back = F.shiftright("place", 32), bits(8), bits(0)
+    first, front, back = high32("place"), bits(8), bits(0)
     last = first + bits(16)
     at, words = (lambda s: F.shiftright(s, 32)), (lambda s: s.bitwiseAND(F.lit(0xFFFFFFFF)))
     inside = F.exists("spans", lambda s: (at(s) <= first) & (at(s) + words(s) >= last + WINDOW))
-    near = stored(near.join(spans, key, "left").where(~F.coalesce(inside, F.lit(False))).drop("spans"))
+    near = stored(near.join(inner, key, "left").where(~F.coalesce(inside, F.lit(False))).drop("spans"))
     forget(found)
+    drop_shuffles(spark)
     # All windows of an anchor at once: a smaller document has the same words around the same anchor.
-    several = lambda df, *k: stored(df.groupBy(*k).agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").drop("high"))
-    tested = near.join(several(near, "name2", "name3"), ["name2", "name3"], "left").withColumn("again", F.coalesce(F.col("doc") > F.col("low"), F.lit(False)))
-    whole, near = near, stored(tested.select(*key, "place", "name", "left", "right", "later", "again"))
+    tested = near.join(stored(twice(near, "name2", "name3", at=first)), ["name2", "name3"], "left").withColumn("again", F.coalesce(F.col("doc") > F.col("low.doc"), F.lit(False)))
+    whole, near = near, stored(tested.select(*key, "place", "name", "left", "right", "later", "again", "low"))
     forget(whole)
-    more = near.where("again").groupBy(*key).agg(F.collect_set(F.shiftleft(first, 32) + last + WINDOW - first).alias("more"))
+    more = near.where("again").select(*key, first.alias("at"), (last + WINDOW - first).alias("words"), "low")
     # Windows that hold the words before (behind) an anchor go where no other document has those.
     rest = near.where("not again")
-    around = several(rest.select("doc", F.explode(F.array("left", "right")).alias("side")), "side").drop("low")
+    around = stored(twice(rest.select("doc", F.explode(F.array("left", "right")).alias("side")), "side").drop("low"))
     rest = rest.join(around.select(F.col("side").alias("left"), F.lit(0).alias("skip")), "left", "left")
     rest = rest.join(around.select(F.col("side").alias("right"), F.lit(0).alias("stop")), "right", "left")
     begin, end = first + F.coalesce("skip", front), last - F.coalesce("stop", back)
@@ -372,14 +394,23 @@ def repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text: str = "te
     # The others one by one, where a document with a larger id asks for their anchor.
     asked = stored(rest.where("later").select("name").distinct())
     ranges = rest.join(asked, "name", "left_semi").groupBy(*key).agg(F.collect_set("place").alias("ranges"))
-
-    known = spans.join(more, key, "full").join(ranges, key, "full")
-    none = F.array().cast("array<bigint>")
-    known = known.select(*key, F.concat(F.coalesce("spans", none), F.coalesce("more", none)).alias("spans"), "ranges")
-    seen = stored(_checked(base.join(known.hint("merge"), key, "left").select("doc_id", "doc", "th", "text", "spans", "ranges")))
-    forget(spans, near, rest)
-    windows = seen.where("kind = 2").select("name", "name2", *key, "at")
-    low = windows.groupBy("name", "name2").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").drop("high")
-    again = windows.join(low, ["name", "name2"]).where("doc > low").groupBy(*key).agg(F.collect_set("at").alias("windows"))
-    pending = seen.where("kind = 1").select("doc_id", *key, "text", "spans").join(again, key, "left").select("doc_id", "text", "spans", "windows")
-    return seen.where("kind = 0").select("doc_id", "n_words", "n_removed", "kept_sha256").unionByName(_finished(pending))
+    known = stored(spans.select(*key, "at", "words").unionByName(more.select(*key, "at", "words")).groupBy(*key).agg(F.collect_set(F.shiftleft("at", 32) + F.col("words")).alias("spans")))
+    texts = base.select("doc", "th", "text").join(ranges.hint("merge"), key).join(known.hint("merge"), key, "left").dropDuplicates(key)
+    windows = stored(_windows(texts.select("doc", "th", "text", "spans", "ranges"), name_bits))
+    forget(rest, known)
+    single = windows.join(stored(twice(windows, "name", "name2", at=F.col("at"))), ["name", "name2"]).where("open and doc > low.doc")
+    single = single.select(*key, "at", F.lit(WINDOW).cast("long").alias("words"), "low")
+
+    # The words of the first places travel to the candidates and are compared there.
+    candidates = stored(_merged(spans.unionByName(more).unionByName(single)))
+    forget(windows, near)
+    drop_shuffles(spark)
+    asked = candidates.groupBy(F.col("from_doc").alias("doc"), F.col("from_th").alias("th")).agg(F.collect_set(F.struct("from_at", "words")).alias("asked"))
+    texts = base.select("doc", "th", "text").join(asked.hint("merge"), key).dropDuplicates(key)
+    sources = stored(_sources(texts.select("doc", "th", "text", "asked")))
+    drop_shuffles(spark)
+    held = candidates.join(sources.hint("merge"), ["from_doc", "from_th", "from_at", "words"])
+    held = stored(held.groupBy(*key).agg(F.collect_list(F.struct("at", "words", "source")).alias("candidates")))
+    forget(sources, candidates)
+    drop_shuffles(spark)
+    return _finished(base.join(held.hint("merge"), key, "left").select("doc_id", "text", "candidates"))
