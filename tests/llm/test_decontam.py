@@ -18,7 +18,7 @@ def test_every_accepted_pattern_is_met(n):
     assert all(any(not set(changed) & f for f in fits) for changed in combinations(range(n), missing))
 
 
-def _brute(texts, items):
+def brute(texts, items):
     words = lambda t: "".join(c.lower() if c.isalnum() else " " for c in t or "").split()
     out = []
     for t in texts:
@@ -51,7 +51,7 @@ def test_against_brute_force(spark, monkeypatch):
     schema = "doc_id long, text string, shift int, dw string, th long, iw int"
     docs = spark.createDataFrame([(i, t, 1, "x", 2, 3) for i, t in enumerate(texts)], schema)
     bench = spark.createDataFrame([*items, items[5]], "item_id long, text string")
-    expected = _brute(texts, items)
+    expected = brute(texts, items)
     assert 20 < sum(x[0] for x in expected) < len(texts)
     for limit in (1_000_000, 0):  # by broadcast and by shuffle
         monkeypatch.setattr(decontam, "BROADCAST_HITS", limit)

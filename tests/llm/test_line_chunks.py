@@ -45,8 +45,8 @@ def _boundaries(lines):
     return sorted({*cuts, len(lines)})
 
 
-def test_against_the_rule_restated(spark):
-    texts, _ = _corpus()
+def brute(texts):
+    """place -> (text left, lines, removed lines)"""
     split = [None if t is None else t.encode().split(b"\n") for t in texts]
     first, chunks = {}, {}
     for i, lines in enumerate(split):
@@ -75,6 +75,12 @@ def test_against_the_rule_restated(spark):
                 gone.update(range(x, y))
         kept = texts[i] if not gone else b"\n".join(v for k, v in enumerate(lines) if k not in gone).decode()
         expected[i] = (kept, len(lines or []), len(gone))
+    return expected
+
+
+def test_against_the_rule_restated(spark):
+    texts, _ = _corpus()
+    expected = brute(texts)
     assert _got(spark, enumerate(texts)) == expected
     left = {x for t, _, _ in expected.values() for x in (t or "").split("\n")}
     assert {x for t in texts for x in (t or "").split("\n")} == left  # each content stays once

@@ -52,10 +52,8 @@ def _counts(t):
     return words, chars, common, len(again), len(lines) - len(set(lines)), sum(map(len, words)), sum(c in "#*$%&|<>" for c in t)
 
 
-@pytest.mark.parametrize("ansi", ["true", "false"])
-def test_against_brute_force(spark, ansi):
-    texts = _texts()
-    langs = [None if i % 7 == 0 else "en" if i % 2 else "de" for i in range(len(texts))]
+def brute(texts, langs):
+    """(place, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept) of each text."""
     counts = [_counts(t) for t in texts]
     refs = {}
     for lang, t, c in zip(langs, texts, counts, strict=True):
@@ -72,6 +70,14 @@ def test_against_brute_force(spark, ansi):
         far = _js([0] * len(quality.COMMON_WORDS) + [1], refs[lang][1])
         bad = dc is not None and dc > quality.MAX_CLASS_DISTANCE or dw is not None and dw > quality.MAX_WORD_SHARE * far
         expected.append((i, len(words), word_chars, symbols, dup, again, failed, not failed and not bad))
+    return expected
+
+
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_against_brute_force(spark, ansi):
+    texts = _texts()
+    langs = [None if i % 7 == 0 else "en" if i % 2 else "de" for i in range(len(texts))]
+    expected = brute(texts, langs)
     rows = [(i, t, g, "theirs", "theirs", 0, 7) for i, (t, g) in enumerate(zip(texts, langs, strict=True))]
     docs = spark.createDataFrame(rows, SCHEMA)
     spark.conf.set("spark.sql.ansi.enabled", ansi)

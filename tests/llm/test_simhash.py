@@ -10,7 +10,7 @@ import pytest
 from ledgerflow.llm import simhash
 
 
-def _linked(n, near):
+def linked(n, near):
     root = list(range(n))
     for i in range(n):
         for j in near(i):
@@ -30,7 +30,7 @@ def test_links_do_not_depend_on_tiles(spark, monkeypatch, parts, block, visitors
     monkeypatch.setattr(simhash, "VISITORS", visitors)
     nodes = spark.createDataFrame([(i, int(x)) for i, x in enumerate(fp.view(np.int64))], "id long, fp long")
     got = {r["fp"]: r["root"] for r in simhash.components(simhash.near_links(nodes, 3, parts)).collect()}
-    root = _linked(len(fp), lambda i: np.flatnonzero(np.bitwise_count(fp ^ fp[i]) <= 3).tolist())
+    root = linked(len(fp), lambda i: np.flatnonzero(np.bitwise_count(fp ^ fp[i]) <= 3).tolist())
     assert [got.get(i, i) for i in range(len(fp))] == root
 
 
@@ -39,6 +39,16 @@ def _shingles(t):
     return {" ".join(w[i : i + 5]) for i in range(max(len(w) - 4, min(len(w), 1)))}
 
 
+def near_of(texts):
+    fp, n = simhash.fingerprint_batch(texts, 5, simhash.LANES, distinct=True)
+
+    def near(i):
+        d = np.bitwise_count(fp ^ fp[i])
+        return np.flatnonzero((d.sum(axis=1) <= simhash.MAX_BITS) & (d[:, 0] <= simhash.LANE_RADIUS) & (np.minimum(n, n[i]) >= simhash.SIZE_RATIO * np.maximum(n, n[i]))).tolist()
+
+    return near, n
+
+
 def test_near_copies(spark):
     rnd = random.Random(3)
     text = lambda n: [f"w{rnd.randint(0, 3000)}" for _ in range(n)]
@@ -54,18 +64,14 @@ def test_near_copies(spark):
         texts.append(" ".join(text(rnd.randint(60, 400))))
     texts += [texts[0], texts[0].upper(), None, "", " \n", "one two", "one two", "three"]
     sets = [_shingles(t) for t in texts]
-    fp, n = simhash.fingerprint_batch(texts, 5, simhash.LANES, distinct=True)
+    near, n = near_of(texts)
     assert n.tolist() == [len(s) for s in sets]
 
-    def near(i):
-        d = np.bitwise_count(fp ^ fp[i])
-        return np.flatnonzero((d.sum(axis=1) <= simhash.MAX_BITS) & (d[:, 0] <= simhash.LANE_RADIUS) & (np.minimum(n, n[i]) >= simhash.SIZE_RATIO * np.maximum(n, n[i]))).tolist()
-
     links = {(i, j) for i in range(len(texts)) for j in near(i)}
     alike = {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if i != j and a and len(a & b) >= 0.8 * len(a | b)}
     assert len(alike & links) >= 0.97 * len(alike) > 50
     assert all(len(sets[i] & sets[j]) >= 0.5 * len(sets[i] | sets[j]) for i, j in links if sets[i] or sets[j])
-    root = _linked(len(texts), near)
+    root = linked(len(texts), near)
     rows = [(i, t, "theirs", 1, 2, 3) for i, t in enumerate(texts)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, doc string, th int, band int, c0 int")
     kept = simhash.one_of_each(docs)
