@@ -22,7 +22,7 @@ from .tokens import encoder, slices
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary, task int, rank long"
 #: Numbers of pieces by (task, length) up to this many (16 bytes each) are broadcast, more are joined by a shuffle.
-BROADCAST_COUNTS = 2_000_000
+BROADCAST_COUNTS = 500_000
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
