@@ -59,7 +59,10 @@ def job_lifecycle_stream(df: DataFrame, ttl_ms: int = 3_600_000, watermark: str
         if state.hasTimedOut:
             state.remove()
             return
-        started, finished, n, error, done = state.get if state.exists else (None, None, 0, None, False)
+        fresh = (None, None, 0, None, False, 0)
+        started, finished, n, error, done, until = state.get if state.exists else fresh
+        if until <= state.getCurrentWatermarkMs():  # events that come with the timeout are handed over in its place
+            started, finished, n, error, done, until = fresh
         rows = pd.concat(list(batches)).sort_values(["ts", "event", "data"])
         for ts, event, data in zip(rows["ts"], rows["event"], rows["data"], strict=True):
             if finished is not None:
@@ -68,14 +71,15 @@ def job_lifecycle_stream(df: DataFrame, ttl_ms: int = 3_600_000, watermark: str
             started, n = at if started is None else started, n + 1
             if event in (DONE, FAILED):
                 finished, done, error = at, event == DONE, data if event == FAILED else None
-        state.update((started, finished, n, error, done))
         last = int(rows["ts"].max().value // 1_000_000)
-        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + ttl_ms)
+        until = max(until, last + ttl_ms, state.getCurrentWatermarkMs() + ttl_ms)
+        state.update((started, finished, n, error, done, until))
+        state.setTimeoutTimestamp(until)
         status = "failed" if error is not None else "done" if done else "running" if n > 1 else "pending"
         stamp = lambda us: pd.NaT if us is None else pd.Timestamp(us, unit="us")
         yield pd.DataFrame({"job_id": [key[0]], "status": [status], "started_at": [stamp(started)], "finished_at": [stamp(finished)], "n_events": [n], "error": [error]})
 
-    held = "started long, finished long, n long, error string, done boolean"
+    held = "started long, finished long, n long, error string, done boolean, until long"
     timed = df.where(F.col("ts").isNotNull()).withWatermark("ts", watermark)
     return timed.groupBy("job_id").applyInPandasWithState(step, LIFECYCLE, held, "update", GroupStateTimeout.EventTimeTimeout)
 

@@ -1,7 +1,9 @@
 from __future__ import annotations
 
 import json
+import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerflow.operators.checks import reconcile
@@ -68,14 +70,20 @@ def test_stream_equals_batch(spark, tmp_path):
     assert {r["job_id"]: r["status"] for r in events.job_lifecycle(batch).collect()} == {"j": "done", "k": "failed"}
 
 
-def test_state_expires(spark, tmp_path):
-    """An event long after a job's last one finds its state gone: the job begins anew."""
+@pytest.mark.parametrize("quiet", [True, False])
+def test_state_expires(spark, tmp_path, quiet):
+    """An event long after a job's last one finds its state gone: the job begins anew, whether or not a batch lies between."""
     folder = tmp_path / "log"
     folder.mkdir()
-    for i, rows in enumerate([[("j", "2025-01-01 00:00:00", "queued"), ("j", None, "no time")], [("x", "2025-01-02 00:00:00", "queued")], [("x", "2025-01-02 01:00:00", "go")], [("j", "2025-01-02 02:00:00", "queued")]]):
-        (folder / f"{i}.json").write_text("\n".join(events.event_row(*r) for r in rows))
-    _run(events.job_lifecycle_stream(events.event_source(spark, str(folder), 1), ttl_ms=60_000, watermark="1 minute"), "update", "expired")
-    assert sorted((r["job_id"], r["n_events"], r["status"]) for r in spark.table("expired").collect()) == [("j", 1, "pending"), ("j", 1, "pending"), ("x", 1, "pending"), ("x", 2, "running")]
+    between = [[("x", "2025-01-02 01:00:00", "go")]] if quiet else []
+    for i, rows in enumerate([[("j", "2025-01-01 00:00:00", "queued"), ("j", None, "no time")], [("x", "2025-01-02 00:00:00", "queued")], *between, [("j", "2025-01-02 02:00:00", "queued")]]):
+        file = folder / f"{i}.json"
+        file.write_text("\n".join(events.event_row(*r) for r in rows))
+        os.utime(file, (1_700_000_000 + i, 1_700_000_000 + i))  # files are read in the order of their times
+    name = f"expired_{quiet}".lower()
+    _run(events.job_lifecycle_stream(events.event_source(spark, str(folder), 1), ttl_ms=60_000, watermark="1 minute"), "update", name)
+    want = [("j", 1, "pending"), ("j", 1, "pending"), ("x", 1, "pending")]
+    assert sorted((r["job_id"], r["n_events"], r["status"]) for r in spark.table(name).collect()) == want + [("x", 2, "running")] * quiet
 
 
 def test_streaming_spend(spark, tmp_path):
