@@ -13,7 +13,6 @@ import numpy as np
 
 #: White space beyond the ASCII one: texts with it go to the library whole, since a token may reach across a cut there.
 _ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‍    ⁠　﻿]")
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _SPACED = re.compile(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+")
 _PLAIN = re.compile(r" ?[^\x20\x09-\x0D]+")
 _JOIN = 200
@@ -34,7 +33,7 @@ class Encoder:
         #: Texts with one of these go to the library whole.
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if special else []
         self.spaced = self._ids("a b") != self._ids("ab") and len(self._ids("\n")) > 0  # white space has tokens of its own
-        self.split = _SPACED.findall if self.spaced else _WORD.findall
+        self.split = _SPACED.findall if self.spaced else str.split  # other white space than ASCII's is not in these texts
         self.glue = "\n" if self.spaced else " \x01 "
         (self.mark,) = self._ids("\n" if self.spaced else "\x01")
         self.cache_entries, self.new, self.old = cache_entries, {}, {}
