@@ -298,10 +298,10 @@ def report_cover(spark, sf):
 
 
 @query("""SELECT report_id, statement_id, g::DOUBLE AS gap, CASE WHEN g = 0 THEN 'OK' WHEN g IS NOT NULL THEN 'DRIFT $' || g::VARCHAR END AS status
-  FROM (SELECT substr(account_last4, 1, 3) AS report_id, statement_id, beginning_balance - lag(ending_balance) OVER (PARTITION BY substr(account_last4, 1, 3) ORDER BY doc_pos) AS g FROM stmt)""")
+  FROM (SELECT substr(account_last4, 1, length(account_last4) - 1) AS report_id, statement_id, beginning_balance - lag(ending_balance) OVER (PARTITION BY substr(account_last4, 1, length(account_last4) - 1) ORDER BY doc_pos) AS g FROM stmt)""")
 def cover_continuity(spark, sf):
     # Reports of ten accounts: the first statement of an account is held against the last one of the account before it.
-    return _plain(analytics.cover_continuity(_st(spark, sf)[0].withColumn("report_id", F.substring("account_last4", 1, 3))))
+    return _plain(analytics.cover_continuity(_st(spark, sf)[0].withColumn("report_id", F.expr("substr(account_last4, 1, length(account_last4) - 1)"))))
 
 
 @query(_REC + """, _s AS (SELECT statement_id, deposits_total::DOUBLE AS deposits_total, withdrawals_total::DOUBLE AS withdrawals_total, coalesce(deposits_count, 0)::BIGINT AS deposits_count, coalesce(withdrawals_count, 0)::BIGINT AS withdrawals_count, CASE WHEN n = 0 THEN 'OK' ELSE 'MISMATCH' END AS status FROM _i)

@@ -227,6 +227,25 @@ def test_stores(spark):
     assert {r["canonical_name"] for r in v.collect()} == {"Genuine Parts Co", None}
 
 
+def test_spend_over_hours_equals_one_loop(spark):
+    hours = [None, "2025-04-01 00:59:59", "2025-04-01 01:00:00", "2025-04-01 01:00:00", "2025-04-02 07:30:00", "2025-04-02 07:45:00"]
+    costs = [None, "1.25", "2.50", "4.00", None, "-3.00", "6.00"]
+    given = [(b, hours[i % 6], i, D(costs[(i * (k + 2)) % 7])) for k, b in enumerate(["x", "y", None]) for i in range(24)]
+    calls = spark.createDataFrame(given, "budget string, at string, call_id int, cost_usd decimal(18,2)").withColumn("ts", F.col("at").cast("timestamp"))
+    for cap in (20.0, 0.0, None):
+        want = {}
+        for b in ("x", "y", None):
+            spent, was = None, False
+            for r in sorted((r for r in given if r[0] == b), key=lambda r: (r[1] or "", r[2])):
+                spent = spent if r[3] is None else (spent or Decimal(0)) + r[3]
+                past = cap is not None and spent is not None and spent >= Decimal(cap) * D("0.8")
+                want[b, r[2]] = (spent, past and not was, cap is not None and spent is not None and spent > cap)
+                was = past
+        got = {(r["budget"], r["call_id"]): (r["spent"], r["warns"], r["breach"]) for r in stores.spend_guard(calls, cap).collect()}
+        assert got == want
+    assert stores.spend_guard(calls.limit(0), 1.0).count() == 0
+
+
 def test_pages(spark):
     t = spark.createDataFrame([("d", 0, "Acme Corp payment of invoice 1")], "doc_id string, tx_index int, description string")
     p = spark.createDataFrame([("d", 2, "x ACME  CORP PAYMENT OF INVOICE 1"), ("d", 1, "nothing"), ("e", 0, "ACME CORP PAYMENT OF INVOICE 1")], "doc_id string, page int, text string")
