@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, licenses, line_chunks, packing, quality, recompression, simhash, slots, token_blocks, url_filters
+from . import conversation_trie, decontam, hard_negatives, licenses, line_chunks, packing, quality, recompression, simhash, slots, token_blocks, url_filters
 
 WORD_RE = r"[^\x20\x09-\x0D]+"
 
@@ -204,6 +204,45 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
+#: crc32 as a fold over bytes, each followed by eight shifts (-1).
+_CRC32 = """xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384::BIGINT) ELSE a >> 1 END), 4294967295::BIGINT)"""
+_OP11_SQL = f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY turn NULLS FIRST, md5(strlen(role)::VARCHAR || ':' || role || text)) AS ts FROM t GROUP BY conv_id),
+h AS (SELECT *, ({_CRC32}) % 4 AS h FROM o),
+r AS (SELECT h.conv_id, list_concat(coalesce(b.ts, [])[1 : h.h], h.ts[h.h + 1 :]) AS ts FROM h LEFT JOIN o b ON b.conv_id = h.conv_id - h.conv_id % 20),
+p AS (SELECT conv_id, d, len(ts) AS len, ts[d] AS last, sha256(ts[1 : d]::VARCHAR) AS node, sha256(ts[1 : d - 1]::VARCHAR) AS up FROM (SELECT *, unnest(range(0, len(ts) + 1)) AS d FROM r)),
+n AS (SELECT node, d, min(conv_id) AS conv_id, count(*) AS n_convs, max(len) = d AS leaf, any_value(CASE WHEN d > 0 THEN up END) AS up,
+        CASE WHEN d = 0 THEN 0 ELSE len(regexp_extract_all(any_value(last).text, '{WORD_RE}')) END AS words,
+        sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (len = d), '')) AS ends_sha256 FROM p GROUP BY node, d),
+k AS (SELECT up AS node, d - 1 AS d, count(*) AS c FROM n WHERE d > 0 GROUP BY ALL),
+under AS (SELECT DISTINCT a.node, a.d, b.node AS bn, b.d AS bd FROM p a JOIN p b ON a.conv_id = b.conv_id AND a.d <= b.d),
+s AS (SELECT u.node, u.d, sum((n.n_convs - 1) * n.words)::BIGINT AS saved, count(*) FILTER (n.leaf) AS leaves FROM under u JOIN n ON n.node = u.bn AND n.d = u.bd GROUP BY ALL)
+SELECT n.conv_id, n.d AS depth, m.conv_id AS parent_conv_id, n.n_convs, coalesce(k.c, 0) AS n_children, s.leaves AS n_leaves, s.saved AS saved_tokens, n.ends_sha256
+FROM n JOIN s USING (node, d) LEFT JOIN k USING (node, d) LEFT JOIN n m ON m.node = n.up AND m.d = n.d - 1"""
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    rows = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0)
+
+
+_OP13_SQL = """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+           FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: isfinite(x))) = len(embedding)),
+s AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS s FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT * FROM (SELECT a, b, s, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS r FROM s WHERE same) WHERE r <= 5),
+n AS (SELECT p.a, p.b, p.s AS ps, s.b AS nb, s.s AS ns, row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.s DESC, s.b) AS r
+      FROM p JOIN s ON s.a = p.a AND NOT s.same AND 80 * p.s <= 100 * s.s AND s.s <= p.s)
+SELECT a AS anchor_id, b AS positive_id, r::INT AS rank, nb AS negative_id, ps AS positive_score, ns AS negative_score FROM n WHERE r <= 5"""
+
+
 def queries() -> dict:
     return {
         "op1_url_filters": op1_url_filters,
@@ -216,8 +255,10 @@ def queries() -> dict:
         "op8_best_two_fit": op8_best_two_fit,
         "op9_recompression": op9_recompression,
         "op10_simhash": op10_simhash,
+        "op11_prefix_trie": op11_prefix_trie,
+        "op13_hard_negatives": op13_hard_negatives,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filters": _op1_sql(), "op3_quality_rules": _op3_sql(), "op4_license_scan": _op4_sql(), "op7_spaced_seeds": _op7_sql()}
+    return {"op1_url_filters": _op1_sql(), "op3_quality_rules": _op3_sql(), "op4_license_scan": _op4_sql(), "op7_spaced_seeds": _op7_sql(), "op11_prefix_trie": _OP11_SQL, "op13_hard_negatives": _OP13_SQL}
