@@ -39,10 +39,11 @@ def quantised(df: DataFrame, id_col: str, vector: str, label: str, is_anchor: Co
         for batch in batches:
             lists = batch.column(3)
             flat = np.clip(np.floor(256 * lists.flatten().to_numpy(zero_copy_only=False)), -(2.0**62), 2.0**62).astype("<i8")
-            kind, mark = ("<i2", b"s") if np.abs(flat).max(initial=0) < 2**15 else ("<i8", b"l")  # nearly always a quarter of the bytes
-            flat, width = flat.astype(kind), np.dtype(kind).itemsize
-            raw, ends = flat.tobytes(), (width * np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))).tolist()
-            v = [mark + raw[i:j] for i, j in zip([0, *ends], ends, strict=False)]
+            ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
+            starts = np.concatenate([[0], ends[:-1]])
+            large = np.concatenate([[0], np.cumsum(np.abs(flat) >= 2**15)])
+            small, full, many = flat.astype("<i2").tobytes(), flat.tobytes(), large[ends] > large[starts]  # two bytes a component are nearly always enough
+            v = [b"l" + full[8 * i : 8 * j] if m else b"s" + small[2 * i : 2 * j] for i, j, m in zip(starts.tolist(), ends.tolist(), many.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(v, pa.binary())], names=["id", "label", "anchor", "v"])
 
     return rows.mapInArrow(run, "id long, label long, anchor boolean, v binary")
