@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import all_of, amount, collapse, fixed, money, side, signed
+from .scan import scan
 
 FIELDS = ("description", "category", "vendor", "confidence")
 
@@ -89,14 +90,13 @@ def biggest_transactions(t: DataFrame, k: int = 8) -> DataFrame:
 
 
 def running_balance(s: DataFrame, t: DataFrame) -> DataFrame:
-    """statement_id, point (0: opening), at, tx_index, balance, in date order."""
+    """statement_id, point (0: opening), at, tx_index, balance, in date order. A statement of any length takes all tasks."""
     zero = F.lit(0).cast("decimal(18,2)")
     move = F.coalesce("deposit", zero) - F.coalesce("withdrawal", zero)
-    w = Window.partitionBy("statement_id").orderBy("tx_date", "tx_index")
-    d = t.withColumns({"_sum": F.sum(move).over(w.rowsBetween(Window.unboundedPreceding, 0)), "point": F.row_number().over(w)})
+    d = scan(t.select("statement_id", "tx_date", "tx_index", move.alias("_move")), ("statement_id",), ("tx_date", "tx_index"), {"_sum": F.col("_move")}, number="point")
     d = d.join(s.select("statement_id", "beginning_balance"), "statement_id")
     d = d.select("statement_id", "point", F.col("tx_date").alias("at"), "tx_index", (F.col("beginning_balance") + F.col("_sum")).cast("decimal(18,2)").alias("balance"))
-    first = s.select("statement_id", F.lit(0).alias("point"), F.col("period_start").alias("at"), F.lit(None).cast("int").alias("tx_index"), F.col("beginning_balance").cast("decimal(18,2)").alias("balance"))
+    first = s.select("statement_id", F.lit(0).cast("long").alias("point"), F.col("period_start").alias("at"), F.lit(None).cast("int").alias("tx_index"), F.col("beginning_balance").cast("decimal(18,2)").alias("balance"))
     return first.unionByName(d)
 
 
@@ -143,7 +143,8 @@ def anomalies_by_kind(a: DataFrame) -> DataFrame:
 def anomaly_context(a: DataFrame, t: DataFrame, before: int = 3, after: int = 3, most: int = 10) -> DataFrame:
     """The rows around each anomaly's row (its first row where it has none): an equi join on statement and row, not a range scan."""
     near = F.coalesce("transaction_index", F.lit(0))
-    at = a.select("statement_id", "ordinal", near.alias("center"), F.posexplode(F.sequence(near - before, near + after)).alias("place", "tx_index")).where(F.col("place") < most)
+    start = F.greatest(near - before, F.lit(0))  # rows count from 0, and so does the cap
+    at = a.select("statement_id", "ordinal", near.alias("center"), F.posexplode(F.sequence(start, near + after)).alias("place", "tx_index")).where(F.col("place") < most)
     return at.drop("place").join(t, ["statement_id", "tx_index"])
 
 
@@ -160,9 +161,9 @@ def cover_totals(cover: DataFrame) -> DataFrame:
 
 
 def cover_continuity(s: DataFrame, report: str = "report_id") -> DataFrame:
-    """Each statement against the one before it in its report, whatever its account; report is the partition of the order."""
-    w = Window.partitionBy(report).orderBy("doc_pos")
-    gap = money(F.col("beginning_balance") - F.lag("ending_balance").over(w))
+    """Each statement against the one before it in its report, whatever its account; a report of any length takes all tasks."""
+    s = scan(s.select(report, "statement_id", "doc_pos", "beginning_balance", "ending_balance"), (report,), ("doc_pos",), lags={"_before": F.col("ending_balance")})
+    gap = money(F.col("beginning_balance") - F.col("_before"))
     return s.select(report, "statement_id", gap.alias("gap")).withColumn("status", F.when(F.col("gap") == 0, "OK").when(F.col("gap").isNotNull(), F.concat(F.lit("DRIFT $"), fixed(F.col("gap")))))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import MONEY, amount, fixed, money, side
+from .quantile import exact_quantile
 
 ANOMALY = ("statement_id", "rule", "kind", "severity", "message", "transaction_index", "related_index")
 
@@ -28,10 +29,20 @@ def reconcile(s: DataFrame, t: DataFrame, tolerance: float = 0.01) -> DataFrame:
 
     An issue needs a difference beyond the tolerance after rounding to cents; a missing declared count is no difference.
     """
+    return reconcile_totals(s, statement_totals(t), tolerance)
+
+
+def statement_totals(t: DataFrame, sign: Column | None = None) -> DataFrame:
+    """statement_id, dep, wd, n_dep, n_wd: sums and counts; with a sign, a row of -1 takes back an equal row of 1."""
+    value = lambda c: F.col(c) if sign is None else (F.col(c) * sign).cast(MONEY)
+    count = lambda c: F.count(c) if sign is None else F.sum(F.when(F.col(c).isNotNull(), sign).otherwise(0).cast("long"))
+    total = lambda c, n: (F.sum(value(c)).alias(n), count(c).alias("n_" + n))
+    return t.groupBy("statement_id").agg(*total("deposit", "dep"), *total("withdrawal", "wd"))
+
+
+def reconcile_totals(s: DataFrame, seen: DataFrame, tolerance: float = 0.01) -> DataFrame:
+    """reconcile over the sums and counts of each statement, as statement_totals gives them."""
     zero = F.lit(0).cast(MONEY)
-    seen = t.groupBy("statement_id").agg(
-        F.sum("deposit").alias("dep"), F.sum("withdrawal").alias("wd"), F.count("deposit").alias("n_dep"), F.count("withdrawal").alias("n_wd")
-    )
     r = s.join(seen, "statement_id", "left").select(
         "statement_id",
         F.coalesce("dep", zero).alias("deposits_sum"),
@@ -99,12 +110,10 @@ def duplicate_pairs(t: DataFrame, scale: int = 2) -> DataFrame:
     return anomaly(d, "duplicate", "duplicate", "warn", F.concat(F.lit("same as row "), F.col("_first").cast("string")), F.col("tx_index"), F.col("_first"))
 
 
-def size_outliers(t: DataFrame, factor: float = 20, floor: float = 50_000, approx: bool = False) -> DataFrame:
-    """Amounts above factor times the statement's median of positive amounts and above the floor. approx bounds the memory of huge groups."""
+def size_outliers(t: DataFrame, factor: float = 20, floor: float = 50_000) -> DataFrame:
+    """Amounts above factor times the statement's median of positive amounts and above the floor."""
     d = t.withColumn("_a", amount())
-    some = F.col("_a").cast("double")
-    mid = F.percentile_approx(some, 0.5, 10_000) if approx else F.percentile(some, 0.5)
-    m = d.where("_a > 0").groupBy("statement_id").agg(mid.alias("_m"))
+    m = exact_quantile(d.where("_a > 0"), ("statement_id",), F.col("_a"), name="_m")
     d = d.join(m, "statement_id").where((F.col("_a").cast("double") > factor * F.col("_m")) & (F.col("_a") > floor))
     return anomaly(d, "size_outlier", "size_outlier", "warn", F.concat(fixed(F.col("_a")), F.lit(" against a median of "), fixed(F.col("_m"))), F.col("tx_index"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import amount, fixed, weekend
 from .checks import anomaly, numbered
+from .quantile import exact_quantile
 
 # US bank holidays of 2024 and 2025.
 HOLIDAYS = (
@@ -44,7 +45,7 @@ def vendor_concentration(t: DataFrame, share: float = 0.35, floor: float = 10_00
 def velocity_burst(t: DataFrame, factor: float = 3, floor: int = 10) -> DataFrame:
     """statement_id, tx_date, n, first_index of days with more rows than both limits allow."""
     d = t.where(F.col("tx_date").isNotNull()).groupBy("statement_id", "tx_date").agg(F.count("*").alias("n"), F.min("tx_index").alias("first_index"))
-    m = d.groupBy("statement_id").agg(F.percentile("n", 0.5).alias("_m"))
+    m = exact_quantile(d, ("statement_id",), F.col("n"), name="_m")
     d = d.join(m, "statement_id").where(F.col("n") > F.greatest(F.floor(F.col("_m") * factor), F.lit(floor)))
     return d.drop("_m")
 
@@ -84,8 +85,9 @@ def detect_forensic(t: DataFrame, holidays: DataFrame | None = None) -> DataFram
 def recurring_groups(t: DataFrame, min_occurrences: int = 3, tolerance: float = 1.0, share: float = 0.05, by: tuple[str, ...] = ("statement_id",)) -> DataFrame:
     """Vendors that are paid, or pay, about the same amount at even gaps.
 
-    by, vendor_key, side, n, avg_amount, cadence_days, cadence_label, occurrences (row numbers in order), next_predicted_date; the
-    cluster holds amounts within the larger of tolerance and share of the group's mean.
+    by, vendor_key, side, n, avg_amount, cadence_days, cadence_label, occurrences (row numbers in order), next_predicted_date and place,
+    the group's rank among those of by: more rows first, then the larger mean, then the one that is seen first. The cluster holds
+    amounts within the larger of tolerance and share of the group's mean.
     """
     from ..functions.columns import cadence_label, side, vendor_key
 
@@ -93,14 +95,19 @@ def recurring_groups(t: DataFrame, min_occurrences: int = 3, tolerance: float =
     d = t.where(F.col("deposit").isNotNull() | F.col("withdrawal").isNotNull())
     d = d.select(*by, vendor_key("description", "vendor").alias("vendor_key"), side().alias("side"), "tx_index", "tx_date", amount().alias("a")).where("vendor_key <> ''")
     g = Window.partitionBy(*key)
-    d = d.withColumns({"_n": F.count("*").over(g), "_mean": F.avg("a").over(g)}).where(F.col("_n") >= min_occurrences)
+    d = d.withColumns({"_n": F.count("*").over(g), "_mean": F.avg("a").over(g), "_seen": F.min("tx_index").over(g)}).where(F.col("_n") >= min_occurrences)
     d = d.where(F.abs(F.col("a") - F.col("_mean")) <= F.greatest(F.lit(tolerance).cast("decimal(18,6)"), F.abs(F.col("_mean")) * F.lit(share).cast("decimal(6,4)")))
     d = d.withColumn("gap", F.datediff("tx_date", F.lag("tx_date").over(g.orderBy(F.col("tx_date").asc_nulls_first(), "tx_index"))))
     r = d.groupBy(*key).agg(
-        F.count("*").alias("n"), F.count("tx_date").alias("dated"), F.round(F.avg("a"), 2).alias("avg_amount"), F.percentile("gap", 0.5).alias("cadence_days"),
+        F.count("*").alias("n"), F.count("tx_date").alias("dated"), F.avg("a").alias("_avg"), F.min("_seen").alias("_seen"),
         F.min("gap").alias("low"), F.max("gap").alias("high"), F.max("tx_date").alias("last"), F.sort_array(F.collect_list("tx_index")).alias("occurrences"),
     )
-    r = r.where((F.col("n") >= min_occurrences) & (F.col("dated") >= min_occurrences) & (F.col("cadence_days") >= 2))
+    middle = exact_quantile(d, tuple(key), F.col("gap"), name="cadence_days").select(*[F.col(c).alias(f"_{c}") for c in key], "cadence_days")
+    same = F.lit(True)
+    for c in key:
+        same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+    r = r.where((F.col("n") >= min_occurrences) & (F.col("dated") >= min_occurrences)).join(middle, same).where(F.col("cadence_days") >= 2)
     r = r.where((F.col("low") <= 0) | (F.col("high") / F.col("low") <= 4))
-    return r.select(*key, "n", "avg_amount", "cadence_days", cadence_label("cadence_days").alias("cadence_label"), "occurrences",
-                    F.date_add("last", F.bround("cadence_days").cast("int")).alias("next_predicted_date"))
+    rank = Window.partitionBy(*by).orderBy(F.desc("n"), F.desc("_avg"), "_seen", "vendor_key", "side")
+    return r.select(*key, "n", F.round("_avg", 2).alias("avg_amount"), "cadence_days", cadence_label("cadence_days").alias("cadence_label"), "occurrences",
+                    F.date_add("last", F.bround("cadence_days").cast("int")).alias("next_predicted_date"), F.row_number().over(rank).alias("place"))

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from ..sources.keyed import KeyedTable
+from .scan import scan
 
 CACHE_DAYS, AUDIT_LIMIT = 30, 50
-#: Numbers of a call's time that are summed together by the spend guard: seconds of an hour.
-SPAN = 3600
 
 
 def keep_last(df: DataFrame, keys: list[str], *order) -> DataFrame:
@@ -53,6 +53,37 @@ def cache_expire(cache: DataFrame, now, days: int = CACHE_DAYS) -> DataFrame:
     return cache.where(F.col("created_at") >= F.lit(now).cast("timestamp") - F.expr(f"INTERVAL {days} DAYS"))
 
 
+class StatementCache:
+    """The cache as a stored table (see KeyedTable): key, created_at, reconciled, payload. A change rewrites the buckets of its keys."""
+
+    def __init__(self, spark, path: str, buckets: int = 1024):
+        self.table = KeyedTable(spark, path, "key", buckets)
+
+    def put(self, rows: DataFrame) -> int:
+        """Store the reconciled rows, in place of older ones of their keys; of several new ones of a key the last."""
+        return self.table.upsert(rows.where("reconciled"), ("created_at",))
+
+    def get(self, keys: DataFrame) -> DataFrame:
+        """The stored rows of keys (column key)."""
+        return self.table.read().join(keys.select("key").distinct(), "key", "left_semi")
+
+    def keys(self, limit: int = 200) -> DataFrame:
+        return cache_keys(self.table.read(), limit)
+
+    def stats(self) -> DataFrame:
+        return cache_stats(self.table.read())
+
+    def delete(self, key: str) -> int:
+        return self.table.delete(self.table.spark.createDataFrame([(key,)], "key string"))
+
+    def clear(self) -> int:
+        return self.table.clear()
+
+    def expire(self, now, days: int = CACHE_DAYS) -> int:
+        """Take out rows that are older than days; rows without a time stay."""
+        return self.table.delete_where(F.col("created_at") < F.lit(now).cast("timestamp") - F.expr(f"INTERVAL {days} DAYS"))
+
+
 def audit_append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
@@ -119,32 +150,13 @@ def telemetry_errors(calls: DataFrame) -> DataFrame:
 def spend_guard(calls: DataFrame, cap: float | None, warn: float = 0.8, by: tuple[str, ...] = ("budget",), order: tuple[str, ...] = ("ts", "call_id")) -> DataFrame:
     """Running spend per budget: warns is true once, at the first call past the share; breach where the cap is exceeded; no cap, no limit.
 
-    A budget's hours (SPAN, where the first of order is a number) are summed first and the sums run over the hours, so that no task
-    sorts more than one budget's hour of calls, or its hours. A null cost is none; nulls of order come first.
+    A budget of any number of calls takes all tasks. A null cost is none; nulls of order come first.
     """
-    keys = [f"_k{i}" for i in range(len(by) + 1)]
-    time, kind = F.col(order[0]), calls.schema[order[0]].dataType
-    if isinstance(kind, T.NumericType):
-        time = F.floor(time / SPAN)
-    elif isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-        time = F.date_trunc("hour", time)
-    d = calls.withColumns({k: F.col(c) for k, c in zip(keys, by, strict=False)} | {keys[-1]: time})
-    hours = d.groupBy(*keys).agg(F.sum("cost_usd").alias("_cost"))
-    before = Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
-    hours = hours.select(*[F.col(k).alias(f"_h{k}") for k in keys], F.sum("_cost").over(before).alias("_before"))
-    same = [F.col(k).eqNullSafe(F.col(f"_h{k}")) for k in keys]
-    d = d.join(hours, same).drop(*hours.columns[:-1])
-    w = Window.partitionBy(*keys).orderBy(*order)
-    total = F.sum("cost_usd")
-    kind = calls.select(total).schema[0].dataType
-
-    def spent(last: int) -> Column:
-        inside, zero = total.over(w.rowsBetween(Window.unboundedPreceding, last)), F.lit(0).cast(kind)
-        both = F.coalesce("_before", zero) + F.coalesce(inside, zero)
-        return F.when(F.col("_before").isNotNull() | inside.isNotNull(), both).cast(kind)
-
+    kind = calls.select(F.sum("cost_usd")).schema[0].dataType
+    cost = F.col("cost_usd").cast(kind)
+    d = scan(calls, by, order, {"spent": cost})
     limit = F.lit(cap).cast("double")
     past = lambda c: F.coalesce(c >= limit * warn, F.lit(False))
-    d = d.withColumns({"spent": spent(0), "_was": spent(-1)}).withColumn("warns", past(F.col("spent")) & ~past(F.col("_was")))
-    d = d.withColumns({"breach": F.coalesce(F.col("spent") > limit, F.lit(False)), "remaining": F.greatest(F.lit(0.0), limit - F.col("spent"))})
-    return d.drop(*keys, "_before", "_was")
+    zero = F.lit(0).cast(kind)
+    d = d.withColumn("warns", past(F.col("spent")) & ~past(F.col("spent") - F.coalesce(cost, zero)))
+    return d.withColumns({"breach": F.coalesce(F.col("spent") > limit, F.lit(False)), "remaining": F.greatest(F.lit(0.0), limit - F.col("spent"))})

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import MONEY, clean_text, html_text, iso_date, printable_share, strip
+from .scratch import stored
 
 _MONEY = T.DecimalType(18, 2)
 TRANSACTION = T.StructType(
@@ -78,11 +79,30 @@ def text_quality_gate(df: DataFrame, column: str, min_chars: int = 500, min_prin
 
 
 def read_statements_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """Nested statements with doc_pos (by file and place) and statement_id; a broken file fails the read.
+    """Nested statements with doc_pos (by file and place) and statement_id; a broken file fails the read (see read_or_quarantine).
 
     A file is one statement or a list of them; with lines, a statement a line, as write_statements_json writes.
     """
-    d = spark.read.schema(STATEMENT).option("multiLine", not lines).option("mode", "FAILFAST").json(path).withColumn("_file", F.col("_metadata.file_path"))
+    return _named(spark.read.schema(STATEMENT).option("multiLine", not lines).option("mode", "FAILFAST").json(path).withColumn("_file", F.col("_metadata.file_path")))
+
+
+def read_or_quarantine(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(statements, broken): statements as read_statements_json gives them, and path, reason and raw of what can't be read.
+
+    A file (with lines: a line) that is no JSON, or that has a value of another type, is broken; all others go on. Places count
+    the good statements of a file only.
+    """
+    schema = T.StructType([*STATEMENT.fields, T.StructField("_broken", T.StringType())])
+    d = spark.read.schema(schema).option("multiLine", not lines).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_broken").json(path)
+    # Stored: whether a record is broken is known only where all of it is read, which a later selection of columns would change.
+    d = stored(d.withColumn("_file", F.col("_metadata.file_path")))
+    parsed = F.try_parse_json("_broken")
+    reason = F.when(parsed.isNull(), "not JSON").otherwise("a value of another type")
+    broken = d.where(F.col("_broken").isNotNull()).select(F.col("_file").alias("path"), reason.alias("reason"), F.col("_broken").alias("raw"))
+    return _named(d.where(F.col("_broken").isNull()).drop("_broken")), broken
+
+
+def _named(d: DataFrame) -> DataFrame:
     for n in ("reconciliation", "anomalies", "recurring"):
         d = d.withColumn(n, F.coalesce(n, "_" + n)).drop("_" + n)
     start, last4 = F.col("account.period.start"), F.coalesce("account.account_last4", F.lit("none"))

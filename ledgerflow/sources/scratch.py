@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession) -> str:
@@ -20,3 +20,10 @@ def scratch(spark: SparkSession) -> str:
     hadoop = sc._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
     return path
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written below spark.checkpoint.dir and read back: its lineage ends there, and a lost executor loses nothing."""
+    spark, schema, path = df.sparkSession, df.schema, scratch(df.sparkSession)
+    df.write.parquet(path)
+    return spark.read.schema(schema).parquet(path)

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.checks import reconcile
+from ..operators.checks import reconcile_totals, statement_totals
+from ..sources.keyed import KeyedTable
 
 EVENT = "job_id string, ts timestamp, event string, data string"
 DONE, FAILED = "done", "error"
@@ -88,9 +89,10 @@ def event_elapsed(df: DataFrame) -> DataFrame:
     """elapsed_s since the job's first event, and a one-line summary of the known keys in the data."""
     w = Window.partitionBy("job_id")
     micros = F.unix_micros("ts") - F.min(F.unix_micros("ts")).over(w)
-    parts = [F.when(F.get_json_object("data", f"$.{k}").isNotNull(), F.concat(F.lit(k + "="), F.get_json_object("data", f"$.{k}"))) for k in SUMMARY_KEYS]
+    held = df.withColumn("_d", F.from_json("data", "map<string, string>"))  # parsed once; what is no object has no line
+    parts = [F.when(F.col("_d")[k].isNotNull(), F.concat(F.lit(k + "="), F.col("_d")[k])) for k in SUMMARY_KEYS]
     line = F.concat_ws(" ", *parts)
-    return df.withColumns({"elapsed_s": F.floor((micros + 5000) / 10_000) / 100, "summary": F.when(line != "", line).otherwise(F.col("data"))})
+    return held.withColumns({"elapsed_s": F.floor((micros + 5000) / 10_000) / 100, "summary": F.when(line != "", line).otherwise(F.col("data"))}).drop("_d")
 
 
 def job_ttl_evict(jobs: DataFrame, now, ttl_seconds: int = 3600, max_jobs: int = 1024) -> DataFrame:
@@ -113,46 +115,41 @@ def streaming_spend(calls: DataFrame, cap: float | None, warn: float = 0.8) -> D
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         micros, warned = state.get if state.exists else (0, False)  # whole millionths of a dollar, so sums are exact
         rows = pd.concat(list(batches)).sort_values(["ts", "call_id"])
-        out = []
-        for cost in rows["cost_usd"]:
-            micros += round(float(cost) * 1_000_000)
-            spent = micros / 1_000_000
-            past = cap is not None and spent >= cap * warn
-            out.append((key[0], spent, past and not warned, cap is not None and spent > cap))
-            warned = warned or past
-        state.update((micros, warned))
-        yield pd.DataFrame(out, columns=["budget", "spent", "warns", "breach"])
+        total = micros + (rows["cost_usd"].fillna(0).astype(float) * 1_000_000).round().astype("int64").cumsum()
+        spent = total / 1_000_000
+        past = spent >= cap * warn if cap is not None else spent.isna()
+        first = past & ~past.shift(fill_value=warned).astype(bool)
+        state.update((int(total.iloc[-1]), bool(past.iloc[-1]) or warned))
+        yield pd.DataFrame({"budget": key[0], "spent": spent, "warns": first & ~past.shift(fill_value=warned).cummax().astype(bool), "breach": spent > cap if cap is not None else False})
 
     return calls.groupBy("budget").applyInPandasWithState(step, SPEND, "micros long, warned boolean", "append", GroupStateTimeout.NoTimeout)
 
 
 def streaming_reconcile(s: DataFrame, t_stream: DataFrame, path: str, checkpoint: str, buckets: int = 256):
-    """Start a query that lands new transactions under path/transactions and rewrites path/reconciliation/batch=N for the statements touched.
+    """Start a query that keeps the reconciliation of all statements seen under path, as a table by statement (see KeyedTable).
 
-    Transactions lie in folders by a hash of their statement; a batch reads again only the folders of the statements it touches.
+    The stream's state holds each statement's sums and counts, and a batch adds what its own rows change; no earlier row is read
+    again. A row whose sign is -1 takes back an equal row of before, so a correction is two rows: the old one with -1, the new one
+    with 1. Without a column sign all rows count as 1. A batch that runs again finds the same totals and writes the same rows.
     """
-    bucket = F.pmod(F.xxhash64("statement_id"), F.lit(buckets)).cast("int")
+    sign = F.coalesce(F.col("sign"), F.lit(1)) if "sign" in t_stream.columns else F.lit(1)
+    totals = statement_totals(t_stream, sign)
 
     def land(batch: DataFrame, n: int) -> None:
-        spark = batch.sparkSession
-        batch = batch.persist()
-        batch.withColumns({"bucket": bucket, "batch": F.lit(n)}).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(f"{path}/transactions")
-        touched = batch.select("statement_id").distinct()
-        asked = [r["b"] for r in touched.select(bucket.alias("b")).distinct().collect()]  # buckets numbers at most
-        if not asked:
-            batch.unpersist()
-            return
-        rows = spark.read.parquet(f"{path}/transactions").where(F.col("bucket").isin(asked)).drop("batch", "bucket").join(touched, "statement_id", "left_semi")
-        reconcile(s.join(touched, "statement_id", "left_semi"), rows).write.mode("overwrite").parquet(f"{path}/reconciliation/batch={n}")
-        batch.unpersist()
+        fresh = batch.persist()
+        try:
+            known = s.join(fresh.select("statement_id"), "statement_id", "left_semi")
+            found = reconcile_totals(known, fresh).withColumn("batch", F.lit(n).cast("long"))
+            KeyedTable(batch.sparkSession, f"{path}/reconciliation", "statement_id", buckets).upsert(found)
+        finally:
+            fresh.unpersist()
 
-    return t_stream.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return totals.writeStream.outputMode("update").foreachBatch(land).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def latest_reconciliation(spark: SparkSession, path: str) -> DataFrame:
-    """The newest row of each statement."""
-    d = spark.read.parquet(f"{path}/reconciliation")
-    return d.groupBy("statement_id").agg(F.max_by(F.struct(*[c for c in d.columns if c != "statement_id"]), "batch").alias("r")).select("statement_id", "r.*").drop("batch")
+    """The row of each statement as of the last batch."""
+    return KeyedTable(spark, f"{path}/reconciliation", "statement_id").read().drop("batch")
 
 
 def event_row(job_id: str, ts: str, event: str, **data) -> str:
