@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerflow.llm import decontam, licenses, line_chunks, packing, quality, queries, recompression, simhash, slots, token_blocks, url_filters
+from ledgerflow.llm import decontam, licenses, line_chunks, near_copies, packing, quality, queries, recompression, simhash, slots, token_blocks, url_filters
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 EDGE = [None, "", " \n\t ", "one", "one two", "a b c", "x" * 3000, "the of and " * 400, "é ü ñ 日本 🙂 words", "\n\n\n", "tab\tand\x0bvt\x0cff\rcr"]
@@ -240,7 +240,7 @@ def test_empty_tables(spark):
     word, byte = (public_tokenizers.path(n) for n in ("word_bpe_49k.json", "byte_bpe_50k.json"))
     for d in (
         quality.quality_rules(none), quality.passing(none), licenses.scan_licenses(none), line_chunks.remove_repeated_chunks(none), decontam.contaminated(none, bench), decontam.contaminated(frame(spark, ["a b"]), bench.limit(0)).where("contaminated"),
-        recompression.repeated_substrings(none), simhash.near_duplicates(none), simhash.one_of_each(none), token_blocks.token_files(none, word), packing.pack_documents(none, byte)[0], packing.packed_sequences(packing.pack_documents(none, byte)[1]),
+        recompression.repeated_substrings(none), simhash.near_duplicates(none), near_copies.one_of_each(none), token_blocks.token_files(none, word), packing.pack_documents(none, byte)[0], packing.packed_sequences(packing.pack_documents(none, byte)[1]),
     ):
         assert d.count() == 0
 
