@@ -84,7 +84,7 @@ def parse_rows(segments: DataFrame, keys: tuple[str, ...] = ("statement_id",)) -
     )
     doubt = F.when(F.col("tx_date").isNull(), 0.5).otherwise(0.0) + F.when(F.size("numbers") > 3, 0.2).otherwise(0.0)
     d = d.withColumns({"confidence": F.greatest(F.lit(0.0), 1.0 - doubt), "is_check": flag_checks("description"), "likely_marker": flag_markers("description")})
-    return d.select(*keys, "row_pos", "tx_date", "description", "amounts", "balance", "raw", "confidence", "is_check", "likely_marker")
+    return d.select(*keys, "row_pos", "tx_date", "description", "amounts", "balance", strip(F.col("raw")).alias("raw"), "confidence", "is_check", "likely_marker")
 
 
 def filter_transactions(raw: DataFrame) -> DataFrame:

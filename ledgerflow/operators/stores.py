@@ -154,9 +154,10 @@ def spend_guard(calls: DataFrame, cap: float | None, warn: float = 0.8, by: tupl
     """
     kind = calls.select(F.sum("cost_usd")).schema[0].dataType
     cost = F.col("cost_usd").cast(kind)
-    d = scan(calls, by, order, {"spent": cost})
+    known = F.col("cost_usd").isNotNull().cast("int")
+    d = scan(calls, by, order, {"spent": cost, "_known": known})
     limit = F.lit(cap).cast("double")
     past = lambda c: F.coalesce(c >= limit * warn, F.lit(False))
-    zero = F.lit(0).cast(kind)
-    d = d.withColumn("warns", past(F.col("spent")) & ~past(F.col("spent") - F.coalesce(cost, zero)))
+    was = F.when(F.col("_known") > known, F.col("spent") - F.coalesce(cost, F.lit(0).cast(kind)))  # nothing before the first cost
+    d = d.withColumn("warns", past(F.col("spent")) & ~past(was)).drop("_known")
     return d.withColumns({"breach": F.coalesce(F.col("spent") > limit, F.lit(False)), "remaining": F.greatest(F.lit(0.0), limit - F.col("spent"))})

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import analytics, checks, forensic, parsing, stores
+from ..operators.quantile import exact_quantile
+from ..operators.scan import scan
 from ..sources import files
 from ..sources.scratch import scratch
 from ..streaming import events as streaming
@@ -186,15 +190,15 @@ def forensic_calendar_counts(spark, sf):
 
 
 @query("""_k AS (SELECT account_last4, substr(lower(trim(category)), 1, 40) AS vendor_key, CASE WHEN deposit IS NOT NULL THEN 'D' ELSE 'W' END AS side, o_orderkey, tx_date, coalesce(deposit, withdrawal) AS a FROM tx),
-_m AS (SELECT *, count(*) OVER g AS c, avg(a) OVER g AS m FROM _k WINDOW g AS (PARTITION BY account_last4, vendor_key, side)),
+_m AS (SELECT *, count(*) OVER g AS c, avg(a) OVER g AS m, min(o_orderkey) OVER g AS seen FROM _k WINDOW g AS (PARTITION BY account_last4, vendor_key, side)),
 _f AS (SELECT *, date_diff('day', lag(tx_date) OVER (PARTITION BY account_last4, vendor_key, side ORDER BY tx_date, o_orderkey), tx_date) AS gap FROM _m WHERE c >= 3 AND abs(a - m) <= greatest(1.0, 0.05 * abs(m)))
 SELECT account_last4, vendor_key, side, n, avg_amount, places, cadence_days, CASE WHEN cadence_days BETWEEN 5 AND 9 THEN 'weekly' WHEN cadence_days BETWEEN 12 AND 16 THEN 'fortnightly' WHEN cadence_days BETWEEN 27 AND 33 THEN 'monthly' WHEN cadence_days BETWEEN 86 AND 95 THEN 'quarterly' ELSE 'irregular' END AS cadence_label,
-  (l + round_even(cadence_days, 0)::INT)::VARCHAR AS next_predicted_date
-FROM (SELECT account_last4, vendor_key, side, count(*) AS n, round(avg(a)::DOUBLE, 2) AS avg_amount, string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey) AS places, median(gap) AS cadence_days, min(gap) AS lo, max(gap) AS hi, max(tx_date) AS l FROM _f GROUP BY ALL) WHERE n >= 3 AND cadence_days >= 2 AND (lo <= 0 OR hi / lo <= 4)""")
+  (l + round_even(cadence_days, 0)::INT)::VARCHAR AS next_predicted_date, row_number() OVER (PARTITION BY account_last4 ORDER BY n DESC, mean DESC, seen, vendor_key, side)::INT AS place
+FROM (SELECT account_last4, vendor_key, side, count(*) AS n, round(avg(a)::DOUBLE, 2) AS avg_amount, avg(a) AS mean, min(seen) AS seen, string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey) AS places, median(gap) AS cadence_days, min(gap) AS lo, max(gap) AS hi, max(tx_date) AS l FROM _f GROUP BY ALL) WHERE n >= 3 AND cadence_days >= 2 AND (lo <= 0 OR hi / lo <= 4)""")
 def recurring_by_account(spark, sf):
     t = _tx(spark, sf).withColumns({"vendor": F.col("category"), "tx_index": F.col("o_orderkey")})
     d = forensic.recurring_groups(t, by=("account_last4",))
-    return _plain(d.select("account_last4", "vendor_key", "side", "n", F.round(F.col("avg_amount").cast("double"), 2).alias("avg_amount"), F.array_join("occurrences", ",").alias("places"), "cadence_days", "cadence_label", "next_predicted_date"))
+    return _plain(d.select("account_last4", "vendor_key", "side", "n", F.round(F.col("avg_amount").cast("double"), 2).alias("avg_amount"), F.array_join("occurrences", ",").alias("places"), "cadence_days", "cadence_label", "next_predicted_date", "place"))
 
 
 _DIFF = """_a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY statement_id, tx_date, deposit IS NULL, coalesce(deposit, withdrawal), substr(description, 1, 60) ORDER BY tx_index DESC) AS n FROM tx) WHERE n = 1),
@@ -555,35 +559,42 @@ def apply_enrichment(spark, sf):
     return parsing.apply_enrichment(t, items).select("statement_id", "tx_index", "category", "vendor", "confidence")
 
 
-@query("SELECT statement_id, tx_index, keep FROM (SELECT statement_id, tx_index, TRUE AS keep FROM tx WHERE tx_index % 4 <> 0 UNION ALL SELECT statement_id, tx_index, FALSE FROM tx WHERE tx_index % 4 = 0)")
+@query("""SELECT statement_id, tx_index, tx_index % 4 <> 0 AS keep, CASE WHEN tx_index % 4 <> 0 THEN deposit END::DOUBLE AS deposit, CASE WHEN tx_index % 4 <> 0 THEN withdrawal END::DOUBLE AS withdrawal,
+  CASE WHEN tx_index % 4 = 0 THEN 'marker ' || description END AS said FROM tx""")
 def apply_row_verdicts(spark, sf):
     t = _tx(spark, sf)
     c = t.select("statement_id", "tx_index", "tx_date", "description", C.amount().alias("amount"), F.lit(None).cast("string").alias("side"))
     v = t.select("statement_id", "tx_index", (F.col("tx_index") % 4 != 0).alias("keep"), C.side().alias("side"), F.lit("marker").alias("reason"))
     kept, skipped = parsing.apply_row_verdicts(c, v)
-    return kept.select("statement_id", "tx_index", F.lit(True).alias("keep")).unionByName(skipped.select("statement_id", "tx_index", F.lit(False).alias("keep")))
+    kept = kept.select("statement_id", "tx_index", F.lit(True).alias("keep"), "deposit", "withdrawal", F.lit(None).cast("string").alias("said"))
+    skipped = skipped.select("statement_id", "tx_index", F.lit(False).alias("keep"), F.concat_ws(" ", "reason", "raw").alias("said"))
+    return _plain(kept.unionByName(skipped, allowMissingColumns=True))
+
+
+def _whole_words(pattern: str) -> str:
+    """The pattern for DuckDB, whose word boundaries know ASCII letters only."""
+    return re.sub(r"\\b(?=[A-Z(])", r"(?:^|[^\\p{L}\\p{N}_])", pattern).replace(r"\b", r"(?:[^\p{L}\p{N}_]|$)")
 
 
 _PHRASES = ("TRNSFR out", "CHECK #40788", "Mobile deposit", "atm deposit", "payroll run", "WIRE OUT", "amex epay", "SBA loan", "interest paid", "Service charge", "irs usataxpymt", "PAYABLES 1", "ach vendor", "")
-_PHRASE = f"concat(list_element([{', '.join(repr(x) for x in _PHRASES)}], cast(doc_id % {len(_PHRASES)} + 1 AS INT)), ' ', left(text, 200))"
+_PHRASE = f"concat(list_element([{', '.join(repr(x) for x in _PHRASES)}], cast(doc_id % {len(_PHRASES)} + 1 AS INT)), ' ', text)"
 
 
-@query(f"SELECT doc_id, CASE {' '.join(f'WHEN regexp_matches(t, {p!r}) THEN {name!r}' for name, p in C.CATEGORY_RULES).replace(chr(92) * 2, chr(92))} ELSE 'OTHER' END AS category FROM (SELECT doc_id, {_PHRASE} AS t FROM documents)", view=False)
+@query(f"SELECT doc_id, CASE {' '.join(f'WHEN regexp_matches(t, {_whole_words(p)!r}) THEN {name!r}' for name, p in C.CATEGORY_RULES).replace(chr(92) * 2, chr(92))} ELSE 'OTHER' END AS category FROM (SELECT doc_id, {_PHRASE} AS t FROM documents)", view=False)
 def categorise(spark, sf):
-    text = F.concat(F.element_at(F.array(*map(F.lit, _PHRASES)), (F.col("doc_id") % len(_PHRASES) + 1).cast("int")), F.lit(" "), F.left("text", F.lit(200)))
+    text = F.concat(F.element_at(F.array(*map(F.lit, _PHRASES)), (F.col("doc_id") % len(_PHRASES) + 1).cast("int")), F.lit(" "), F.col("text"))
     return ledger.table(spark, sf, "documents").select("doc_id", C.categorise(text).alias("category"))
 
 
 @query("SELECT statement_id, tx_index, CASE vendor WHEN 'BUILDING' THEN 'Building Co' WHEN 'MACHINERY' THEN 'Machinery Inc' END AS canonical_name FROM tx")
 def vendor_lookup(spark, sf):
     seed = spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(k).alias("key"), F.lit(v).alias("canonical_name")) for k, v in (("build", "Building Co"), ("b", "B"), ("Machinery", "Machinery Inc"))])).alias("x")).select("x.*")
-    seed = seed.where("key <> 'b'")
     return parsing.vendor_lookup(_tx(spark, sf), seed).select("statement_id", "tx_index", "canonical_name")
 
 
-@query("SELECT statement_id, tx_index, 'order ' || trim(lower(CASE WHEN o_orderkey >= 1000 THEN '' ELSE o_orderkey::VARCHAR END || ' ' || regexp_replace(category, '[^A-Za-z0-9 ]', ' ', 'g'))) AS vendor_key FROM tx")
+@query("SELECT statement_id, tx_index, CASE WHEN o_orderkey % 3 = 0 THEN lower(vendor) ELSE 'order ' || trim(lower(CASE WHEN o_orderkey >= 1000 THEN '' ELSE o_orderkey::VARCHAR END || ' ' || regexp_replace(category, '[^A-Za-z0-9 ]', ' ', 'g'))) END AS vendor_key FROM tx")
 def vendor_key(spark, sf):
-    d = _tx(spark, sf).select("statement_id", "tx_index", C.vendor_key("description", F.lit(None).cast("string")).alias("vendor_key"))
+    d = _tx(spark, sf).select("statement_id", "tx_index", C.vendor_key("description", F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("  "), F.col("vendor"), F.lit(" ")))).alias("vendor_key"))
     return d
 
 
@@ -613,10 +624,11 @@ def job_lifecycle(spark, sf):
     return streaming.job_lifecycle(ledger.job_events(spark, sf)).select("job_id", "status", "n_events")
 
 
-@query("SELECT job_id, event, data, ((epoch_us(ts) - epoch_us(min(ts) OVER (PARTITION BY job_id)) + 5000) // 10000) / 100.0::DOUBLE AS elapsed_s FROM jobev")
+@query("SELECT job_id, event, data, ((epoch_us(ts) - epoch_us(min(ts) OVER (PARTITION BY job_id)) + 5000) // 10000) / 100.0::DOUBLE AS elapsed_s, 'label=' || event || ' count=' || (epoch_us(ts) % 7)::VARCHAR AS summary FROM jobev")
 def event_elapsed(spark, sf):
-    d = streaming.event_elapsed(ledger.job_events(spark, sf))
-    return d.select("job_id", "event", "data", "elapsed_s")
+    jobs = ledger.job_events(spark, sf).withColumn("raw", F.col("data"))
+    d = streaming.event_elapsed(jobs.withColumn("data", F.to_json(F.struct((F.unix_micros("ts") % 7).alias("count"), F.col("event").alias("label"), F.lit("x").alias("other")))))
+    return d.select("job_id", "event", F.col("raw").alias("data"), "elapsed_s", "summary")
 
 
 @query("SELECT account_last4, tx_index, tx_date::VARCHAR AS tx_date, description, deposit::DOUBLE AS deposit, withdrawal::DOUBLE AS withdrawal, category FROM tx")
@@ -766,6 +778,49 @@ def job_ttl_evict(spark, sf):
     return streaming.job_ttl_evict(jobs, "2024-01-31 00:00:00", ttl_seconds=3 * 86_400, max_jobs=120).select("job_id")
 
 
+@query("""_b AS (SELECT statement_id, regexp_extract(coalesce(deposit, withdrawal)::VARCHAR, '[1-9]') AS d FROM tx), _n AS (SELECT statement_id, count(*) AS n FROM _b WHERE d <> '' GROUP BY 1 HAVING count(*) >= 50),
+_g AS (SELECT statement_id, max(abs(coalesce(c, 0) / n::DOUBLE - log10(1 + 1.0::DOUBLE / k))) AS drift FROM (SELECT statement_id, n, unnest(range(1, 10))::INT AS k FROM _n) LEFT JOIN (SELECT statement_id, d::INT AS k, count(*) AS c FROM _b WHERE d <> '' GROUP BY ALL) USING (statement_id, k) GROUP BY 1),
+_v AS (SELECT statement_id, max(v) AS top, sum(v) AS t FROM (SELECT statement_id, vendor, sum(withdrawal) AS v FROM tx WHERE withdrawal IS NOT NULL AND trim(vendor) <> '' GROUP BY ALL) GROUP BY 1),
+_d AS (SELECT statement_id, tx_date, count(*) AS n FROM tx GROUP BY ALL), _m AS (SELECT statement_id, median(n) AS m FROM _d GROUP BY 1),
+_r AS (SELECT statement_id, count(*) AS n, count(*) FILTER (withdrawal % 100 = 0) AS e FROM tx WHERE withdrawal >= 1000 GROUP BY 1),
+_u AS (SELECT statement_id, 'benford' AS rule FROM _g WHERE drift > 0.05 UNION ALL SELECT statement_id, 'vendor_concentration' FROM _v WHERE t > 10000 AND top > 0.35 * t
+ UNION ALL SELECT statement_id, 'velocity' FROM _d JOIN _m USING (statement_id) WHERE n > greatest(floor(3 * m), 10) UNION ALL SELECT statement_id, 'weekend' FROM tx WHERE isodow(tx_date) >= 6
+ UNION ALL SELECT statement_id, 'holiday' FROM tx WHERE isodow(tx_date) < 6 AND strftime(tx_date, '%m-%d') IN ('01-01', '07-04') UNION ALL SELECT statement_id, 'round_numbers' FROM _r WHERE n >= 20 AND e / n > 0.2)
+SELECT statement_id, rule, count(*) AS n FROM _u GROUP BY ALL""")
+def forensic_rule_counts(spark, sf):
+    """All six rules, whole tables, default limits."""
+    return forensic.detect_forensic(_tx(spark, sf), _holidays(spark)).groupBy("statement_id", "rule").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, sum(l_quantity) OVER w AS shipped, row_number() OVER w AS place, lag(l_shipdate::DATE) OVER w::VARCHAR AS before
+ FROM lineitem WINDOW w AS (PARTITION BY l_returnflag ORDER BY l_shipdate, l_orderkey, l_linenumber, l_quantity ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""", view=False)
+def running_quantity(spark, sf):
+    """Three groups of a third of all rows each: the prefix scan over many tasks."""
+    d = ledger.table(spark, sf, "lineitem").select("l_returnflag", "l_shipdate", "l_orderkey", "l_linenumber", "l_quantity")
+    d = scan(d, ("l_returnflag",), ("l_shipdate", "l_orderkey", "l_linenumber", "l_quantity"), {"shipped": F.col("l_quantity")}, {"before": F.col("l_shipdate")}, "place")
+    return d.select("l_orderkey", "l_linenumber", F.col("shipped").cast("double").alias("shipped"), "place", F.col("before").cast("date").cast("string").alias("before"))
+
+
+@query("SELECT l_returnflag, quantile_cont(l_extendedprice::DOUBLE, 0.5) AS price FROM lineitem GROUP BY 1", view=False)
+def median_prices(spark, sf):
+    """Exact medians of three groups of a third of all rows each."""
+    return exact_quantile(ledger.table(spark, sf, "lineitem"), ("l_returnflag",), F.col("l_extendedprice"), name="price")
+
+
+@query("""WITH _e AS (SELECT 'k' || (user_id % 700)::VARCHAR AS key, event_id, props, value FROM events), _p AS (SELECT * FROM _e WHERE value > 5),
+_l AS (SELECT key, max(event_id) FILTER (event_id % 10 = 0) AS late, max(event_id) FILTER (event_id % 10 <> 0) AS early FROM _p GROUP BY 1)
+SELECT _p.key, _p.event_id, props AS payload FROM _l JOIN _p ON _p.event_id = coalesce(late, early) WHERE _p.key <> 'k7' AND _p.event_id >= 500""", view=False)
+def cache_table(spark, sf):
+    """Two puts into a stored cache, a delete and an expiry."""
+    e = ledger.table(spark, sf, "events").select(F.concat(F.lit("k"), (F.col("user_id") % 700).cast("string")).alias("key"), F.timestamp_seconds("event_id").alias("created_at"), (F.col("value") > 5).alias("reconciled"), F.col("props").alias("payload"), "event_id")
+    cache = stores.StatementCache(spark, scratch(spark), 64)
+    cache.put(e.where("event_id % 10 <> 0"))
+    cache.put(e.where("event_id % 10 = 0"))
+    cache.delete("k7")
+    cache.expire("1970-01-31 00:08:20")
+    return cache.table.read().select("key", "event_id", "payload")
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
