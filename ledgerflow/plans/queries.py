@@ -214,6 +214,12 @@ def diff_extractions(spark, sf):
     return analytics.diff_rows(t, ledger.extraction_b(spark, t)).select("statement_id", "k_desc", "status", F.array_join(F.transform(F.map_entries("fields"), lambda e: F.concat(e["key"], F.lit(":"), e["value"]["a"], F.lit(">"), e["value"]["b"])), ",").alias("fields"))
 
 
+@query(_DIFF + "SELECT statement_id, description AS k_desc, status FROM _j WHERE status <> 'common'")
+def diff_changes(spark, sf):
+    t = _tx(spark, sf)
+    return analytics.diff_changes(t, ledger.extraction_b(spark, t)).select("statement_id", "k_desc", "status")
+
+
 @query(_DIFF + "SELECT count(*) FILTER (status = 'only_a') AS only_a, count(*) FILTER (status = 'only_b') AS only_b, count(*) FILTER (status IN ('common', 'changed')) AS common, count(*) FILTER (status = 'changed') AS changed FROM _j")
 def diff_counts(spark, sf):
     t = _tx(spark, sf)

@@ -193,3 +193,13 @@ def test_job_board(spark, tmp_path):
     batch = events.job_lifecycle(spark.read.schema(events.EVENT).json(str(log))).where("job_id <> 'stuck'")  # it timed out
     want = {r["job_id"]: (r["status"], r["n_events"]) for r in events.job_ttl_evict(batch, "2025-01-01 05:58:30", 3600, 6).collect()}
     assert got == want and set(got) == {"open", "tick", "bad", "j5", "j4", "j3"}
+
+
+def test_changes_of_large_extractions(spark):
+    t = ledger.transactions(spark, SF)
+    b = t.where("o_orderkey % 700 <> 1").withColumn("category", F.when(F.col("o_orderkey") % 800 == 2, "NEW").otherwise(F.col("category")))
+    key = lambda d: sorted((r["statement_id"], r["k_desc"], r["status"], str(r["fields"])) for r in d.collect())
+    want = key(analytics.diff_rows(t, b).where("status <> 'common'"))
+    assert key(analytics.diff_changes(t, b)) == want and len(want) > 1
+    assert key(analytics.diff_changes(t, b, buckets=3)) == want and key(analytics.diff_changes(b, b)) == []
+    assert len(key(analytics.diff_changes(t.limit(0), b))) == len(key(analytics.diff_rows(t.limit(0), b)))
