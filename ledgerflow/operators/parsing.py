@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import MONEY, account_hint, amount, categorise, collapse, flag_checks, flag_markers, infer_iso_date, injection_spans, money, side, strip, vendor_key
+from ..sources.scratch import stored
 
 # How statements write their balances, dates and amounts.
 BEGIN = r"(?i)Beginning Balance as of\s+(\d{2}/\d{2}/\d{4})"
@@ -185,14 +186,57 @@ def vendor_lookup(t: DataFrame, seed: DataFrame, vendor: str = "vendor") -> Data
     return t.join(best, F.col(vendor) == F.col("_v"), "left").drop("_v")
 
 
+def _page_keys(probe: Column) -> Column:
+    """Keys that each page with the probe has too: its inner words, else the cut between its two words, else one of its 4-grams.
+
+    On a page the first word may go on to the left and the last one to the right, so only words between two blanks are whole.
+    """
+    w = F.split(probe, " ")
+    inner = F.transform(F.array_distinct(F.slice(w, 2, F.greatest(F.size(w) - 2, F.lit(0)))), lambda x: F.concat(F.lit("w"), x))
+    cut = F.concat(F.lit("c"), F.right(F.get(w, F.lit(0)), F.lit(3)), F.lit(" "), F.left(F.get(w, F.lit(1)), F.lit(3)))
+    grams = F.transform(F.sequence(F.lit(1), F.length(probe) - 3), lambda i: F.concat(F.lit("g"), F.substr(probe, i, F.lit(4))))
+    two = (F.size(w) == 2) & (F.length(F.get(w, F.lit(0))) >= 3) & (F.length(F.get(w, F.lit(1))) >= 3)
+    return F.when(F.size(w) > 2, inner).when(two, F.array(cut)).otherwise(F.array(F.array_min(grams)))
+
+
+def _page_index(p: DataFrame, kinds: DataFrame) -> DataFrame:
+    """doc_id, page, key of pages (page_text), with the kinds of keys that the document's probes have."""
+    words = F.transform(F.array_distinct(F.split("page_text", " ")), lambda x: F.concat(F.lit("w"), x))
+    # Arrays that a lambda looks into are bound by one around it, so that they are made once a row.
+    cuts = F.expr("transform(array(split(page_text, ' ')), w -> array_distinct(transform(sequence(1, size(w)), i -> concat('c', right(w[i - 1], 3), ' ', left(get(w, i), 3)))))[0]")
+    grams = F.expr("transform(array(split(page_text, '')), c -> array_distinct(transform(sequence(0, greatest(size(c) - 4, 0)), i -> concat('g', c[i], get(c, i + 1), get(c, i + 2), get(c, i + 3)))))[0]")
+    none = F.array().cast("array<string>")
+    keys = F.concat(*[F.when(F.col(k), x).otherwise(none) for k, x in (("_w", words), ("_c", cuts), ("_g", grams))])
+    asked = p.where(F.length("page_text") >= 4).join(kinds, "doc_id")
+    return asked.select("doc_id", "page", F.explode(keys).alias("key")).where(F.col("key").isNotNull())
+
+
 def match_description_to_page(t: DataFrame, pages: DataFrame) -> DataFrame:
-    """doc_id, tx_index, page, matched: the page of the row's document that holds its first 60, 30 or 20 characters; the longest, then the lowest page."""
+    """doc_id, tx_index, page, matched: the page of the row's document that holds its first 60, 30 or 20 characters; the longest, then the lowest page.
+
+    Pages are met through an index of words (of cuts between words and of 4-grams for beginnings without a whole word); of a
+    beginning's keys the one on the fewest pages is followed, and pages are read only where it stands. Each distinct beginning is
+    looked up once. Descriptions of under 4 characters, and nulls, match nothing; a null page comes last.
+    """
     flat = lambda c: F.trim(collapse(F.upper(c)))
-    probes = F.explode(F.array_distinct(F.array(*[F.trim(F.substring(flat("description"), 1, n)) for n in (60, 30, 20)])))
-    p = t.select("doc_id", "tx_index", probes.alias("probe")).where(F.length("probe") >= 4)
-    j = p.join(pages.select("doc_id", "page", flat("text").alias("page_text")), "doc_id").where(F.col("page_text").contains(F.col("probe")))
-    best = F.min_by(F.struct("page", F.length("probe").alias("matched")), F.struct(-F.length("probe"), F.col("page")))
-    return j.groupBy("doc_id", "tx_index").agg(best.alias("b")).select("doc_id", "tx_index", "b.page", "b.matched")
+    rows = t.select("doc_id", "tx_index", F.substring(flat("description"), 1, 60).alias("head")).where(F.length("head") >= 4)
+    p = pages.select("doc_id", "page", flat("text").alias("page_text"))
+    heads = rows.select("doc_id", "head").distinct().withColumn("keys", _page_keys(F.trim(F.substring("head", 1, 20))))
+    heads = heads.select("doc_id", "head", F.size("keys").alias("n_keys"), F.explode("keys").alias("key"))
+    kinds = heads.groupBy("doc_id").agg(*[F.max(F.col("key").startswith(k)).alias(f"_{k}") for k in "wcg"])
+    index = stored(_page_index(p, kinds))
+    sizes = index.groupBy("doc_id", "key").agg(F.count("*").alias("n"))
+    rare = heads.join(sizes, ["doc_id", "key"]).groupBy("doc_id", "head", "n_keys").agg(F.count("*").alias("found"), F.min(F.struct("n", "key")).alias("k"))
+    rare = rare.where("found = n_keys").select("doc_id", "head", F.col("k.key").alias("key"))  # a page needs all of them
+    met = rare.join(index, ["doc_id", "key"]).select(F.col("doc_id").alias("_d"), "head", F.col("page").alias("_p")).distinct()
+    met = met.join(p, (F.col("_d") == F.col("doc_id")) & F.col("_p").eqNullSafe(F.col("page")))
+    probes = [F.trim(F.substring("head", 1, n)) for n in (60, 30, 20)]
+    matched = F.coalesce(*[F.when(F.col("page_text").contains(x), F.length(x)) for x in probes])
+    order = F.struct(-F.col("matched"), F.col("page").isNull(), F.col("page"))
+    met = met.select("doc_id", "head", "page", matched.alias("matched")).where("matched IS NOT NULL")
+    best = met.groupBy("doc_id", "head").agg(F.min_by(F.struct("page", "matched"), order).alias("b")).select("doc_id", "head", "b.*")
+    found = rows.join(best, ["doc_id", "head"]).groupBy("doc_id", "tx_index").agg(F.min_by(F.struct("page", "matched"), order).alias("b"))
+    return found.select("doc_id", "tx_index", "b.page", "b.matched")
 
 
 def find_injections(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -15,19 +15,20 @@ _PART, _N = "_scan_part", "_scan_n"
 
 
 def scan(
-    df: DataFrame, by: tuple[str, ...], order: tuple[str, ...], sums: dict[str, Column] | None = None, lags: dict[str, Column] | None = None, number: str | None = None, parts: int | None = None
+    df: DataFrame, by: tuple[str, ...], order: tuple[str, ...], sums: dict[str, Column] | None = None, lags: dict[str, Column] | None = None,
+    number: str | None = None, parts: int | None = None, path: str | None = None,
 ) -> DataFrame:
     """df with columns added: running sums (the row included), values of the row before, and the row's number from 1.
 
     by and order name columns; a null is a value of its own in by and comes first in order. Rows that are equal in all of order stand
     in any order. As in SQL, nulls add nothing to a sum, and a sum of nothing is null; the first row of a group has no row before it.
-    parts: how many runs, the session's shuffle partitions if not given.
+    parts: how many runs, the session's shuffle partitions if not given. path: where the runs are stored, if the caller deletes them.
     """
     sums, lags = sums or {}, lags or {}
     n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     held = df.select("*", *[c.alias(f"_scan_s{i}") for i, c in enumerate(sums.values())], *[c.alias(f"_scan_l{i}") for i, c in enumerate(lags.values())])
     # Stored, so that both passes below see the same runs.
-    held = stored(held.repartitionByRange(n, *by, *order).withColumn(_PART, F.spark_partition_id()))
+    held = stored(held.repartitionByRange(n, *by, *order).withColumn(_PART, F.spark_partition_id()), path)
     at, kinds = [F.col(c) for c in order], dict(held.dtypes)
     totals = [F.sum(f"_scan_s{i}").alias(f"_scan_t{i}") for i in range(len(sums))]
     if lags:

@@ -762,8 +762,9 @@ def dedupe_events_streamed(spark, sf):
   FROM (SELECT *, spent >= 4000 AS w FROM (SELECT *, sum(cost_usd) OVER (PARTITION BY budget ORDER BY ts, call_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS spent FROM calls))""")
 def streaming_spend(spark, sf):
     calls = ledger.calls(spark, sf).select("budget", "ts", "call_id", "cost_usd")
-    calls.write.parquet(path := scratch(spark))
-    return _streamed(streaming.streaming_spend(spark.readStream.schema(calls.schema).parquet(path), 5000.0), "append").drop("batch")
+    calls.write.parquet(f"{(path := scratch(spark))}/in")
+    streaming.streaming_spend(spark.readStream.schema(calls.schema).parquet(f"{path}/in"), f"{path}/out", f"{path}/cp", 5000.0).awaitTermination()
+    return streaming.running_spend(spark, f"{path}/out").select("budget", "spent", "warns", "breach")
 
 
 @query(_REC + "SELECT statement_id, n = 0 AS ok, ds::DOUBLE AS deposits_sum, ws::DOUBLE AS withdrawals_sum FROM _i")

@@ -22,8 +22,16 @@ def scratch(spark: SparkSession) -> str:
     return path
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df written below spark.checkpoint.dir and read back: its lineage ends there, and a lost executor loses nothing."""
-    spark, schema, path = df.sparkSession, df.schema, scratch(df.sparkSession)
-    df.write.parquet(path)
+def stored(df: DataFrame, path: str | None = None) -> DataFrame:
+    """df written below spark.checkpoint.dir and read back: its lineage ends there, and a lost executor loses nothing.
+
+    A path names a place of the caller's own, who deletes it; what lies there is replaced.
+    """
+    spark, schema = df.sparkSession, df.schema
+    df.write.mode("overwrite" if path else "errorifexists").parquet(path := path or scratch(spark))
     return spark.read.schema(schema).parquet(path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.checks import reconcile_totals, statement_totals
+from ..operators.scan import scan
 from ..sources.keyed import KeyedTable
+from ..sources.scratch import delete, stored
 
 EVENT = "job_id string, ts timestamp, event string, data string"
 DONE, FAILED = "done", "error"
@@ -106,23 +108,56 @@ def job_ttl_evict(jobs: DataFrame, now, ttl_seconds: int = 3600, max_jobs: int =
     return open_.unionByName(newest.join(F.broadcast(room), F.col("_n") <= F.col("_room")).drop("_n", "_room"))
 
 
-SPEND = "budget string, spent double, warns boolean, breach boolean"
+def land_spend(batch: DataFrame, n: int, path: str, cap: float | None, warn: float = 0.8, buckets: int = 256) -> None:
+    """Write the running spend of batch n under path/spend, and each budget's new sum to the table path/budgets.
 
+    A prefix scan adds up the batch, so one budget takes all tasks; what budgets had spent before is one row each and is joined on.
+    The table keeps the sum before the last batch too, so that a batch that runs again writes the same rows in the same place.
+    """
+    spark, runs = batch.sparkSession, f"{path}/runs/{n}"
+    micros = F.round(F.coalesce("cost_usd", F.lit(0)).cast("double") * 1_000_000).cast("long")  # whole millionths, so sums are exact
+    rows = batch.select("budget", "ts", "call_id", micros.alias("_micros")).withColumn("key", F.to_json(F.struct("budget")))  # a budget may be null
+    d = scan(rows, ("key",), ("ts", "call_id"), {"_sum": F.col("_micros")}, number="_n", path=runs)
+    table = KeyedTable(spark, f"{path}/budgets", "key", buckets)
+    added = spark.read.schema("key string, _micros long").parquet(runs).groupBy("key").agg(F.sum("_micros").alias("_added"))
+    if table.manifest():
+        before = F.when(F.col("batch") < n, F.col("after")).otherwise(F.col("before"))
+        added = added.join(table.read().select("key", before.alias("before")), "key", "left")
+    else:
+        added = added.withColumn("before", F.lit(None).cast("long"))
+    added = stored(added.select("key", "before", (F.coalesce("before", F.lit(0)) + F.col("_added")).alias("after"), F.lit(n).cast("long").alias("batch")), f"{path}/added/{n}")
+    total = F.coalesce("before", F.lit(0)) + F.col("_sum")
+    past = lambda c: c / 1_000_000 >= F.lit(cap).cast("double") * warn
+    was = F.when((F.col("_n") > 1) | F.col("before").isNotNull(), past(total - F.col("_micros"))).otherwise(False)
+    spent = total / 1_000_000
+    d = d.join(added, "key").select(
+        "budget", "ts", "call_id", spent.alias("spent"), F.coalesce(past(total) & ~was, F.lit(False)).alias("warns"),
+        F.coalesce(spent > F.lit(cap).cast("double"), F.lit(False)).alias("breach"),
+    )
+    d.write.mode("overwrite").parquet(f"{path}/spend/batch={n}")
+    table.upsert(added)
+    delete(spark, runs)
+    delete(spark, f"{path}/added/{n}")
 
-def streaming_spend(calls: DataFrame, cap: float | None, warn: float = 0.8) -> DataFrame:
-    """Running spend per budget over a stream of calls (budget, ts, call_id, cost_usd): a row a call; a breach is a row, not an error."""
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        micros, warned = state.get if state.exists else (0, False)  # whole millionths of a dollar, so sums are exact
-        rows = pd.concat(list(batches)).sort_values(["ts", "call_id"])
-        total = micros + (rows["cost_usd"].fillna(0).astype(float) * 1_000_000).round().astype("int64").cumsum()
-        spent = total / 1_000_000
-        past = spent >= cap * warn if cap is not None else spent.isna()
-        first = past & ~past.shift(fill_value=warned).astype(bool)
-        state.update((int(total.iloc[-1]), bool(past.iloc[-1]) or warned))
-        yield pd.DataFrame({"budget": key[0], "spent": spent, "warns": first & ~past.shift(fill_value=warned).cummax().astype(bool), "breach": spent > cap if cap is not None else False})
-
-    return calls.groupBy("budget").applyInPandasWithState(step, SPEND, "micros long, warned boolean", "append", GroupStateTimeout.NoTimeout)
+def streaming_spend(calls: DataFrame, path: str, checkpoint: str, cap: float | None, warn: float = 0.8, buckets: int = 256):
+    """Start a query that writes the running spend of a stream of calls (budget, ts, call_id, cost_usd) under path: a row a call.
+
+    warns where a call takes its budget past the share warn of cap; breach beyond cap is a row, not an error; no cap, no limit.
+    Calls of a micro-batch are in order of ts and call_id, those of an earlier one stand before. A null cost is none.
+    """
+    land = lambda batch, n: land_spend(batch, n, path, cap, warn, buckets)
+    return calls.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+SPEND = "budget string, ts timestamp, call_id long, spent double, warns boolean, breach boolean"
+
+
+def running_spend(spark: SparkSession, path: str, schema: str = SPEND) -> DataFrame:
+    """What streaming_spend has written, with the batch of each row; schema names the types of the calls' columns."""
+    if not KeyedTable(spark, f"{path}/budgets").versions():
+        return spark.createDataFrame([], f"{schema}, batch long")
+    return spark.read.schema(f"{schema}, batch long").parquet(f"{path}/spend")
 
 
 def streaming_reconcile(s: DataFrame, t_stream: DataFrame, path: str, checkpoint: str, buckets: int = 256):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import re
 from datetime import date
 from decimal import Decimal
@@ -252,6 +253,33 @@ def test_pages(spark):
     assert parsing.match_description_to_page(t, p).first()["page"] == 2
 
 
+def test_pages_against_all_pairs(spark):
+    """The index of grams finds what a look at every row and page finds: short and long beginnings, blanks at a cut, other scripts."""
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choice("abcé") for _ in range(rnd.randint(1, 6)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    pages = [(d, p, text(rnd.randint(0, 60))) for d in "xyz" for p in range(8)]
+    rows = [(d, i, rnd.choice([text(rnd.randint(1, 14)), None, "", "ab", "日本語テキスト"])) for d in "xyz" for i in range(60)]
+    for i in range(400):  # beginnings that stand on a page, whole or up to a cut, often from within a word on
+        d, _, body = rnd.choice(pages)
+        at = rnd.randint(0, len(body))
+        rows.append((d, 1000 + i, body[at : at + rnd.choice([4, 9, 18, 19, 20, 21, 30, 45, 60, 80])] + rnd.choice(["", " zz", "q"])))
+    pages += [("x", 90, " 日本語テキスト です" * 3), ("x", 91, None), ("x", None, "aaa bbb")]
+    flat = lambda s: " ".join((s or "").upper().split())
+    expected = {}
+    for d, i, s in rows:
+        probes = sorted({flat(s)[:n].strip() for n in (60, 30, 20)}, key=len, reverse=True)
+        for probe in probes:
+            hits = [p for e, p, b in pages if e == d and len(probe) >= 4 and probe in flat(b)]
+            if hits:
+                expected[d, i] = (min(hits, key=lambda p: (p is None, p)), len(probe))
+                break
+    t = spark.createDataFrame(rows, "doc_id string, tx_index int, description string")
+    got = parsing.match_description_to_page(t, spark.createDataFrame(pages, "doc_id string, page int, text string"))
+    assert {(r["doc_id"], r["tx_index"]): (r["page"], r["matched"]) for r in got.collect()} == expected
+    assert len(expected) > 200
+
+
 def test_plans_stay_in_the_jvm(spark):
     from ledgerflow.plans import queries
 

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import json
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -89,11 +90,36 @@ def test_state_expires(spark, tmp_path, quiet):
 def test_streaming_spend(spark, tmp_path):
     calls = spark.createDataFrame([("b", 1, i, 3.0) for i in range(4)], "budget string, ts long, call_id long, cost_usd double")
     calls.write.parquet(str(tmp_path / "calls"))
-    _run(events.streaming_spend(spark.readStream.schema(calls.schema).parquet(str(tmp_path / "calls")), 10.0), "append", "spend")
-    got = [(r["spent"], r["warns"], r["breach"]) for r in spark.table("spend").orderBy("spent").collect()]
+    out, schema = str(tmp_path / "out"), events.SPEND.replace("timestamp", "long")
+    assert events.running_spend(spark, out).count() == 0
+    events.streaming_spend(spark.readStream.schema(calls.schema).parquet(str(tmp_path / "calls")), out, str(tmp_path / "cp"), 10.0).awaitTermination()
+    got = [(r["spent"], r["warns"], r["breach"]) for r in events.running_spend(spark, out, schema).orderBy("spent").collect()]
     assert got == [(3.0, False, False), (6.0, False, False), (9.0, True, False), (12.0, False, True)]
 
 
+def test_running_spend_over_batches(spark, tmp_path):
+    """A hot budget lies in many partitions; a batch that runs again changes nothing; null budgets and costs, no cap."""
+    schema = "budget string, ts long, call_id long, cost_usd double"
+    rnd = random.Random(3)
+    batches = [[(rnd.choice(["hot"] * 8 + ["b", None]), rnd.randint(0, 99), n * 10**6 + i, rnd.choice([None, 0.25, 0.000001, 1.5])) for i in range(3000)] for n in range(3)]
+    out, state, expected = str(tmp_path), {}, {}
+    for n, rows in enumerate(batches):
+        d = spark.createDataFrame(rows, schema)
+        events.land_spend(d, n, out, 1000.0, buckets=4)
+        events.land_spend(d, n, out, 1000.0, buckets=4)
+        for budget, _, call, cost in sorted(rows, key=lambda r: (r[1], r[2])):
+            was = state.get(budget, 0)
+            now = state[budget] = was + round((cost or 0) * 10**6)
+            expected[call] = (budget, now / 10**6, now >= 800 * 10**6 > was, now > 1000 * 10**6)
+    found = events.running_spend(spark, out, events.SPEND.replace("timestamp", "long"))
+    assert {r["call_id"]: (r["budget"], r["spent"], r["warns"], r["breach"]) for r in found.collect()} == expected
+    assert found.count() == len(expected) and sum(w for _, _, w, _ in expected.values()) >= 1
+    assert found.where("budget = 'hot' AND batch = 0").select(F.input_file_name()).distinct().count() > 1
+    assert sorted(p.name for p in (tmp_path / "runs").iterdir()) == []
+    events.land_spend(spark.createDataFrame(batches[0], schema), 0, free := str(tmp_path / "free"), None, buckets=4)
+    assert events.running_spend(spark, free, events.SPEND.replace("timestamp", "long")).where("warns OR breach").count() == 0
+
+
 def test_streaming_reconcile(spark, tmp_path):
     t = ledger.transactions(spark, SF)
     s = ledger.statements(spark, t)
