@@ -17,7 +17,8 @@ MASKS = ("10001111", "111011", "101100101")
 _LOOKED_AT = [[i for i, c in enumerate(m) if c == "1"] for m in MASKS]
 #: A stretch of STRETCH words of the item (all of a shorter one) must agree in MIN_AGREE of its words.
 STRETCH, MIN_AGREE = 15, 0.8
-#: Items of MIN_ITEM to SHORT words must stand in a text word for word; shorter ones cannot be told from ordinary phrases.
+#: Items of MIN_ITEM to SHORT words must stand in a text word for word; shorter ones, which cannot be told from ordinary phrases
+#: elsewhere, must be a whole line of it.
 MIN_ITEM, SHORT = 5, 10
 #: Seeds of the benchmark up to this number are broadcast (16 bytes each), and hits (24 bytes each); more are joined by a shuffle.
 BROADCAST_SEEDS, BROADCAST_HITS = 1_000_000, 1_000_000
@@ -48,7 +49,8 @@ def _seeds(df: DataFrame, words: str, keep: list[str], pos: str, lengths: list[i
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """Verified overlaps: doc_id, th (hash of the text), item_id, words (most agreeing words of a stretch). One row a document and item."""
-    items = stored(benchmark.select(F.col(item_col).alias("item_id"), tokens(F.col(item_text)).alias("iw")).where(F.size("iw") >= MIN_ITEM))
+    given = stored(benchmark.select(F.col(item_col).alias("item_id"), tokens(F.col(item_text)).alias("iw")).where(F.size("iw") > 0))
+    items, brief = given.where(F.size("iw") >= MIN_ITEM), given.where(F.size("iw") < MIN_ITEM).distinct()
     lengths = sorted(r["n"] for r in items.select(F.size("iw").alias("n")).where(F.col("n") <= SHORT).distinct().collect())  # SHORT numbers at most
     tests = _seeds(items.where(F.size("iw") > SHORT), "iw", ["item_id"], "ipos", [])
     for m, at in _looks(lengths)[len(MASKS) :]:
@@ -77,14 +79,22 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     best = F.expr("array_max(transform(sequence(1, size(same) - stretch + 1), s -> aggregate(slice(same, s, stretch), 0, (a, x) -> a + x)))")
     best = both.withColumn("words", best).groupBy("doc_id", "th", "item_id").agg(F.max("words").alias("words"), F.max("stretch").alias("stretch"))
     needed = F.when(F.col("stretch") <= SHORT, F.col("stretch")).otherwise(F.ceil(F.lit(MIN_AGREE) * F.col("stretch")))
-    return best.where(F.col("words") >= needed).drop("stretch")
+    best = best.where(F.col("words") >= needed).drop("stretch")
+    return best if brief.isEmpty() else best.unionByName(_whole_lines(base, brief))
+
+
+def _whole_lines(base: DataFrame, brief: DataFrame) -> DataFrame:
+    """doc_id, th, item_id, words: lines of texts (x) whose words are those of an item, no more and no fewer."""
+    lines = base.select("doc_id", "th", F.explode(F.split("x", "\n")).alias("line")).withColumn("_iw", tokens(F.col("line"))).drop("line")
+    lines = settled(lines, F.col("_iw").alias("iw")).drop("_iw").where(F.size("iw").between(1, MIN_ITEM - 1)).distinct()
+    return lines.join(brief, "iw").select("doc_id", "th", "item_id", F.size("iw").alias("words"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", **names: str) -> DataFrame:
     """doc_id, th, contaminated, n_items, first_item, words for every row of docs.
 
-    Null and empty texts are clean. Items of SHORT words or less match word for word, those below MIN_ITEM words and null items match
-    nothing. Repeated rows, of docs or of the benchmark, get equal answers; a null id is an id of its own. Only the id and text
+    Null and empty texts are clean. Items of SHORT words or less match word for word, those below MIN_ITEM words whole lines only;
+    null items and those without a word match nothing. Repeated rows, of docs or of the benchmark, get equal answers; a null id is an id of its own. Only the id and text
     columns are read. An empty table of documents gives an empty result, an empty benchmark contaminates nothing.
     """
     found = overlaps(docs, benchmark, id_col, text, **names).groupBy("doc_id", "th")

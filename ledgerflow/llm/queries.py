@@ -186,7 +186,9 @@ al AS (SELECT doc_id, item_id, least({decontam.STRETCH}, len(b.w)) AS v,
          list_transform(range(1, len(b.w) + 1), lambda j: CASE WHEN sh + j >= 1 AND d.w[sh + j] = b.w[j] THEN 1 ELSE 0 END) AS e
        FROM hits JOIN d USING (doc_id) JOIN b USING (item_id)),
 best AS (SELECT doc_id, item_id, max(list_max(list_transform(range(1, len(e) - v + 2), lambda s: list_sum(e[s : s + v - 1])))) AS n, any_value(v) AS v FROM al GROUP BY ALL
-         UNION SELECT g.doc_id, item_id, g.n, g.n FROM ({short}) g JOIN b0 ON len(b0.w) = g.n AND array_to_string(b0.w, ' ') = g.s),
+         UNION SELECT g.doc_id, item_id, g.n, g.n FROM ({short}) g JOIN b0 ON len(b0.w) = g.n AND array_to_string(b0.w, ' ') = g.s
+         UNION SELECT doc_id, item_id, len(l.w), len(l.w) FROM (SELECT doc_id, {_tokens_sql("line")} AS w FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)) l
+               JOIN b0 USING (w) WHERE len(l.w) BETWEEN 1 AND {decontam.MIN_ITEM - 1}),
 ok AS (SELECT doc_id, count(*) AS n_items, min(item_id) AS first_item, max(n) AS n FROM best WHERE n >= ceil({decontam.MIN_AGREE} * v) GROUP BY doc_id)
 SELECT doc_id, n_items IS NOT NULL AS contaminated, coalesce(n_items, 0) AS n_items, first_item, coalesce(n, 0)::BIGINT AS words FROM documents LEFT JOIN ok USING (doc_id)"""
 

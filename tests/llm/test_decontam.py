@@ -26,6 +26,8 @@ def brute(texts, items):
         for k, item in items:
             w = words(item)
             if len(w) < decontam.MIN_ITEM:
+                if w and any(words(line) == w for line in (t or "").split("\n")):
+                    found.add(k)
                 continue
             v = min(len(w), decontam.STRETCH)
             need = v if len(w) <= decontam.SHORT else math.ceil(decontam.MIN_AGREE * v)
@@ -48,6 +50,7 @@ def test_against_brute_force(spark, monkeypatch):
         for j in rnd.sample(range(len(w)), rnd.randint(0, min(4, len(w) - 1))):
             w[j] = "zz"
         texts.append(" ".join([word() for _ in range(rnd.randint(0, 9))] + w + [word() for _ in range(rnd.randint(0, 9))]).upper())
+    texts += [f"more\n - {items[0][1]}!\nwords", f"more {items[0][1]}\nwords", items[0][1].upper()]
     schema = "doc_id long, text string, shift int, dw string, th long, iw int"
     docs = spark.createDataFrame([(i, t, 1, "x", 2, 3) for i, t in enumerate(texts)], schema)
     bench = spark.createDataFrame([*items, items[5]], "item_id long, text string")
