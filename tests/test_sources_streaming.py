@@ -97,12 +97,14 @@ def test_streaming_spend(spark, tmp_path):
     assert got == [(3.0, False, False), (6.0, False, False), (9.0, True, False), (12.0, False, True)]
 
 
-def test_running_spend_over_batches(spark, tmp_path):
+def test_running_spend_over_batches(spark, tmp_path, request):
     """A hot budget lies in many partitions; a batch that runs again changes nothing; null budgets and costs, no cap."""
     schema = "budget string, ts long, call_id long, cost_usd double"
     rnd = random.Random(3)
     batches = [[(rnd.choice(["hot"] * 8 + ["b", None]), rnd.randint(0, 99), n * 10**6 + i, rnd.choice([None, 0.25, 0.000001, 1.5])) for i in range(3000)] for n in range(3)]
     out, state, expected = str(tmp_path), {}, {}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)  # so that small partitions stay apart and can be counted
+    request.addfinalizer(lambda: spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled"))
     for n, rows in enumerate(batches):
         d = spark.createDataFrame(rows, schema)
         events.land_spend(d, n, out, 1000.0, buckets=4)
