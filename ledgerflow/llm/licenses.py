@@ -1,7 +1,8 @@
 """License scans: lines and blocks of lines against license templates by the Dice coefficient over word bigrams.
 
 A line is a unit. So is a block: a run of lines most of whose bigrams are in one template, as a license wrapped over several lines
-of a source file is. Sizes prune: with a and b distinct bigrams, Dice is at most 2 * min(a, b) / (a + b).
+of a source file is. So is a stretch of a line that is no match as a whole: a run of places whose bigrams are in the template, as a
+notice inside a longer line is. Sizes prune: with a and b distinct bigrams, Dice is at most 2 * min(a, b) / (a + b).
 """
 
 from __future__ import annotations
@@ -16,7 +17,10 @@ MIN_DICE = 0.8
 #: A line belongs to a block where at least this share of its bigrams is in the template; up to MAX_GAP lines may lie between two such
 #: lines (blank ones, a line cut within a word).
 LINE_SHARE, MAX_GAP = 0.5, 2
-#: Texts with a block are split again; up to this number of blocks (24 bytes and a name each) they are told by broadcast.
+#: Up to this number of places without a bigram of the template may lie within a stretch of a line (three altered words make four).
+MAX_HOLE = 4
+#: Texts with a block or a line to be looked into are split again; up to this number (24 bytes and a name each) they are told
+#: by broadcast.
 BROADCAST_BLOCKS = 500_000
 # License notices and short licenses as their authors publish them.
 TEMPLATES = {
@@ -36,10 +40,15 @@ TEMPLATES = {
 }
 
 
+def places(words: str) -> Column:
+    """Hashes of the pairs of neighbouring words in the array column, in order."""
+    pairs = F.expr(f"transform(sequence(1, greatest(size({words}) - 1, 1)), i -> xxhash64({words}[i - 1], {words}[i]))")
+    return F.when(F.size(words) >= 2, pairs).otherwise(F.array().cast("array<bigint>"))
+
+
 def bigrams(words: str) -> Column:
     """Hashes of the distinct pairs of neighbouring words in the array column."""
-    pairs = F.expr(f"array_distinct(transform(sequence(1, greatest(size({words}) - 1, 1)), i -> xxhash64({words}[i - 1], {words}[i])))")
-    return F.when(F.size(words) >= 2, pairs).otherwise(F.array().cast("array<bigint>"))
+    return F.array_distinct(places(words))
 
 
 def template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
@@ -49,13 +58,28 @@ def template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
     return rows.where(F.size("b") > 0).select("license", F.size("b").alias("t_size"), F.explode("b").alias("bg"))
 
 
+def stretches(units: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, same, u_size and t_size of each stretch of the units (keys, unit: the text): shared places in a row with small holes."""
+    units = units.withColumn("_w", tokens(F.col("unit"))).drop("unit")
+    units = settled(units, F.col("_w").alias("w")).drop("_w").select(*keys, F.posexplode(places("w")).alias("at", "bg"))
+    same = F.broadcast(table).select("bg", F.col("license").alias("of"), "t_size")
+    hits = units.join(same, "bg").where("of = license").drop("of").distinct()  # distinct: a row may be there several times
+    w = Window.partitionBy(*keys).orderBy("at")
+    new = (F.col("at") - F.lag("at").over(w) > MAX_HOLE + 1).cast("int")
+    runs = hits.withColumn("_new", F.coalesce(new, F.lit(0))).withColumn("run", F.sum("_new").over(w))
+    others = F.max("at") - F.min("at") + 1 - F.count("*")
+    found = runs.groupBy(*keys, "run", "t_size").agg(F.count_distinct("bg").alias("same"), others.alias("others"))
+    return found.select(*keys, "same", (F.col("same") + F.col("others")).alias("u_size"), "t_size")
+
+
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, min_dice: float = MIN_DICE, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, th (hash of the text), license, dice, line, n_lines, n_matches for every row of docs.
 
-    Units are the lines of a text and its blocks (line: their first one). license is that of the largest Dice, then the first in
+    Units are the lines of a text, its blocks (line: their first one) and, for each license that a line does not match as a whole, its
+    stretches (a place without a bigram of the template counts as a bigram of its own). license is that of the largest Dice, then the first in
     line and name; n_matches counts (unit, license) pairs of min_dice or more. Null and empty texts, and texts without a match,
     have nulls and 0. Repeated rows get equal answers; a null id is an id of its own. An empty table gives an empty result. Only
-    the id and text columns are read. Words that a line break cuts in two are two words.
+    the id and text columns are read. Words that a line break cuts in two are two words; a stretch ends with its line.
     """
     spark = docs.sparkSession
     table = stored(template_table(spark, templates or TEMPLATES))  # as large as the given templates
@@ -77,21 +101,31 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, min_
         # Rows that are there several times have the same bigrams: each counts once.
         return found.groupBy(*keys, *also, "u_size", "t_size").agg(F.count_distinct("bg").alias("same"))
 
-    near = stored(dice(lines).where(F.col("same") >= LINE_SHARE * F.col("u_size")))
-    enough = lambda df: df.withColumn("dice", 2 * F.col("same") / (F.col("u_size") + F.col("t_size"))).where((F.col("u_size").between(low * F.col("t_size"), high * F.col("t_size"))) & (F.col("dice") >= min_dice))
+    value = 2 * F.col("same") / (F.col("u_size") + F.col("t_size"))
+    is_match = F.col("u_size").between(low * F.col("t_size"), high * F.col("t_size")) & (value >= min_dice)
+    enough = lambda df: df.where(is_match).withColumn("dice", value)
+    # Dice of min_dice or more means that at least low * t_size bigrams are shared.
+    close, rich = F.col("same") >= LINE_SHARE * F.col("u_size"), F.col("same") >= low * F.col("t_size")
+    shared = stored(dice(lines).where(close | rich))
+    near = shared.where(close)
     single = enough(near).select(*keys, F.lit(1).alias("n_lines"), "dice")
     # Runs of near lines; a block of two lines or more is looked at where its bigrams, with those across its line breaks, can be enough.
     w = Window.partitionBy("doc_id", "th", "license").orderBy("line")
     new = (F.col("line") - F.lag("line").over(w) > MAX_GAP + 1).cast("int")
     runs = near.withColumn("_new", F.coalesce(new, F.lit(0))).withColumn("run", F.sum("_new").over(w))
     blocks = runs.groupBy("doc_id", "th", "license", "run", "t_size").agg(F.min("line").alias("line"), (F.max("line") - F.min("line") + 1).alias("n_lines"), F.sum("same").alias("most"))
-    # Dice of min_dice or more means that at least low * t_size bigrams are shared.
-    blocks = stored(blocks.where((F.col("n_lines") > 1) & (F.col("most") + F.col("n_lines") >= low * F.col("t_size"))).select(*keys, "n_lines"))
-    some = F.broadcast(blocks) if blocks.count() <= BROADCAST_BLOCKS else blocks
+    blocks = blocks.where((F.col("n_lines") > 1) & (F.col("most") + F.col("n_lines") >= low * F.col("t_size"))).select(*keys, "n_lines")
+    # A line to be looked into has no number of lines.
+    inside = shared.where(rich & ~is_match)
+    wanted = stored(blocks.unionByName(inside.select(*keys, F.lit(None).cast("int").alias("n_lines"))))
+    some = F.broadcast(wanted) if wanted.count() <= BROADCAST_BLOCKS else wanted
     some = some.select(F.col("doc_id").alias("f_id"), F.col("th").alias("f_th"), "license", "line", "n_lines")
     texts = base.join(some, F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("th") == F.col("f_th"))).withColumn("_l", F.split("x", "\n"))
-    texts = settled(texts, F.col("_l").alias("l")).select(*keys, "n_lines", F.array_join(F.slice("l", F.col("line") + 1, F.col("n_lines")), "\n").alias("unit"))
-    found = stored(single.unionByName(enough(dice(texts, "n_lines")).select(*keys, "n_lines", "dice")))
+    texts = settled(texts, F.col("_l").alias("l"))
+    texts = stored(texts.select(*keys, "n_lines", F.array_join(F.slice("l", F.col("line") + 1, F.coalesce("n_lines", F.lit(1))), "\n").alias("unit")))
+    several = enough(dice(texts.where(F.col("n_lines").isNotNull()), "n_lines")).select(*keys, "n_lines", "dice")
+    stretch = enough(stretches(texts.where(F.col("n_lines").isNull()).drop("n_lines"), table, keys)).select(*keys, F.lit(1).alias("n_lines"), "dice")
+    found = stored(single.unionByName(several).unionByName(stretch))
     best = found.groupBy("doc_id", "th").agg(F.min(F.struct((-F.col("dice")).alias("d"), "line", "license", "n_lines")).alias("m"), F.count("*").alias("n_matches"))
     best = best.select(F.col("doc_id").alias("f_id"), F.col("th").alias("f_th"), "m.license", F.round(-F.col("m.d"), 4).alias("dice"), "m.line", "m.n_lines", "n_matches")
     rows = base.select("doc_id", "th").join(best, F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("th") == F.col("f_th")), "left")

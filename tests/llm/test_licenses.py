@@ -5,7 +5,9 @@ from __future__ import annotations
 import random
 import textwrap
 
-from ledgerflow.llm import licenses
+import duckdb
+
+from ledgerflow.llm import licenses, queries
 
 SCHEMA = "doc_id long, text string, license string, th int, line string, bg long"
 
@@ -54,3 +56,43 @@ def test_long_texts_and_blocks_by_shuffle(spark, monkeypatch):
         assert (r["license"], r["line"]) == ("MIT", 3000)
     own = _scan(spark, [(1, "a b c d e f g"), (2, None), (3, "")], templates={"own": "a b c d e f h", "empty": ""})
     assert [r["license"] for r in sorted(own, key=lambda r: r["doc_id"])] == ["own", None, None]
+
+
+def test_notices_inside_longer_lines(spark):
+    """Recall of all templates within a long line, with a word changed in the long ones; ordinary prose has none."""
+    rnd = random.Random(2)
+    vocab = "of the in this and to be a work file is use under with terms for any source code whole words some more".split()
+    prose = lambda n: " ".join(rnd.choice(vocab) for _ in range(n))
+    texts, expected = [], []
+    for name, t in licenses.TEMPLATES.items():
+        for n in (10, 60, 3000):
+            w = t.split()
+            if len(w) > 30:
+                w[rnd.randrange(len(w))] = "altered"
+            texts.append(f"A first line.\n{prose(n)}. {' '.join(w)} {prose(n)}\nlast")
+            expected.append(name)
+    got = {r["doc_id"]: r for r in _scan(spark, [*enumerate(texts), *enumerate(texts)])}
+    found = [(got[i]["license"], got[i]["line"], got[i]["n_lines"]) == (e, 1, 1) for i, e in enumerate(expected)]
+    assert sum(found) / len(found) >= 0.9, [e for e, f in zip(expected, found) if not f]
+    (r,) = _scan(spark, [(1, "Some words. Released under the MIT License. More words and more of them, all in one line here.")])
+    assert (r["license"], r["dice"], r["line"], r["n_matches"]) == ("MIT-notice", 1.0, 0, 1)
+    (r,) = _scan(spark, [(1, "Released under the MIT License. " + prose(30) + " Released under the MIT License. " + prose(30))])
+    assert (r["license"], r["dice"], r["n_matches"]) == ("MIT-notice", 1.0, 2)
+    assert all(r["license"] is None for r in _scan(spark, [(i, prose(400)) for i in range(40)]))
+
+
+def test_sql_agrees_on_files_and_long_lines(spark, tmp_path):
+    rnd = random.Random(3)
+    texts = []
+    for t in licenses.TEMPLATES.values():
+        w = t.split()
+        changed = [x for x in w if rnd.random() > 0.05]
+        texts += [f"so it is: {' '.join(w)} and so on " * n for n in (1, 2)]
+        texts += [f"some words {' '.join(changed)} of the kind\n" + "\n".join(textwrap.wrap(t, 50)), "x\n" + " ".join(w[:7] + ["of", "the"] * 9 + w[7:])]
+    texts += ["", "MIT", "Released under the MIT\nLicense"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op4_license_scan(spark, str(tmp_path)).collect()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(map(tuple, got)) == sorted(con.execute(queries.oracle_sql()["op4_license_scan"]).fetchall())
+    assert sum(r["license"] is not None for r in got) > 30
