@@ -52,23 +52,26 @@ def bigrams(words: str) -> Column:
 
 
 def template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
-    """license, t_size (distinct bigrams) and bg: one row per template and bigram. As large as the given templates."""
+    """license, t_size (distinct bigrams), t_places (all) and bg: one row per template and bigram. As large as the given templates."""
     rows = spark.createDataFrame(sorted(templates.items()), "license string, t_text string")
-    rows = rows.select("license", tokens(F.col("t_text")).alias("t_words")).select("license", bigrams("t_words").alias("b"))
-    return rows.where(F.size("b") > 0).select("license", F.size("b").alias("t_size"), F.explode("b").alias("bg"))
+    rows = rows.select("license", tokens(F.col("t_text")).alias("t_words")).select("license", bigrams("t_words").alias("b"), (F.size("t_words") - 1).alias("t_places"))
+    return rows.where(F.size("b") > 0).select("license", F.size("b").alias("t_size"), "t_places", F.explode("b").alias("bg"))
 
 
 def stretches(units: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, same, u_size and t_size of each stretch of the units (keys, unit: the text): shared places in a row with small holes."""
+    """keys, same, u_size and t_size of each stretch of the units (keys, unit: the text): shared places in a row with small holes.
+
+    A stretch of fewer places than the template has is widened to that number, as far as the unit goes, by places that are not shared.
+    """
     units = units.withColumn("_w", tokens(F.col("unit"))).drop("unit")
-    units = settled(units, F.col("_w").alias("w")).drop("_w").select(*keys, F.posexplode(places("w")).alias("at", "bg"))
-    same = F.broadcast(table).select("bg", F.col("license").alias("of"), "t_size")
+    units = settled(units, F.col("_w").alias("w")).drop("_w").select(*keys, (F.size("w") - 1).alias("n_places"), F.posexplode(places("w")).alias("at", "bg"))
+    same = F.broadcast(table).select("bg", F.col("license").alias("of"), "t_size", "t_places")
     hits = units.join(same, "bg").where("of = license").drop("of").distinct()  # distinct: a row may be there several times
     w = Window.partitionBy(*keys).orderBy("at")
     new = (F.col("at") - F.lag("at").over(w) > MAX_HOLE + 1).cast("int")
     runs = hits.withColumn("_new", F.coalesce(new, F.lit(0))).withColumn("run", F.sum("_new").over(w))
-    others = F.max("at") - F.min("at") + 1 - F.count("*")
-    found = runs.groupBy(*keys, "run", "t_size").agg(F.count_distinct("bg").alias("same"), others.alias("others"))
+    others = F.greatest(F.max("at") - F.min("at") + 1, F.least("t_places", "n_places")) - F.count("*")
+    found = runs.groupBy(*keys, "run", "t_size", "t_places", "n_places").agg(F.count_distinct("bg").alias("same"), others.alias("others"))
     return found.select(*keys, "same", (F.col("same") + F.col("others")).alias("u_size"), "t_size")
 
 
@@ -76,9 +79,9 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, min_
     """doc_id, th (hash of the text), license, dice, line, n_lines, n_matches for every row of docs.
 
     Units are the lines of a text, its blocks (line: their first one) and, for each license that a line does not match as a whole, its
-    stretches (a place without a bigram of the template counts as a bigram of its own). license is that of the largest Dice, then the first in
-    line and name; n_matches counts (unit, license) pairs of min_dice or more. Null and empty texts, and texts without a match,
-    have nulls and 0. Repeated rows get equal answers; a null id is an id of its own. An empty table gives an empty result. Only
+    stretches (as long as the template at least; a place without a bigram of it counts as a bigram of its own). license is that of the
+    largest Dice, then the first in line and name; n_matches counts (unit, license) pairs of min_dice or more. Null and empty texts,
+    and texts without a match, have nulls and 0. Repeated rows get equal answers; a null id is an id of its own. An empty table gives an empty result. Only
     the id and text columns are read. Words that a line break cuts in two are two words; a stretch ends with its line.
     """
     spark = docs.sparkSession

@@ -129,7 +129,7 @@ def _op4_sql() -> str:
     bi = "list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
     low, high = f"{licenses.MIN_DICE} / (2 - {licenses.MIN_DICE})", f"(2 - {licenses.MIN_DICE}) / {licenses.MIN_DICE}"
     return f"""
-WITH t AS (SELECT license, len(tb) AS ts, unnest(tb) AS g FROM (SELECT k AS license, {bi} AS tb FROM (SELECT k, {_tokens_sql("x")} AS w FROM (VALUES {values}) v(k, x)))),
+WITH t AS (SELECT license, len(tb) AS ts, tp, unnest(tb) AS g FROM (SELECT k AS license, {bi} AS tb, len(w) - 1 AS tp FROM (SELECT k, {_tokens_sql("x")} AS w FROM (VALUES {values}) v(k, x)))),
 u AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line, unnest(string_split(text, chr(10))) AS x FROM documents),
 ub AS (SELECT doc_id, line, len(b) AS us, unnest(b) AS g FROM (SELECT doc_id, line, {bi} AS b FROM (SELECT doc_id, line, {_tokens_sql("x")} AS w FROM u) WHERE len(w) > 1)),
 sh AS (SELECT doc_id, line, license, us, ts, count(*) AS same FROM ub JOIN t USING (g) GROUP BY ALL),
@@ -142,10 +142,10 @@ bg AS (SELECT doc_id, license, line, nl, ts, len(b) AS us, unnest(b) AS g FROM (
 bs AS (SELECT doc_id, line, license, nl, us, bg.ts, count(*) AS same FROM bg JOIN t USING (license, g) GROUP BY ALL),
 il AS (SELECT doc_id, line, license, ts FROM sh WHERE same >= {low} * ts AND NOT (us BETWEEN {low} * ts AND {high} * ts AND 2.0::DOUBLE * same / (us + ts) >= {licenses.MIN_DICE})),
 iw AS (SELECT doc_id, line, license, {_tokens_sql("string_split(text, chr(10))[line + 1]")} AS w FROM il JOIN documents USING (doc_id)),
-ip AS (SELECT doc_id, line, license, unnest(range(1, len(w))) AS p, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM iw),
+ip AS (SELECT doc_id, line, license, len(w) - 1 AS np, unnest(range(1, len(w))) AS p, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM iw),
 ig AS (SELECT *, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id, line, license ORDER BY p) > {licenses.MAX_HOLE} + 1 THEN 1 ELSE 0 END AS new FROM ip JOIN t USING (license, g)),
 ir AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, line, license ORDER BY p) AS r FROM ig),
-iu AS (SELECT doc_id, line, license, 1 AS nl, count(DISTINCT g) + max(p) - min(p) + 1 - count(*) AS us, ts, count(DISTINCT g) AS same FROM ir GROUP BY doc_id, line, license, r, ts),
+iu AS (SELECT doc_id, line, license, 1 AS nl, count(DISTINCT g) + greatest(max(p) - min(p) + 1, least(tp, np)) - count(*) AS us, ts, count(DISTINCT g) AS same FROM ir GROUP BY doc_id, line, license, r, ts, tp, np),
 s AS (SELECT *, 2.0::DOUBLE * same / (us + ts) AS dice FROM (SELECT doc_id, line, license, 1 AS nl, us, ts, same FROM near UNION ALL FROM bs UNION ALL FROM iu) WHERE us BETWEEN {low} * ts AND {high} * ts),
 m AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, line, license, nl) AS r, count(*) OVER (PARTITION BY doc_id) AS n FROM s WHERE dice >= {licenses.MIN_DICE})
 SELECT d.doc_id, license, round(dice, 4) AS dice, line::INT AS line, nl::INT AS n_lines, coalesce(n, 0) AS n_matches FROM documents d LEFT JOIN m ON d.doc_id = m.doc_id AND r = 1"""
