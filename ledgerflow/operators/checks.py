@@ -205,7 +205,7 @@ def any_word(x: Column, words) -> Column:
 def golden_check(s: DataFrame, t: DataFrame, expected: DataFrame) -> DataFrame:
     """Each expected row (label 'Mon yyyy', account_last4, n_deposits, deposits_total, n_withdrawals) with its mismatches; a row without a statement has ['missing']."""
     seen = t.groupBy("statement_id").agg(F.count("deposit").alias("nd"), F.sum("deposit").alias("sd"), F.count("withdrawal").alias("nw"))
-    have = s.join(seen, "statement_id", "left").select(F.date_format("period_start", "MMM yyyy").alias("label"), "account_last4", "statement_id", "nd", "sd", "nw")
+    have = s.join(seen, "statement_id", "left").select(F.date_format("period_start", "MMM yyyy").alias("label"), "account_last4", "statement_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("nd", "sd", "nw")])
     d = expected.join(have, ["label", "account_last4"], "left")
     differs = F.array_compact(
         F.array(

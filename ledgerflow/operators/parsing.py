@@ -174,7 +174,7 @@ def apply_enrichment(t: DataFrame, items: DataFrame, keys: tuple[str, ...] = ("s
 
 
 def vendor_lookup(t: DataFrame, seed: DataFrame, vendor: str = "vendor") -> DataFrame:
-    """canonical_name from seed (key, canonical_name): the vendor itself, or the longest seed key that it begins with.
+    """canonical_name from seed (key, canonical_name): the vendor itself, or the longest seed key that it begins with (of equal keys, the last name).
 
     Each distinct vendor is looked up once. Its prefixes are matched by equality, so there is no cross join.
     """
@@ -182,7 +182,7 @@ def vendor_lookup(t: DataFrame, seed: DataFrame, vendor: str = "vendor") -> Data
     names = t.where(F.col(vendor).isNotNull()).select(F.col(vendor).alias("_v")).distinct()
     names = names.select("_v", F.explode(F.transform(F.sequence(F.lit(1), F.length(clean("_v"))), lambda n: F.substr(clean("_v"), F.lit(1), n))).alias("key"))
     s = seed.select(clean("key").alias("key"), "canonical_name")
-    best = names.join(s, "key").groupBy("_v").agg(F.max_by("canonical_name", F.length("key")).alias("canonical_name"))
+    best = names.join(s, "key").groupBy("_v").agg(F.max_by("canonical_name", F.struct(F.length("key"), "canonical_name")).alias("canonical_name"))
     return t.join(best, F.col(vendor) == F.col("_v"), "left").drop("_v")
 
 

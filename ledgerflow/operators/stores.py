@@ -12,8 +12,9 @@ CACHE_DAYS, AUDIT_LIMIT = 30, 50
 
 
 def keep_last(df: DataFrame, keys: list[str], *order) -> DataFrame:
-    """The last row of each key."""
+    """The last row of each key; of rows that tie, the one with the largest hash (maps left out), so that it is the same in each run."""
     row = F.struct(*df.columns)
+    order = (*order, F.xxhash64(*[F.col(f"`{c}`") for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]))
     return df.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.max_by(row, F.struct(*order)).alias("r")).select("r.*")
 
 

@@ -828,6 +828,78 @@ def cache_table(spark, sf):
     return cache.table.read().select("key", "event_id", "payload")
 
 
+@query(_REC + """SELECT statement_id, account_last4, concat_ws(',', CASE WHEN doc_pos % 2 = 0 THEN 'n_deposits' END, CASE WHEN doc_pos % 3 = 0 THEN 'deposits_total' END, CASE WHEN doc_pos % 5 = 0 THEN 'n_withdrawals' END) AS mismatches FROM _i""")
+def golden_check_fields(spark, sf):
+    """Each field is off in some statements, so that all mismatches and their mixtures come up."""
+    s, t = _st(spark, sf)
+    r = checks.reconcile(s, t).join(s.select("statement_id", "period_start", "account_last4", "doc_pos"), "statement_id")
+    off = lambda n: (F.col("doc_pos") % n == 0).cast("int")
+    expected = r.select(
+        F.date_format("period_start", "MMM yyyy").alias("label"), "account_last4", (F.col("deposits_count_actual") + off(2)).alias("n_deposits"),
+        (F.col("deposits_sum") + 5 * off(3)).alias("deposits_total"), (F.col("withdrawals_count_actual") + off(5)).alias("n_withdrawals"),
+    )
+    return checks.golden_check(s, t, expected).select("statement_id", "account_last4", F.array_join("mismatches", ",").alias("mismatches"))
+
+
+@query(_REC + """, _p AS (SELECT statement_id, doc_pos % 3 AS k, CASE WHEN deposit IS NULL THEN 'W' ELSE 'D' END AS ps, coalesce(deposit, withdrawal) AS a FROM _i JOIN tx USING (statement_id) WHERE tx_index = 1),
+_g AS (SELECT statement_id, CASE WHEN k < 2 THEN ps WHEN ps = 'D' THEN 'W' ELSE 'D' END AS side, CASE k WHEN 0 THEN a WHEN 1 THEN -a ELSE 2 * a END AS delta FROM _p),
+_t AS (SELECT statement_id, tx_index, CASE WHEN deposit IS NULL THEN 'W' ELSE 'D' END AS ts, coalesce(deposit, withdrawal) AS value FROM tx)
+SELECT statement_id, why, side, tx_index, value::DOUBLE AS value FROM _g JOIN _t USING (statement_id), (VALUES ('missing'), ('spurious'), ('wrong_side')) w(why)
+WHERE CASE why WHEN 'missing' THEN delta > 0 AND value = delta WHEN 'spurious' THEN delta < 0 AND ts = side AND value = -delta ELSE delta > 0 AND ts <> side AND 2 * value = delta END""")
+def delta_candidates_kinds(spark, sf):
+    """Totals that are off by one row's amount, upward or downward, or by twice that of a row of the other side; all rows are raw rows."""
+    s, t = _st(spark, sf)
+    seen = checks.reconcile(s, t).select("statement_id", "deposits_sum", "withdrawals_sum")
+    picked = t.where("tx_index = 1").select("statement_id", C.side().alias("ps"), C.amount().alias("a"))
+    k, own = F.col("doc_pos") % 3, lambda side: F.col("ps") == side
+    off = lambda side: F.when(own(side) & (k == 0), F.col("a")).when(own(side) & (k == 1), -F.col("a")).when(~own(side) & (k == 2), 2 * F.col("a")).otherwise(0)
+    right = s.join(seen, "statement_id").join(picked, "statement_id")
+    wrong = right.withColumns({"deposits_total": F.col("deposits_sum") + off("D"), "withdrawals_total": F.col("withdrawals_sum") + off("W")}).select(*s.columns)
+    raw = t.select("statement_id", F.col("tx_index").alias("row_pos"), C.amount().alias("value"))
+    return _plain(checks.delta_candidates(checks.reconcile(wrong, t), t, raw))
+
+
+@query("""SELECT statement_id, substr(sha256(pattern), 1, 12) AS pattern_hash, pattern FROM stmt
+  JOIN (VALUES (0, 'side_flip_dep_vs_with'), (1, 'missed_checks_paid'), (2, 'missed_remote_deposit'), (3, 'hallucinated_balance_marker'), (4, 'missed_checks_paid'), (4, 'missed_remote_deposit')) v(k, pattern) ON doc_pos % 6 = k""")
+def diagnose_repair_lessons(spark, sf):
+    """Repairs that flip sides, add a check, a remote deposit or both, or take out a balance marker; a sixth teaches nothing."""
+    s, t = _st(spark, sf)
+    k = F.col("doc_pos") % 6
+    seen = checks.reconcile(s, t).select("statement_id", "deposits_sum", "withdrawals_sum")
+    none = F.lit(None).cast("int")
+    right = s.join(seen, "statement_id").withColumns({"deposits_total": F.col("deposits_sum"), "withdrawals_total": F.col("withdrawals_sum"), "deposits_count": none, "withdrawals_count": none}).select(*s.columns)
+    wrong = right.withColumns({"deposits_total": F.col("deposits_total") + 50, "withdrawals_total": F.col("withdrawals_total") - F.when(k == 0, 50).otherwise(0)})
+    said = t.select("statement_id", "description")
+    row = lambda text, *ks: s.where(k.isin(*ks)).select("statement_id", F.lit(text).alias("description"))
+    before, after = said.unionByName(row("BEGINNING BALANCE ON MAY 1", 3)), said.unionByName(row("PAID CHECK # 12", 1, 4)).unionByName(row("REMOTE DEPOSIT 7", 2, 4))
+    return checks.diagnose_repair(checks.reconcile(wrong, t), checks.reconcile(right, t), before, after).select("statement_id", "pattern_hash", "pattern")
+
+
+_FILES = "CASE s_suppkey % 5 WHEN 0 THEN '%PDF-1.7 ' || s_name WHEN 1 THEN '  ' WHEN 2 THEN '<HTML>' || s_name WHEN 3 THEN 'GIF89a' || s_name ELSE ' <html>' || s_name END"
+
+
+def _supplier_files(spark, sf) -> str:
+    """A folder with one text file a supplier, in a folder named by its key."""
+    d = ledger.table(spark, sf, "supplier").select("s_suppkey", F.expr(_FILES).alias("value"))
+    d.write.partitionBy("s_suppkey").text(path := scratch(spark))
+    return path
+
+
+def _key_of_path():
+    return F.regexp_extract("path", r"s_suppkey=(\d+)", 1).cast("long").alias("s_suppkey")
+
+
+@query(f"SELECT s_suppkey, {_FILES} || chr(10) AS text FROM supplier WHERE s_suppkey % 5 <> 1", view=False)
+def read_text_documents(spark, sf):
+    return files.read_text_documents(spark, _supplier_files(spark, sf)).select(_key_of_path(), "text")
+
+
+@query(f"""SELECT s_suppkey, CASE s_suppkey % 5 WHEN 0 THEN 'pdf' WHEN 2 THEN 'html' WHEN 3 THEN 'image' ELSE 'text' END AS kind, length({_FILES}) + 1 AS size,
+  sha256({_FILES} || chr(10)) AS sha256 FROM supplier""", view=False)
+def sniff_files(spark, sf):
+    return files.sniff_files(spark, _supplier_files(spark, sf)).select(_key_of_path(), "kind", "size", "sha256")
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
