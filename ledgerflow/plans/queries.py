@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -729,9 +729,9 @@ def cache_replace(spark, sf):
     return stores.cache_upsert(old, e.where("created_at % 4 = 0")).select("key", "payload")
 
 
-def _streamed(df: DataFrame, mode: str) -> DataFrame:
-    """All that a stream writes until it has read what there is; batch tells its micro-batches apart."""
-    spark, path = df.sparkSession, scratch(df.sparkSession)
+def _streamed(df: DataFrame, mode: str, path: str | None = None) -> DataFrame:
+    """All that a stream writes until it has read what there is; batch tells its micro-batches apart. With the path of an earlier call it goes on."""
+    spark, path = df.sparkSession, path or scratch(df.sparkSession)
     land = lambda part, n: part.withColumn("batch", F.lit(n)).write.mode("append").parquet(f"{path}/out")
     q = df.writeStream.foreachBatch(land).outputMode(mode).option("checkpointLocation", f"{path}/cp").trigger(availableNow=True).start()
     q.awaitTermination()
@@ -750,11 +750,12 @@ SQL["job_lifecycle_streamed"] = SQL["job_lifecycle"]
 
 @query("SELECT job_id, first_ts, event, data FROM (" + SQL["dedupe_events"][SQL["dedupe_events"].rindex("SELECT job_id, strftime") :] + ")")
 def dedupe_events_streamed(spark, sf):
-    ledger.job_events(spark, sf).write.json(path := scratch(spark))
-    d = _streamed(streaming.dedupe_events(streaming.event_source(spark, path), "1000 days"), "append")
-    # Which of the repeats of one micro-batch stays is open; its time is looked up.
-    first = ledger.job_events(spark, sf).groupBy("job_id", "event", "data").agg(F.min("ts").alias("ts"))
-    d = d.drop("ts").join(first, ["job_id", "event", "data"])
+    """Repeats come after a restart of the stream, whose state alone tells that they are repeats. The events are of 30 days."""
+    e, path, out = ledger.job_events(spark, sf), scratch(spark), scratch(spark)
+    e = e.withColumn("_n", F.row_number().over(Window.partitionBy("job_id", "event", "data").orderBy("ts")))
+    for part in ("_n = 1", "_n > 1"):
+        e.where(part).drop("_n").write.mode("append").option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(path)
+        d = _streamed(streaming.dedupe_events(streaming.event_source(spark, path), "31 days"), "append", out)
     return d.select("job_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("first_ts"), "event", "data")
 
 
