@@ -286,3 +286,23 @@ def test_plans_stay_in_the_jvm(spark):
     for name in ("reconcile_statements", "anomaly_context", "diff_extractions", "recurring_by_account"):
         plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
         assert "CartesianProduct" not in plan and "BatchEvalPython" not in plan, name
+
+
+def test_golden_check_of_a_statement_without_rows(spark):
+    s = statement(spark, {}, {"acct": "1111"})
+    expected = "label string, account_last4 string, n_deposits long, deposits_total decimal(18,2), n_withdrawals long"
+    e = spark.createDataFrame([("Apr 2025", "4664", 1, D(5), 0), ("Apr 2025", "1111", 0, D(0), 0), ("May 2025", "1111", 0, D(0), 0)], expected)
+    got = checks.golden_check(s, rows(spark, {"w": 3, "sid": "none"}), e).collect()
+    assert {(r["label"], r["account_last4"]): r["mismatches"] for r in got} == {("Apr 2025", "4664"): ["n_deposits", "deposits_total"], ("Apr 2025", "1111"): [], ("May 2025", "1111"): ["missing"]}
+
+
+def test_ties_are_told_alike_in_any_order(spark):
+    seed = [("acme", "Acme One"), (" ACME ", "Acme Two"), ("ac", "Short")]
+    same = [("k", 1, f"v{i}", {"a": i}) for i in range(50)]
+    seen = set()
+    for n in (1, 3, 7):
+        for order in (1, -1):
+            v = parsing.vendor_lookup(spark.createDataFrame([("Acme Corp",)], "vendor string"), spark.createDataFrame(seed[::order], "key string, canonical_name string").repartition(n)).collect()
+            (k,) = stores.keep_last(spark.createDataFrame(same[::order], "key string, at int, value string, more map<string,int>").repartition(n), ["key"], F.col("at")).collect()
+            seen.add((v[0]["canonical_name"], k["value"]))
+    assert len(seen) == 1 and seen.pop()[0] == "Acme Two"
