@@ -525,7 +525,7 @@ def segment_statements(spark, sf):
     return found.select("doc_id", "segment_no", "period_start_raw", "period_end_raw", "account_hint")
 
 
-@query("SELECT account_last4, period_start::VARCHAR AS period_start, beginning_balance::DOUBLE AS beginning_balance, n AS kept, 0::BIGINT AS skipped, d::DOUBLE AS deposits, w::DOUBLE AS withdrawals FROM stmt JOIN (SELECT statement_id, count(*) AS n, sum(deposit) AS d, sum(withdrawal) AS w FROM tx GROUP BY 1) USING (statement_id)")
+@query("SELECT right(account_last4, 4) AS account_last4, period_start::VARCHAR AS period_start, beginning_balance::DOUBLE AS beginning_balance, n AS kept, 0::BIGINT AS skipped, d::DOUBLE AS deposits, w::DOUBLE AS withdrawals FROM stmt JOIN (SELECT statement_id, count(*) AS n, sum(deposit) AS d, sum(withdrawal) AS w FROM tx GROUP BY 1) USING (statement_id)")
 def bulk_extract(spark, sf):
     _, _, texts = _rendered(spark, sf)
     rows = F.array_sort(F.collect_list(F.struct("period_start", "text")))
