@@ -537,7 +537,7 @@ def bulk_extract(spark, sf):
     return _plain(d.select("account_last4", "period_start", "beginning_balance", F.coalesce("kept", zero).alias("kept"), F.coalesce("skipped", zero).alias("skipped"), "deposits", "withdrawals"))
 
 
-@query("SELECT statement_id, account_last4, period_start::VARCHAR AS period_start, period_end::VARCHAR AS period_end, beginning_balance::DOUBLE AS beginning_balance, ending_balance::DOUBLE AS ending_balance, 'USD' AS currency FROM stmt")
+@query("SELECT statement_id, right(account_last4, 4) AS account_last4, period_start::VARCHAR AS period_start, period_end::VARCHAR AS period_end, beginning_balance::DOUBLE AS beginning_balance, ending_balance::DOUBLE AS ending_balance, 'USD' AS currency FROM stmt")
 def extract_summary(spark, sf):
     _, _, texts = _rendered(spark, sf)
     return _plain(parsing.extract_summary(texts).select("statement_id", "account_last4", "period_start", "period_end", "beginning_balance", "ending_balance", "currency"))
