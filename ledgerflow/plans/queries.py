@@ -516,7 +516,7 @@ def parse_rows_roundtrip(spark, sf):
     return _plain(rows.select("statement_id", "tx_index", "tx_date", "description", "amount", "side"))
 
 
-@query("SELECT account_last4 AS doc_id, (row_number() OVER (PARTITION BY account_last4 ORDER BY doc_pos) - 1)::INT AS segment_no, strftime(period_start, '%m/%d/%Y') AS period_start_raw, strftime(period_end, '%m/%d/%Y') AS period_end_raw, account_last4 AS account_hint FROM stmt QUALIFY (SELECT count(*) FROM tx WHERE tx.statement_id = stmt.statement_id) >= 5")
+@query("SELECT account_last4 AS doc_id, (row_number() OVER (PARTITION BY account_last4 ORDER BY doc_pos) - 1)::INT AS segment_no, strftime(period_start, '%m/%d/%Y') AS period_start_raw, strftime(period_end, '%m/%d/%Y') AS period_end_raw, right(account_last4, 4) AS account_hint FROM stmt QUALIFY (SELECT count(*) FROM tx WHERE tx.statement_id = stmt.statement_id) >= 5")
 def segment_statements(spark, sf):
     _, _, texts = _rendered(spark, sf)
     rows = F.array_sort(F.collect_list(F.struct("period_start", "text")))

@@ -6,7 +6,7 @@ import pytest
 from ledgerflow.plans import queries
 
 
-@pytest.mark.parametrize("name", ["bulk_extract", "extract_summary"])
+@pytest.mark.parametrize("name", ["bulk_extract", "extract_summary", "segment_statements"])
 def test_accounts_of_five_digits(spark, tmp_path, name):
     """Customers from 600,000 on have accounts of five digits; a text gives the last four of them, in the query and in its SQL."""
     db = duckdb.connect()
