@@ -880,9 +880,9 @@ _FILES = "CASE s_suppkey % 5 WHEN 0 THEN '%PDF-1.7 ' || s_name WHEN 1 THEN '  '
 
 
 def _supplier_files(spark, sf) -> str:
-    """A folder with one text file a supplier, in a folder named by its key."""
-    d = ledger.table(spark, sf, "supplier").select("s_suppkey", F.expr(_FILES).alias("value"))
-    d.write.partitionBy("s_suppkey").text(path := scratch(spark))
+    """A folder with one text file a supplier, named by its key."""
+    d = ledger.table(spark, sf, "supplier").select(F.concat(F.lit("s_suppkey="), "s_suppkey", F.lit(".txt")).alias("name"), F.expr(_FILES).alias("value"))
+    files.write_text_files(d, "name", "value", path := scratch(spark))
     return path
 
 
