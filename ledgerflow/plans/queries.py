@@ -12,7 +12,7 @@ from ..operators import analytics, checks, forensic, parsing, stores
 from ..operators.quantile import exact_quantile
 from ..operators.scan import scan
 from ..sources import files
-from ..sources.scratch import scratch
+from ..sources.scratch import scratch, stored
 from ..streaming import events as streaming
 from . import ledger
 
@@ -770,11 +770,12 @@ def streaming_spend(spark, sf):
 
 @query(_REC + "SELECT statement_id, n = 0 AS ok, ds::DOUBLE AS deposits_sum, ws::DOUBLE AS withdrawals_sum FROM _i")
 def streaming_reconcile(spark, sf):
-    s, t = _st(spark, sf)
-    path = scratch(spark)
-    rows = t.drop("account_last4")
-    rows.repartition(3).write.parquet(f"{path}/in")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    """Three micro-batches. The ledger view is made once: statements come from the stored rows, and are stored for the batches."""
+    path, tasks = scratch(spark), spark.sparkContext.defaultParallelism
+    t = _tx(spark, sf)
+    t.repartition(3 * tasks).write.parquet(f"{path}/in")
+    s = stored(ledger.statements(spark, spark.read.schema(t.schema).parquet(f"{path}/in")))
+    stream = spark.readStream.schema(t.schema).option("maxFilesPerTrigger", tasks).parquet(f"{path}/in").drop("account_last4")
     streaming.streaming_reconcile(s, stream, f"{path}/out", f"{path}/cp").awaitTermination()
     return _plain(streaming.latest_reconciliation(spark, f"{path}/out").select("statement_id", "ok", "deposits_sum", "withdrawals_sum"))
 
