@@ -24,11 +24,30 @@ NO_ID = 2**63 - 1
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
-def fingerprint_batch(texts: list, shingle: int = SHINGLE, lanes: int = 1, distinct: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def majority_bits(sets: list[np.ndarray], lanes: int = 1) -> np.ndarray:
+    """A row of lanes 64-bit SimHashes for each set of hashes (none empty): a bit is set if it is in over half of them.
+
+    Further lanes mix the hashes anew.
+    """
+    h, sizes = np.concatenate(sets), np.array([len(x) for x in sets])
+    bounds = np.cumsum(sizes) - sizes
+    out = np.zeros((len(sets), lanes), np.uint64)
+    for lane in range(lanes):
+        if lane:
+            h = (h ^ (h >> np.uint64(29))) * _MIX[lane - 1]
+            h ^= h >> np.uint64(32)
+        votes = np.empty((len(sets), 64), np.int64)
+        for k in range(8):  # a byte of each hash at a time: the bits of all hashes at once take 64 bytes a hash
+            bits = np.unpackbits((h >> np.uint64(8 * k)).astype(np.uint8)[:, None], axis=1, bitorder="little")
+            votes[:, 8 * k : 8 * k + 8] = np.add.reduceat(bits, bounds, axis=0, dtype=np.int32)
+        out[:, lane] = np.packbits(2 * votes > sizes[:, None], axis=1, bitorder="little").view("<u8").ravel()
+    return out
+
+
+def fingerprint_batch(texts: list, shingle: int = SHINGLE, lanes: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """(fingerprints, shingles): a row of lanes 64-bit SimHashes for each text, and how many shingles it has.
 
-    Words of the text with A-Z lowered, XXH64 of the runs of shingle words (all words where there are fewer); a bit is set if it is
-    in over half of the hashes. With distinct, equal shingles of a text count once. Further lanes mix the hashes anew.
+    Words of the text with A-Z lowered, XXH64 of the runs of shingle words (all words where there are fewer), repeats included.
     """
     import xxhash
 
@@ -47,23 +66,11 @@ def fingerprint_batch(texts: list, shingle: int = SHINGLE, lanes: int = 1, disti
                 stop = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
                 starts = [0, *stop[: len(words) - shingle].tolist()]
                 found = [xx(line[s:e], SEED) for s, e in zip(starts, (stop[shingle - 1 :] - 1).tolist(), strict=True)]
-            own = np.array(found, np.uint64)
-            parts.append(np.unique(own) if distinct else own)
+            parts.append(np.array(found, np.uint64))
             owners.append(i)
-        if not parts:
-            continue
-        h, sizes = np.concatenate(parts), np.array([len(x) for x in parts])
-        bounds = np.cumsum(sizes) - sizes
-        count[owners] = sizes
-        for lane in range(lanes):
-            if lane:
-                h = (h ^ (h >> np.uint64(29))) * _MIX[lane - 1]
-                h ^= h >> np.uint64(32)
-            votes = np.empty((len(owners), 64), np.int64)
-            for k in range(8):  # a byte of each hash at a time: the bits of all hashes at once take 64 bytes a hash
-                bits = np.unpackbits((h >> np.uint64(8 * k)).astype(np.uint8)[:, None], axis=1, bitorder="little")
-                votes[:, 8 * k : 8 * k + 8] = np.add.reduceat(bits, bounds, axis=0, dtype=np.int32)
-            out[owners, lane] = np.packbits(2 * votes > sizes[:, None], axis=1, bitorder="little").view("<u8").ravel()
+        if parts:
+            count[owners] = [len(x) for x in parts]
+            out[owners] = majority_bits(parts, lanes)
     return out, count
 
 
@@ -122,16 +129,20 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return values[child], values[label[child]]
 
 
-def _compare(fp: np.ndarray, home: np.ndarray, radius: int, check=None) -> np.ndarray:
-    """A label for each fingerprint, equal where links join them: links of one at home with any other, exactly."""
+def _compare(fp: np.ndarray, home: np.ndarray, radius: int, check=None, sizes: np.ndarray | None = None, ratio: float = 0) -> np.ndarray:
+    """A label for each fingerprint, equal where links join them: links of one at home with any other, exactly.
+
+    With sizes (ascending), a link's smaller size is at least ratio times the larger, so others are not looked at.
+    """
     label = np.arange(len(fp))
     mine, others = np.flatnonzero(home), np.flatnonzero(~home)
     high, wide = _STRIP
     for other in (mine, others):
         for i in range(0, len(mine), high):
             rows = mine[i : i + high]
-            for j in range(i if other is mine else 0, len(other), wide):
-                columns = other[j : j + wide]
+            low, end = (0, len(other)) if sizes is None else np.searchsorted(sizes[other], [sizes[rows[0]] * ratio - 0.5, sizes[rows[-1]] / ratio + 0.5])
+            for j in range(max(i, low) if other is mine else low, end, wide):
+                columns = other[j : min(j + wide, end)]
                 r, c = np.nonzero(np.bitwise_count(fp[rows][:, None] ^ fp[columns][None, :]) <= radius)
                 r, c = rows[r], columns[c]
                 new = label[r] != label[c]  # what is joined already needs no look, so large groups cost no more

@@ -96,6 +96,31 @@ def test_chains_and_hot_groups(spark, monkeypatch, block, chars):
     assert 2 < len(want) < 80
 
 
+def test_buckets_of_fingerprints(spark, monkeypatch):
+    """Small buckets, and large ones in blocks, where a group of near copies does not meet itself again: the links of brute force."""
+    monkeypatch.setattr(near_copies, "BUCKET", 40)
+    monkeypatch.setattr(near_copies, "LARGE", 60)
+    test_chains_and_hot_groups(spark, monkeypatch, 7, 3000)
+    hot = " ".join(f"h{k}" for k in range(400)).split()
+    texts = [" ".join([*hot[:k], "odd", *hot[k:]]) for k in range(0, 400, 2)] + [" ".join(f"t{i}x{k}" for k in range(50 + i % 9)) for i in range(300)]
+    texts += [" ".join([*t.split(), "last"]) for t in texts[200::3]]
+    want = set(linked(len(texts), near_of(texts)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"] for r in near_copies.one_of_each(docs).collect()} == want
+    assert len(want) == 301
+
+
+@pytest.mark.parametrize("bucket, large", [(8192, 32768), (1000, 1050)])
+def test_pairs_at_the_limit(spark, monkeypatch, bucket, large):
+    """Pairs at 0.8 exactly, of which 24 bands of 6 min-hashes miss a few."""
+    monkeypatch.setattr(near_copies, "BUCKET", bucket, raising=False)
+    monkeypatch.setattr(near_copies, "LARGE", large, raising=False)
+    base = lambda i: " ".join(f"w{i}x{k}" for k in range(44))
+    texts = [t for i in range(5000) for t in (base(i), base(i) + " " + " ".join(f"n{i}x{k}" for k in range(10)))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r["doc_id"] for r in near_copies.one_of_each(docs).orderBy("doc_id").collect()] == list(range(0, len(texts), 2))
+
+
 def test_given_documents_lose_copies_only(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     rows = [r for r in docs.collect()]
