@@ -1,11 +1,13 @@
 """Token ids of whole texts by the tokenizers library, with a bounded cache of the ids of text chunks.
 
 A text is cut where no token can reach across: between a word and the white space after it. The library encodes each
-new chunk; repeated chunks come from the cache, so the ids are the library's own.
+new chunk; repeated chunks come from the cache, so the ids are the library's own. Where the tokenizer lowers letters, chunks are
+lowered first, and where it keeps letters and the punctuation behind them apart, each is encoded once by itself.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 
@@ -15,9 +17,33 @@ import numpy as np
 _ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‍    ⁠　﻿]")
 _SPACED = re.compile(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+")
 _PLAIN = re.compile(r" ?[^\x20\x09-\x0D]+")
+#: Letters, then punctuation without apostrophes, which some tokenizers join with letters. Latin-1 letters have no compositions.
+_ENDED = re.compile(r"([ \n]?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)")
+#: Splits of letters, digits and other signs from each other.
+_APART = ["'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"]
 _JOIN = 200
 
 
+def _rules(tokenizer) -> tuple[bool, bool]:
+    """Whether a tokenizer lowers letters, and whether it never joins letters and punctuation behind them; no, where it is not known."""
+    spec = json.loads(tokenizer.to_str())
+    normalizer, pre = spec["normalizer"] or {}, spec["pre_tokenizer"] or {}
+    steps = [x["type"] for x in normalizer.get("normalizers", [normalizer] if normalizer else [])]
+    known = set(steps) <= {"NFC", "Lowercase"} or (set(steps) <= {"NFC", "Replace", "Lowercase"} and all(x.get("pattern") == {"Regex": r"\s+"} and x["content"] == " " for x in normalizer["normalizers"] if x["type"] == "Replace"))
+    first = (pre.get("pretokenizers") or [pre])[0]
+    apart = first.get("type") == "ByteLevel" and first.get("use_regex") and not first.get("add_prefix_space")
+    apart = apart or (first.get("type") == "Split" and first["pattern"].get("Regex") in _APART)
+    return known and "Lowercase" in steps, bool(known and apart and spec["model"]["type"] == "BPE")
+
+
+def _latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class Encoder:
     """encode(texts) gives each text's ids as little-endian unsigned 32-bit bytes. One lives in each Python worker.
 
@@ -36,6 +62,7 @@ class Encoder:
         self.split = _SPACED.findall if self.spaced else str.split  # other white space than ASCII's is not in these texts
         self.glue = "\n" if self.spaced else " \x01 "
         (self.mark,) = self._ids("\n" if self.spaced else "\x01")
+        self.lowers, self.apart = _rules(self.tokenizer)
         self.cache_entries, self.new, self.old = cache_entries, {}, {}
 
     def _ids(self, text: str) -> list[int]:
@@ -69,26 +96,42 @@ class Encoder:
             for i in range(0, len(part), 20_000):
                 self.new.update(zip(part[i : i + 20_000], ids(part[i : i + 20_000]), strict=True))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.new) > self.cache_entries // 2:
-            self.old, self.new = self.new, {}
-        split, odd = [None if _ODD_SPACE.search(t) or any(a in t for a in self.added) else self.split(t) for t in texts], []
-        missing = []
-        for i, chunks in enumerate(split):
-            if chunks is None:
-                odd.append(i)
-                continue
-            missing += set(chunks).difference(self.new)
-        if missing:
-            old, unknown = self.old, set()
-            for c in missing:
+    def _chunks(self, text: str) -> list[str] | None:
+        """The text's chunks; None: the library takes it whole."""
+        if _ODD_SPACE.search(text):
+            return None
+        if self.lowers and (text.isascii() or _latin(text)):  # letters whose lower forms are the same everywhere
+            text = text.lower()
+        return None if any(a in text for a in self.added) else self.split(text)
+
+    def _find(self, chunks) -> set[str]:
+        """Those of the chunks that are not in the cache; what only its older half has goes to the newer one."""
+        new, old, unknown = self.new, self.old, set()
+        for c in chunks:
+            if c not in new:
                 if (ids := old.get(c)) is not None:
-                    self.new[c] = ids
+                    new[c] = ids
                 else:
                     unknown.add(c)
-            self._learn(list(unknown))
-        get = self.new.__getitem__
-        out = [b"" if chunks is None else b"".join(map(get, chunks)) for chunks in split]
+        return unknown
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        if len(self.new) > self.cache_entries // 2:
+            self.old, self.new = self.new, {}
+        split, get = [self._chunks(t) for t in texts], self.new.get
+        found = [chunks and list(map(get, chunks)) for chunks in split]
+        gaps = [ids and [i for i, x in enumerate(ids) if x is None] for ids in found]
+        unknown = self._find({chunks[i] for chunks, at in zip(split, gaps, strict=True) if at for i in at})
+        ended = {c: m.groups() for c in unknown if (m := _ENDED.fullmatch(c))} if self.apart else {}
+        self._learn(list(self._find({x for pair in ended.values() for x in pair}).union(unknown.difference(ended))))
+        new = self.new
+        for c, (letters, rest) in ended.items():
+            new[c] = new[letters] + new[rest]
+        for chunks, ids, at in zip(split, found, gaps, strict=True):
+            for i in at or ():
+                ids[i] = new[chunks[i]]
+        out = [b"".join(ids or ()) for ids in found]
+        odd = [i for i, chunks in enumerate(split) if chunks is None]
         if odd:
             for i, ids in zip(odd, self._whole([texts[i] for i in odd]), strict=True):
                 out[i] = ids
