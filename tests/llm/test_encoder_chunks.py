@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from ledgerflow.llm.tokens import Encoder
+from ledgerflow.llm.tokens import CALL_CHARS, Encoder
 
 SIGNS = [*"abcXYZ", *"äÉßñªºµ×÷", *".,;:!?#*$%&|<>()[]{}\"'`~^_-+=/\\@", *"019²½", " ", " ", " ", "\n", "\t", "\x01", "ﬁ", "İ", "Σ", "ς", "e\u0301", "한", "中", "\u0327", "\xa0", "'s", "'LL", "<|endoftext|>", "<|ENDOFTEXT|>"]
 
@@ -35,3 +35,12 @@ def test_words_with_other_endings_are_not_encoded_anew(monkeypatch, name, most):
     monkeypatch.setattr(enc, "_learn", lambda chunks: (asked.extend(chunks), learn(chunks)))
     enc.encode(["river river. river, river! Stone stone. Stone, stone! öl öl. öl, öl!"])
     assert len(asked) <= most
+
+
+def test_few_chunks_are_held_at_once(monkeypatch):
+    enc, sizes = Encoder(public_tokenizers.path("byte_bpe_50k.json")), []
+    encode = enc._encode
+    monkeypatch.setattr(enc, "_encode", lambda texts: (sizes.append(sum(map(len, texts))), encode(texts))[1])
+    texts = [f"w{i} " * 1000 for i in range(200)] + ["", "long " * 50_000, ""]
+    assert enc.encode(texts) == [ids for t in texts for ids in encode([t])]
+    assert len(sizes) > 5 and all(n <= CALL_CHARS or n == 250_000 for n in sizes)
